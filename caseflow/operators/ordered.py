@@ -143,33 +143,60 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
     return running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))})
 
 
-def shifted(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, int]]) -> DataFrame:
-    """Add values of neighbouring rows: offset +1 is the next row, -1 the one before."""
-    cold, hot, n_rows = split_hot(df, keys)
+def _shifted_plain(df, keys, order, values):
     window = Window.partitionBy(*keys).orderBy(*order)
-    plain = cold.withColumns({out: F.lead(value, step).over(window) for out, (value, step) in values.items()})
-    if hot is None:
-        return plain
+    return df.withColumns({out: F.lead(value, step).over(window) for out, (value, step) in values.items()})
+
+
+def _shifted_segmented(parts, keys, order, values):
+    """Neighbours by position: an equi-join on (key, position), which spreads evenly."""
     one = {_POSITION: ("sum", F.lit(1).cast("bigint"))}
-    numbered = durable(_running_segmented(_segments(hot, n_rows, keys, order), keys, order, one).drop(_SEGMENT))
+    numbered = _running_segmented(parts, keys, order, one)
     result = numbered
     for step in sorted({step for _, step in values.values()}):
-        here = {out: value for out, (value, s) in values.items() if s == step}
         moved = numbered.select(
             *keys,
             (F.col(_POSITION) - step).alias(_POSITION),
-            *[value.alias(out) for out, value in here.items()],
+            *[value.alias(out) for out, (value, s) in values.items() if s == step],
         )
         result = attach(result, moved, [*keys, _POSITION])
-    return plain.unionByName(result.drop(_POSITION))
+    return result.drop(_POSITION)
+
+
+def shifted(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Add values of neighbouring rows: offset +1 is the next row, -1 the one before."""
+    cold, hot, n_rows = split_hot(df, keys)
+    plain = _shifted_plain(cold, keys, order, values)
+    if hot is None:
+        return plain
+    parts = _segments(hot, n_rows, keys, order)
+    return plain.unionByName(_shifted_segmented(parts, keys, order, values).drop(_SEGMENT))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "island") -> DataFrame:
     """Number the runs of equal ``value`` within each key; a NULL value is a run of its own."""
-    marked = shifted(df, keys, order, {"__before": (F.col(value), -1)})
+    before = {"__before": (F.col(value), -1)}
     # NULL = anything is NULL, so a NULL on either side (also at the first row) opens a new run.
-    opens = F.when(F.col(value) == F.col("__before"), 0).otherwise(1)
-    return running(marked, keys, order, {out: ("sum", opens)}).drop("__before")
+    opens = {out: ("sum", F.when(F.col(value) == F.col("__before"), 0).otherwise(1).cast("bigint"))}
+    cold, hot, n_rows = split_hot(df, keys)
+    plain = _running_plain(_shifted_plain(cold, keys, order, before), keys, order, opens)
+    if hot is not None:
+        marked = _shifted_segmented(_segments(hot, n_rows, keys, order), keys, order, before)
+        plain = plain.unionByName(_running_segmented(marked, keys, order, opens).drop(_SEGMENT))
+    return plain.drop("__before")
+
+
+def group_values(df: DataFrame, keys: list[str], values: dict[str, Column], hot: bool = False) -> DataFrame:
+    """Add aggregates of the whole group to each of its rows.
+
+    Ordinary groups use a window, which needs no exchange where the rows already lie together.  For
+    ``hot`` rows (from ``split_hot``) the aggregates are computed first and joined: there are at most
+    MAX_HOT_KEYS of them.
+    """
+    if not hot:
+        return df.withColumns({out: value.over(Window.partitionBy(*keys)) for out, value in values.items()})
+    table = df.groupBy(*keys).agg(*[value.alias(out) for out, value in values.items()])
+    return attach(df, F.broadcast(table), keys)
 
 
 def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
