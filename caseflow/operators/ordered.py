@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from caseflow.session import durable
 
 HOT_ROWS = 2_000_000
-SMALL_BYTES = 256 * 1024 * 1024
+SMALL_BYTES = 64 * 1024 * 1024
 # Only this many keys are cut apart, heaviest first.  A key beyond them holds less than 1/4096 of
 # all rows; it is still processed, by the plain window.
 MAX_HOT_KEYS = 4096
