@@ -37,27 +37,27 @@ def token_count(tokens: Column) -> Column:
 
 
 def encode_sequences(
-    log: DataFrame, points: DataFrame, vocabulary: dict[str, int] = ACTIVITY_IDS, max_len: int = MAX_LEN
+    log: DataFrame, points: DataFrame, vocabulary: dict[str, int] = ACTIVITY_IDS, max_len: int = MAX_LEN, by: list[str] = []
 ) -> DataFrame:
     """(hadm_id, seq): the last ``max_len`` token ids before the point, left-padded with 0.
 
     Cases without an event before their point are absent.  Only ``max_len`` rows per case are ever
     gathered: the rank limit is applied before and after the exchange.
     """
-    before = prefix(log, points).select("case_id", *ORDER, by_unit("activity", vocabulary).alias("token"))
-    latest = Window.partitionBy("case_id").orderBy(*[F.col(c).desc() for c in ORDER])
+    before = prefix(log, points).select(*by, "case_id", *ORDER, by_unit("activity", vocabulary).alias("token"))
+    latest = Window.partitionBy("case_id", *by).orderBy(*[F.col(c).desc() for c in ORDER])
     last = before.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= max_len)
     in_order = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("at"), "token")))
-    tokens = last.groupBy(F.col("case_id").alias("hadm_id")).agg(F.transform(in_order, lambda t: t["token"]).alias("seq"))
-    return tokens.withColumn("seq", left_pad(F.col("seq"), max_len))
+    tokens = last.groupBy("case_id", *by).agg(F.transform(in_order, lambda t: t["token"]).alias("seq"))
+    return tokens.select(*by, F.col("case_id").alias("hadm_id"), left_pad(F.col("seq"), max_len).alias("seq"))
 
 
-def sequence_profile(log: DataFrame, points: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+def sequence_profile(log: DataFrame, points: DataFrame, max_len: int = MAX_LEN, by: list[str] = []) -> DataFrame:
     """Lengths of the prefixes, how many are cut, how many cases have none."""
-    lengths = prefix(log, points).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = points.select(F.col("hadm_id").alias("case_id")).join(lengths, "case_id", "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("cohort"),
+    lengths = prefix(log, points).groupBy("case_id", *by).agg(F.count(F.lit(1)).alias("n"))
+    joined = points.select(*by, F.col("hadm_id").alias("case_id")).join(lengths, ["case_id", *by], "left")
+    return joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_cases"),
         F.count("n").alias("encoded"),
         F.count_if(F.col("n").isNull()).alias("dropped"),
         F.min("n").alias("min_len"),
@@ -69,22 +69,24 @@ def sequence_profile(log: DataFrame, points: DataFrame, max_len: int = MAX_LEN)
     )
 
 
-def ngrams(log: DataFrame, points: DataFrame, longest: int = MAX_NGRAM, inclusive: bool = False) -> DataFrame:
+def ngrams(
+    log: DataFrame, points: DataFrame, longest: int = MAX_NGRAM, inclusive: bool = False, by: list[str] = []
+) -> DataFrame:
     """(hadm_id, ngram, n): counts of 1..longest consecutive activities of the prefix, in long form.
 
     Tokens are lower-cased with spaces as underscores; the words of an n-gram are joined by a space.
     Followers come from neighbouring rows, so no case is ever gathered into one list.
     """
-    tokens = prefix(log, points, inclusive).select(
-        F.col("case_id").alias("hadm_id"), *ORDER, F.lower(F.replace("activity", F.lit(" "), F.lit("_"))).alias("w0")
-    )
+    keys = ["hadm_id", *by]
+    word = F.lower(F.replace("activity", F.lit(" "), F.lit("_")))
+    tokens = prefix(log, points, inclusive).select(F.col("case_id").alias("hadm_id"), *by, *ORDER, word.alias("w0"))
     followers = {f"w{i}": (F.col("w0"), i) for i in range(1, longest)}
-    linked = shifted(tokens, ["hadm_id"], ORDER, followers) if followers else tokens
+    linked = shifted(tokens, keys, ORDER, followers) if followers else tokens
     # concat is NULL as soon as one word is missing, which removes n-grams beyond the end.
     grams = [F.concat(*_spaced([F.col(f"w{i}") for i in range(n)])) for n in range(1, longest + 1)]
     return (
-        linked.select("hadm_id", F.explode(F.array_compact(F.array(*grams))).alias("ngram"))
-        .groupBy("hadm_id", "ngram")
+        linked.select(*keys, F.explode(F.array_compact(F.array(*grams))).alias("ngram"))
+        .groupBy(*keys, "ngram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -93,15 +95,15 @@ def _spaced(words: list[Column]) -> list[Column]:
     return [part for i, w in enumerate(words) for part in ((F.lit(" "), w) if i else (w,))]
 
 
-def fit_vocabulary(counts: DataFrame, fit_ids: DataFrame | None, min_df: int = MIN_DF) -> DataFrame:
+def fit_vocabulary(counts: DataFrame, fit_ids: DataFrame | None, min_df: int = MIN_DF, by: list[str] = []) -> DataFrame:
     """(ngram, df): n-grams found in at least ``min_df`` of the cases to fit on (all cases for None)."""
-    rows = counts if fit_ids is None else counts.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
-    return rows.groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    rows = counts if fit_ids is None else counts.join(fit_ids.select("hadm_id", *by), ["hadm_id", *by], "left_semi")
+    return rows.groupBy(*by, "ngram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
 
 
-def bag_of_ngrams(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def bag_of_ngrams(counts: DataFrame, vocabulary: DataFrame, by: list[str] = []) -> DataFrame:
     """Counts of the fitted n-grams for every case, long form."""
-    return counts.join(vocabulary.select("ngram"), "ngram", "left_semi")
+    return counts.join(vocabulary.select(*by, "ngram"), [*by, "ngram"], "left_semi")
 
 
 def bag_matrix(ids: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -119,22 +121,25 @@ def bag_matrix(ids: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> Data
     return ids.select("hadm_id").join(wide, "hadm_id", "left").fillna(0)
 
 
-def leak_audit(log: DataFrame, points: DataFrame, train_ids: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+def leak_audit(log: DataFrame, points: DataFrame, train_ids: DataFrame, min_df: int = MIN_DF, by: list[str] = []) -> DataFrame:
     """Vocabulary sizes under three boundaries, and how many n-grams each leaky one has on top.
 
     A: prefix including the point, fitted on all cases; B: strict prefix, all cases; C: strict, train only.
     """
-    leaky, strict = ngrams(log, points, inclusive=True), ngrams(log, points)
+    leaky, strict = ngrams(log, points, inclusive=True, by=by), ngrams(log, points, by=by)
     fits = {"A": (leaky, None), "B": (strict, None), "C": (strict, train_ids)}
     merged = None
     for name, (counts, ids) in fits.items():
-        one = fit_vocabulary(counts, ids, min_df).select("ngram", F.lit(name).alias("setting"))
+        one = fit_vocabulary(counts, ids, min_df, by).select(*by, "ngram", F.lit(name).alias("setting"))
         merged = one if merged is None else merged.unionByName(one)
-    presence = merged.groupBy("ngram").agg(
-        *[F.bool_or(F.col("setting") == s).alias(s) for s in fits]
-    )
+    presence = merged.groupBy(*by, "ngram").agg(*[F.bool_or(F.col("setting") == s).alias(s) for s in fits])
+    in_c = F.coalesce(F.col("C"), F.lit(False))
     rows = [
-        F.struct(F.lit(s).alias("setting"), F.count_if(F.col(s)).alias("n_ngrams"), F.count_if(F.col(s) & ~F.col("C")).alias("n_leaked"))
+        F.struct(
+            F.lit(s).alias("setting"),
+            F.count_if(F.col(s)).alias("n_ngrams"),
+            F.count_if(F.col(s) & ~in_c).alias("n_leaked"),
+        )
         for s in fits
     ]
-    return presence.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return presence.groupBy(*by).agg(F.array(*rows).alias("rows")).select(*by, F.inline("rows"))

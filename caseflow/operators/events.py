@@ -163,8 +163,25 @@ def prediction_points(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
     )
 
 
+def cohort_points(transfers: DataFrame, cohorts: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(cohort, hadm_id, prediction_point) for several tiers from one pass."""
+    first = F.struct("intime", "event_id")
+
+    def point(cohort: str, tier: tuple[str, ...]) -> Column:
+        inside = F.col("careunit").isin(*tier)
+        # min_by skips rows whose ordering value is NULL, that is, rows outside the tier.
+        return F.struct(
+            F.lit(cohort).alias("cohort"),
+            F.min_by("outtime", F.when(inside, first)).alias("prediction_point"),
+            F.bool_or(inside).alias("in_cohort"),
+        )
+
+    per_case = transfers.groupBy("hadm_id").agg(F.array(*[point(c, t) for c, t in cohorts.items()]).alias("points"))
+    return per_case.select("hadm_id", F.inline("points")).filter("in_cohort").drop("in_cohort")
+
+
 def prefix(log: DataFrame, points: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Events strictly before the prediction point of their case.
+    """Events strictly before the prediction point of their case (once per cohort if points name cohorts).
 
     ``inclusive`` keeps the event at the point as well; that leaks the outcome and exists only for the
     leak audit.

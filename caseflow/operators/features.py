@@ -50,10 +50,11 @@ def of_cohort(df: DataFrame, cohort: DataFrame) -> DataFrame:
     return df.join(cohort.select(KEY), KEY, "left_semi")
 
 
-def with_counts(cases: DataFrame, counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def with_counts(cases: DataFrame, counts: DataFrame, by: list[str] = []) -> DataFrame:
     """Left join counts onto cases; a case without any gets zeros."""
-    names = columns or [c for c in counts.columns if c != KEY]
-    joined = cases.join(counts.select(KEY, *names), KEY, "left")
+    keys = [KEY, *by]
+    names = [c for c in counts.columns if c not in keys]
+    joined = cases.join(counts, keys, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
 
 
@@ -264,7 +265,7 @@ def ed_flags(log: DataFrame, activities: tuple[str, ...]) -> DataFrame:
 
 
 def process_features(
-    transfers: DataFrame, points: DataFrame, tier_a: tuple[str, ...], tier_b: tuple[str, ...]
+    transfers: DataFrame, points: DataFrame, tier_a: tuple[str, ...], tier_b: tuple[str, ...], by: list[str] = []
 ) -> DataFrame:
     """Hours and stays before the prediction point, in total and per tier, one row per case with a point row.
 
@@ -276,7 +277,7 @@ def process_features(
         transfers.select(KEY, "careunit", "intime", "outtime")
         .join(points.filter(F.col("prediction_point").isNotNull()), KEY)
         .filter((F.col("intime") < F.col("prediction_point")) & F.col("outtime").isNotNull())
-        .groupBy(KEY)
+        .groupBy(KEY, *by)
         .agg(
             F.sum(hours).alias("accumulated_duration_hrs"),
             F.sum(F.when(in_a, hours).otherwise(0.0)).alias("icu_duration_hrs"),
@@ -286,33 +287,39 @@ def process_features(
             F.count(F.lit(1)).alias("total_events"),
         )
     )
-    return with_counts(points.select(KEY), sums)
+    return with_counts(points.select(KEY, *by), sums, by=by)
 
 
 def admission_location(admissions: DataFrame) -> DataFrame:
     return admissions.select(KEY, F.coalesce("admission_location", F.lit(NO_LOCATION)).alias("admission_location"))
 
 
-def feature_matrix(labels: DataFrame, parts: list[DataFrame], how: str = "left") -> DataFrame:
+def feature_matrix(labels: DataFrame, parts: list[DataFrame], how: str = "left", by: list[str] = []) -> DataFrame:
     """Labels joined with any number of per-case feature tables on the case id.
 
-    All joins share one key, so each input is exchanged at most once.
+    A part that has the ``by`` columns (such as the cohort) is joined on them as well.  All joins share
+    the case id, so each input is exchanged at most once.
     """
-    return reduce(lambda left, right: left.join(right.drop("subject_id"), KEY, how), parts, labels)
+
+    def join(left: DataFrame, part: DataFrame) -> DataFrame:
+        return left.join(part.drop("subject_id"), [KEY, *[b for b in by if b in part.columns]], how)
+
+    return reduce(join, parts, labels)
 
 
-def null_audit(matrix: DataFrame) -> DataFrame:
+def null_audit(matrix: DataFrame, by: list[str] = []) -> DataFrame:
     """(column, n_null) for the columns that have NULLs, from one pass over the matrix."""
-    counts = matrix.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in matrix.columns])
-    return counts.unpivot([], list(matrix.columns), "column", "n_null").filter("n_null > 0")
+    columns = [c for c in matrix.columns if c not in by]
+    counts = matrix.groupBy(*by).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return counts.unpivot(list(by), columns, "column", "n_null").filter("n_null > 0")
 
 
 def fill_unknown(matrix: DataFrame, columns: list[str]) -> DataFrame:
     return matrix.fillna("UNKNOWN", subset=columns)
 
 
-def exclude(matrix: DataFrame, excluded: DataFrame) -> DataFrame:
-    return matrix.join(excluded.select(KEY), KEY, "left_anti")
+def exclude(matrix: DataFrame, excluded: DataFrame, by: list[str] = []) -> DataFrame:
+    return matrix.join(excluded.select(KEY, *by), [KEY, *by], "left_anti")
 
 
 def check_matrix(matrix: DataFrame, label: str, groups: dict[str, tuple[str, ...]] = GROUPS) -> list[str]:

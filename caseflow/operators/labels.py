@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.locations import Tiers, in_units
@@ -32,36 +32,44 @@ def dwell(transfers: DataFrame, hours: float) -> DataFrame:
     return transfers if hours <= 0 else transfers.filter(hours_between("intime", "outtime") >= hours)
 
 
-def _gap_flags(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers, keys: list[str], hot: bool) -> DataFrame:
-    """t0, first start, return time and what the gap contains, per case."""
-    unit, inside = F.col("careunit"), in_units("careunit", tier)
-    start = F.col("intime")
+def _gap_flags(transfers: DataFrame, cohorts: dict[str, tuple[str, ...]], tiers: Tiers, keys: list[str], hot: bool) -> DataFrame:
+    """t0, first start, return time and what the gap contains, per cohort and case, in one pass for all cohorts."""
+    start, unit = F.col("intime"), F.col("careunit")
+    inside = {c: in_units(unit, tier) for c, tier in cohorts.items()}
+    t0, back = (lambda c: F.col(f"__t0_{c}")), (lambda c: F.col(f"__back_{c}"))
     rows = transfers.select(*keys, "careunit", "intime", "outtime")
-    rows = group_values(rows, keys, {"t0": F.min(F.when(inside, F.col("outtime")))}, hot)
-    rows = group_values(rows, keys, {"t_return": F.min(F.when(inside & (start > F.col("t0")), start))}, hot)
-    gap = (start >= F.col("t0")) & (start < F.col("t_return"))
-    seen = lambda condition: F.bool_or(F.when(gap, condition))
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.min("t0").alias("t0"),
-            F.min(F.when(inside, start)).alias("first_in"),
-            F.min("t_return").alias("t_return"),
-            seen(~inside).alias("outside"),
-            seen(in_units(unit, tiers.critical)).alias("via_critical"),
-            seen(in_units(unit, tiers.intermediate)).alias("via_intermediate"),
-            seen(in_units(unit, tiers.pacu)).alias("via_pacu"),
-            F.bool_or(inside).alias("in_cohort"),
-        )
-        .filter("in_cohort")
-        .drop("in_cohort")
+    rows = group_values(rows, keys, {f"__t0_{c}": F.min(F.when(i, F.col("outtime"))) for c, i in inside.items()}, hot)
+    rows = group_values(
+        rows, keys, {f"__back_{c}": F.min(F.when(i & (start > t0(c)), start)) for c, i in inside.items()}, hot
     )
 
+    def seen(cohort: str, condition) -> Column:
+        return F.bool_or(F.when((start >= t0(cohort)) & (start < back(cohort)), condition))
+
+    frames = [
+        F.struct(
+            F.lit(c).alias("cohort"),
+            F.min(t0(c)).alias("t0"),
+            F.min(F.when(i, start)).alias("first_in"),
+            F.min(back(c)).alias("t_return"),
+            seen(c, ~i).alias("outside"),
+            seen(c, in_units(unit, tiers.critical)).alias("via_critical"),
+            seen(c, in_units(unit, tiers.intermediate)).alias("via_intermediate"),
+            seen(c, in_units(unit, tiers.pacu)).alias("via_pacu"),
+            F.bool_or(i).alias("in_cohort"),
+        )
+        for c, i in inside.items()
+    ]
+    per_case = rows.groupBy(*keys).agg(F.array(*frames).alias("frames"))
+    return per_case.select(*keys, F.inline("frames")).filter("in_cohort").drop("in_cohort")
 
-def returns(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers(), keys: list[str] = ["hadm_id"]) -> DataFrame:
-    """One row per case of the tier with the return, what happened in between, and every label variant.
 
-    t0        earliest end of a tier row
+def cohort_returns(
+    transfers: DataFrame, cohorts: dict[str, tuple[str, ...]], tiers: Tiers = Tiers(), keys: list[str] = ["hadm_id"]
+) -> DataFrame:
+    """One row per cohort and case with the return, what happened in between, and every label variant.
+
+    t0        earliest end of a row in the cohort's tier
     t_return  earliest start of a tier row strictly after t0
     gap rows  all rows of the case with t0 <= start < t_return
 
@@ -71,9 +79,9 @@ def returns(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers(),
     left_corrpacu  as left_corr, but a return by PACU also counts
     """
     cold, hot, _ = split_hot(transfers, keys)
-    frame = _gap_flags(cold, tier, tiers, keys, False)
+    frame = _gap_flags(cold, cohorts, tiers, keys, False)
     if hot is not None:
-        frame = frame.unionByName(_gap_flags(hot, tier, tiers, keys, True))
+        frame = frame.unionByName(_gap_flags(hot, cohorts, tiers, keys, True))
     returned = F.col("t_return").isNotNull()
     seen = lambda name: F.coalesce(F.col(name), F.lit(False))
     route = (
@@ -94,13 +102,18 @@ def returns(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers(),
     )
 
 
-def collapsed_returns(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers()) -> DataFrame:
-    """The return frame on collapsed rows; its ``left_corr`` is the collapse label."""
-    return returns(collapse(transfers), tier, tiers)
+def returns(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers(), keys: list[str] = ["hadm_id"]) -> DataFrame:
+    """``cohort_returns`` for a single tier, without the cohort column."""
+    return cohort_returns(transfers, {"": tier}, tiers, keys).drop("cohort")
 
 
-def dwell_sweep(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tiers(), hours: tuple[float, ...] = (0, 1, 4, 12, 24)) -> DataFrame:
-    """Route counts and label rate for several minimum stays, all in one job.
+def dwell_sweep(
+    transfers: DataFrame,
+    cohorts: dict[str, tuple[str, ...]],
+    tiers: Tiers = Tiers(),
+    hours: tuple[float, ...] = (0, 1, 4, 12, 24),
+) -> DataFrame:
+    """Route counts and label rate per cohort for several minimum stays, all in one job.
 
     Short rows are dropped after a first collapse, then what became adjacent is collapsed again.
     """
@@ -109,15 +122,15 @@ def dwell_sweep(transfers: DataFrame, tier: tuple[str, ...], tiers: Tiers = Tier
     long_enough = grid.filter(
         (F.col("min_dwell_h") <= 0) | (hours_between("intime", "outtime") >= F.col("min_dwell_h"))
     )
-    keys = ["min_dwell_h", "hadm_id"]
-    frame = returns(collapse(long_enough, keys), tier, tiers, keys)
-    return route_table(frame, ["min_dwell_h"])
+    keys = ["hadm_id", "min_dwell_h"]
+    frame = cohort_returns(collapse(long_enough, keys), cohorts, tiers, keys)
+    return route_table(frame, ["cohort", "min_dwell_h"])
 
 
 def route_table(frame: DataFrame, keys: list[str]) -> DataFrame:
     via = lambda name: F.count_if(F.col("route") == name).alias(name)
     return frame.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cohort"),
+        F.count(F.lit(1)).alias("n_cases"),
         F.sum("returned").alias("returned"),
         *[via(r) for r in ("via_critical", "via_intermediate", "via_pacu", "via_ward")],
         F.round(100 * F.avg("left_corr"), 3).alias("rate_pct"),
@@ -168,10 +181,10 @@ def structural_negatives(transfers: DataFrame, tier: tuple[str, ...]) -> DataFra
     return onward_cases(transfers, tier).filter("onward = 0").select("hadm_id")
 
 
-def label_gate(stored: DataFrame, recomputed: DataFrame, label: str, key: str = "hadm_id") -> DataFrame:
+def label_gate(stored: DataFrame, recomputed: DataFrame, label: str, by: list[str] = []) -> DataFrame:
     """Cases both tables know, and how many of them disagree.  The gate is passed at zero."""
-    right = recomputed.select(key, F.col(label).alias("__new"))
-    return stored.join(right, key).agg(
+    right = recomputed.select(*by, "hadm_id", F.col(label).alias("__new"))
+    return stored.join(right, [*by, "hadm_id"]).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_common"),
         F.count_if(~F.col(label).eqNullSafe(F.col("__new"))).alias("n_mismatch"),
     )
@@ -184,8 +197,8 @@ def label_transition(frame: DataFrame, old: str, new: str, keys: list[str] = [])
     )
 
 
-def swap_label(matrix: DataFrame, labels: DataFrame, label: str, new: str, key: str = "hadm_id") -> DataFrame:
+def swap_label(matrix: DataFrame, labels: DataFrame, label: str, new: str, by: list[str] = []) -> DataFrame:
     """Replace the label of a matrix by another variant; cases the variant lacks become 0."""
-    fresh = labels.select(key, F.col(new).alias("__new"))
-    joined = matrix.drop(label).join(fresh, key, "left").withColumn(label, F.coalesce("__new", F.lit(0)))
+    fresh = labels.select(*by, "hadm_id", F.col(new).alias("__new"))
+    joined = matrix.drop(label).join(fresh, [*by, "hadm_id"], "left").withColumn(label, F.coalesce("__new", F.lit(0)))
     return joined.select(*matrix.columns)

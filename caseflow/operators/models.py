@@ -16,6 +16,7 @@ from caseflow.operators import metrics
 from caseflow.operators.analysis import union_results
 from caseflow.operators.neighbours import NEIGHBOURS, nearest, vote
 from caseflow.operators.prep import Prepared, prepare
+from caseflow.session import durable
 
 INCREMENTAL_ORDER = ("demographics", "clinical_core", "chronic_count", "charlson", "icd_chapters", "process")
 AT_DISCHARGE = ("icd_chapters", "charlson", "chronic_count")
@@ -76,15 +77,14 @@ def fit_predict(name: str, data: Prepared, seed: int = 42, **options) -> DataFra
 def run_row(name: str, cohort: str, condition: str, data: Prepared, split_id: str, seed: int = 42, **options) -> DataFrame:
     """One result row: metrics, times, number of features, positive rate, seed and split id."""
     started = time.perf_counter()
-    scored = fit_predict(name, data, seed, **options).persist()
+    scored = fit_predict(name, data, seed, **options)
     fitted = time.perf_counter()
-    scored.count()
+    scored = durable(scored)
     predicted = time.perf_counter()
     at_half = metrics.threshold_metrics(scored, []).select("Accuracy", "Precision", "Recall", "F1")
     ranked = metrics.rank_metrics(scored.withColumn("run", F.lit(1)), ["run"]).select("AUROC", "AUPRC")
     values = at_half.first().asDict() | (ranked.first() or _no_rows(ranked)).asDict()
     rate = data.train.agg(F.round(F.avg("label"), 4)).first()[0]
-    scored.unpersist()
     row = {
         "Model": name, "Cohort": cohort, "Condition": condition,
         **{m: values[m] for m in ("Accuracy", "AUROC", "AUPRC", "Precision", "Recall", "F1")},

@@ -8,6 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.session import durable
+
 MAX_CATEGORIES = 1000
 
 
@@ -58,6 +60,17 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> Scaler:
     return Scaler(mean, sd)
 
 
+def standardize(df: DataFrame, is_train: Column, columns: list[str], by: list[str]) -> DataFrame:
+    """Scale per group (such as a cohort) with the statistics of the group's training rows."""
+    stats = df.filter(is_train).groupBy(*by).agg(
+        *[F.avg(c).alias(f"__m_{c}") for c in columns],
+        *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns],
+    )
+    sd = lambda c: F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)
+    joined = df.join(stats, by).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / sd(c) for c in columns})
+    return joined.select(*df.columns)
+
+
 def class_weights(df: DataFrame, label: str, keys: list[str] = []) -> DataFrame:
     """Counts, balanced weights n / (2 n_c), and neg / max(pos, 1)."""
     pos, neg, n = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.count(label)
@@ -88,6 +101,12 @@ class Prepared:
     names: list[str]
 
 
+def _few(df: DataFrame) -> int:
+    """Partitions for a training set: each at least a few thousand rows, at most the shuffle setting."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, df.count() // 5000))
+
+
 def prepare(matrix: DataFrame, split: DataFrame, label: str, columns: list[str], categorical: list[str], extra: DataFrame | None = None) -> Prepared:
     """One-hot over the cohort, standardise on train, assemble: (hadm_id, label, weight, features).
 
@@ -102,7 +121,7 @@ def prepare(matrix: DataFrame, split: DataFrame, label: str, columns: list[str],
     numbered = hot.select(
         "hadm_id", "label", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(x) for c, x in plain.items()]
     ).join(split.select("hadm_id", "part"), "hadm_id")
-    numbered = numbered.persist()
+    numbered = durable(numbered.coalesce(_few(numbered)))
     scaler = fit_scaler(numbered.filter("part = 'train'"), list(plain.values()))
     vectors = VectorAssembler(inputCols=list(plain.values()), outputCol="features").transform(scaler.apply(numbered))
     rows = vectors.select("hadm_id", "label", "part", "features")

@@ -21,82 +21,90 @@ def _dealt(position: str, test_folds: int, val_folds: int) -> Column:
 
 
 def grouped_split(
-    labels: DataFrame, label: str, seed: int = SEED, test_folds: int = TEST_FOLDS, val_folds: int = VAL_FOLDS
+    labels: DataFrame, label: str, seed: int = SEED, test_folds: int = TEST_FOLDS, val_folds: int = VAL_FOLDS, by: list[str] = []
 ) -> DataFrame:
     """(hadm_id, subject_id, label, part) such that no subject is in two parts.
 
     Subjects are stratified by whether they have a positive case, ordered by a hash of id and seed,
     and dealt in turn.  Strata are only two, so their positions come from the hot-key path at scale.
+    ``by`` names columns (such as a cohort) whose values are split independently.
     """
-    subjects = labels.groupBy("subject_id").agg(F.max(label).alias("stratum"))
+    subjects = labels.groupBy(*by, "subject_id").agg(F.max(label).alias("stratum"))
     hashed = subjects.withColumn("m", F.md5(F.concat_ws(":", F.col("subject_id").cast("string"), F.lit(str(seed)))))
-    dealt = positions(hashed, ["stratum"], ["m", "subject_id"]).select(
-        "subject_id", _dealt("pos", test_folds, val_folds).alias("part")
+    dealt = positions(hashed, [*by, "stratum"], ["m", "subject_id"]).select(
+        *by, "subject_id", _dealt("pos", test_folds, val_folds).alias("part")
     )
-    return labels.select("hadm_id", "subject_id", label).join(dealt, "subject_id").select("hadm_id", "subject_id", label, "part")
+    cases = labels.select(*by, "hadm_id", "subject_id", label)
+    return cases.join(dealt, [*by, "subject_id"]).select(*by, "hadm_id", "subject_id", label, "part")
 
 
-def stratified_split(labels: DataFrame, label: str, seed: int = SEED, test_folds: int = 5, val_folds: int = 10) -> DataFrame:
+def stratified_split(
+    labels: DataFrame, label: str, seed: int = SEED, test_folds: int = 5, val_folds: int = 10, by: list[str] = []
+) -> DataFrame:
     """As ``grouped_split`` but case by case: subjects may end up in several parts."""
-    hashed = labels.select("hadm_id", "subject_id", label).withColumn(
+    hashed = labels.select(*by, "hadm_id", "subject_id", label).withColumn(
         "m", F.md5(F.concat_ws(":", F.col("hadm_id").cast("string"), F.lit(str(seed))))
     )
-    dealt = positions(hashed, [label], ["m", "hadm_id"])
+    dealt = positions(hashed, [*by, label], ["m", "hadm_id"])
     return dealt.withColumn("part", _dealt("pos", test_folds, val_folds)).drop("m", "pos")
 
 
-def split_checks(split: DataFrame, cohort: DataFrame) -> DataFrame:
+def split_checks(split: DataFrame, cohort: DataFrame, by: list[str] = []) -> DataFrame:
     """(check, n_bad): overlap of cases, overlap of subjects, cases missing from or foreign to the split."""
 
     def in_two(key: str) -> DataFrame:
-        return split.groupBy(key).agg(F.count_distinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_bad"))
+        parts = split.groupBy(*by, key).agg(F.count_distinct("part").alias("n"))
+        return parts.groupBy(*by).agg(F.count_if(F.col("n") > 1).alias("n_bad"))
 
-    ids = cohort.select("hadm_id").distinct().withColumn("c", F.lit(1))
-    both = split.select("hadm_id").distinct().withColumn("s", F.lit(1)).join(ids, "hadm_id", "full")
+    keys = [*by, "hadm_id"]
+    ids = cohort.select(*keys).distinct().withColumn("c", F.lit(1))
+    both = split.select(*keys).distinct().withColumn("s", F.lit(1)).join(ids, keys, "full").groupBy(*by)
+    unknown = ~F.coalesce(F.col("part").isin(*PARTS), F.lit(False))
     named = {
         "case_in_two_parts": in_two("hadm_id"),
         "subject_in_two_parts": in_two("subject_id"),
         "not_covered": both.agg(F.count_if(F.col("s").isNull()).alias("n_bad")),
         "not_in_cohort": both.agg(F.count_if(F.col("c").isNull()).alias("n_bad")),
-        "unknown_part": split.agg(F.count_if(~F.coalesce(F.col("part").isin(*PARTS), F.lit(False))).alias("n_bad")),
+        "unknown_part": split.groupBy(*by).agg(F.count_if(unknown).alias("n_bad")),
     }
     return reduce(
-        lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("check"), "n_bad") for name, df in named.items()]
+        lambda a, b: a.unionByName(b),
+        [df.select(*by, F.lit(name).alias("check"), "n_bad") for name, df in named.items()],
     )
 
 
-def split_profile(split: DataFrame, label: str) -> DataFrame:
-    counts = split.groupBy("part").agg(
+def split_profile(split: DataFrame, label: str, by: list[str] = []) -> DataFrame:
+    counts = split.groupBy(*by, "part").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("subject_id").alias("n_subjects"),
         F.sum(label).alias("n_pos"),
         F.round(F.avg(label), 4).alias("pos_rate"),
     )
-    every = Window.partitionBy(F.lit(0))  # three rows
+    every = Window.partitionBy(*(by or [F.lit(0)]))  # three rows per value of ``by``
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(every), 4))
 
 
-def digest_parts(split: DataFrame) -> DataFrame:
+def digest_parts(split: DataFrame, by: list[str] = []) -> DataFrame:
     """(part, n, digest): an order-free fingerprint of the ids of each part.
 
     Each id is hashed and the hashes are combined by XOR, so the digest is one small aggregate at any
     size; no id list is gathered.  Equal ids give an equal digest whatever the order.
     """
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", "part", F.col("hadm_id").cast("string"))), 1, 15), 16, 10)
-    return split.groupBy("part").agg(
+    return split.groupBy(*by, "part").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(hashed.cast("bigint")).alias("digest")
     )
 
 
-def split_digest(split: DataFrame) -> DataFrame:
-    """One row: 16 hex digits over the three part digests, NULL-safe for empty parts."""
+def split_digest(split: DataFrame, by: list[str] = []) -> DataFrame:
+    """16 hex digits over the three part digests; an empty part counts as 0."""
     part = lambda p: F.concat_ws(
         ":",
         F.lit(p),
         F.coalesce(F.max(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).cast("string"),
         F.coalesce(F.max(F.when(F.col("part") == p, F.col("digest"))), F.lit(0)).cast("string"),
     )
-    return digest_parts(split).agg(
+    return digest_parts(split, by).groupBy(*by).agg(
         F.sum("n").alias("n_common"),
         F.substring(F.sha2(F.concat_ws("|", *[part(p) for p in PARTS]), 256), 1, 16).alias("split_id"),
     )
@@ -140,13 +148,13 @@ def read_split(spark, folder: str, stratified_on: str = "lat") -> DataFrame:
     return parts
 
 
-def set_overlap(left: DataFrame, right: DataFrame, key: str = "hadm_id") -> DataFrame:
+def set_overlap(left: DataFrame, right: DataFrame, by: list[str] = [], key: str = "hadm_id") -> DataFrame:
     """Sizes, shared and one-sided counts and Jaccard of two id sets."""
-    a = left.select(key).distinct().withColumn("a", F.lit(1))
-    b = right.select(key).distinct().withColumn("b", F.lit(1))
+    a = left.select(*by, key).distinct().withColumn("a", F.lit(1))
+    b = right.select(*by, key).distinct().withColumn("b", F.lit(1))
     has_a, has_b = F.col("a").isNotNull(), F.col("b").isNotNull()
     both = F.count_if(has_a & has_b)
-    return a.join(b, key, "full").agg(
+    return a.join(b, [*by, key], "full").groupBy(*by).agg(
         F.count_if(has_a).alias("n_left"),
         F.count_if(has_b).alias("n_right"),
         both.alias("n_shared"),

@@ -213,3 +213,32 @@ def result_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.min("o_totalprice") / 1000000, 4).alias("F1"),
         F.round(F.count(F.lit(1)) / 8, 3).alias("Train_Time_s"),
     )
+
+
+def case_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Per case: a two-decimal score (so ties occur), numeric and categorical descriptors."""
+    at = F.struct("ts", "event_id")
+    return (
+        table(spark, folder, "events")
+        .withColumn("hadm_id", F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 5))
+        .groupBy("hadm_id")
+        .agg(
+            F.round(F.least(F.lit(1.0), F.avg("value") / 60), 2).alias("score"),
+            F.count(F.lit(1)).alias("n_events"),
+            F.avg("value").alias("mean_value"),
+            F.max("value").alias("max_value"),
+            F.min_by("event_type", at).alias("first_unit"),
+            F.max_by("event_type", at).alias("last_unit"),
+        )
+    )
+
+
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as (id, vec, label, part): a hash of the id deals rows to test (1 in 5) or train."""
+    deal = F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 4), 16, 10).cast("int") % 5
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("vec"),
+        (F.col("label") >= 5).cast("int").alias("label"),
+        F.when(deal == 0, "test").otherwise("train").alias("part"),
+    )
