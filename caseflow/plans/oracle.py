@@ -297,7 +297,8 @@ _BODIES = {
     "label_lat": "SELECT cohort, hadm_id, left_lat AS label FROM frame",
     "label_corr": "SELECT cohort, hadm_id, left_corr AS label FROM frame",
     "label_corrpacu": "SELECT cohort, hadm_id, left_corrpacu AS label FROM frame",
-    "label_route": """SELECT cohort, hadm_id, t0, first_in, t_return, via_critical, via_intermediate, via_pacu, returned, route,
+    "label_route": """SELECT cohort, hadm_id, t0, first_in, t_return, coalesce(via_critical::VARCHAR, '') AS via_critical,
+        coalesce(via_intermediate::VARCHAR, '') AS via_intermediate, coalesce(via_pacu::VARCHAR, '') AS via_pacu, returned, route,
         left_corr AS left_shift FROM frame""",
     "label_collapse": "SELECT cohort, hadm_id, route, left_corr AS label FROM flat",
     "label_swap": """SELECT f.cohort, f.hadm_id, coalesce(c.left_corr, 0) AS label FROM frame f LEFT JOIN flat c
@@ -326,13 +327,14 @@ _BODIES = {
         AS ed_admission FROM stays""",
     "process_features": "SELECT * FROM process",
     "location_profile": "SELECT * FROM profile",
-    "location_ladder": """SELECT *, CASE level WHEN 0 THEN 'Ward Care' WHEN 1 THEN 'Level 1 - Enhanced Care' WHEN 3 THEN 'Level 3 - Critical Care' END
-        AS level_name, CASE WHEN careunit IN ('signup','view') THEN 2 END AS alt_level,
-        CASE WHEN in_ladder THEN CASE level WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 END END AS ladder_rung FROM (
+    "location_ladder": """SELECT * REPLACE (coalesce(level::VARCHAR, '') AS level), CASE level WHEN 0 THEN 'Ward Care' WHEN 1 THEN 'Level 1 - Enhanced Care'
+        WHEN 3 THEN 'Level 3 - Critical Care' ELSE '' END AS level_name, CASE WHEN careunit IN ('signup','view') THEN '2' ELSE '' END AS alt_level,
+        CASE WHEN in_ladder THEN CASE level WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '2' END ELSE '' END AS ladder_rung FROM (
         SELECT *, CASE careunit WHEN 'purchase' THEN 3 WHEN 'signup' THEN 1 WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS level,
         careunit = 'view' AS is_procedural, careunit IN ('signup','view') AS contestable, careunit IN ('purchase','signup','click') AS in_ladder FROM profile)""",
-    "level_rollup": """SELECT level, CASE level WHEN 0 THEN 'Ward Care' WHEN 1 THEN 'Level 1 - Enhanced Care' WHEN 3 THEN 'Level 3 - Critical Care' END
-        AS level_name, count(*) AS units, CAST(sum(n_rows) AS BIGINT) AS rows, CAST(sum(n_admissions) AS BIGINT) AS admissions FROM (
+    "level_rollup": """SELECT coalesce(level::VARCHAR, '') AS level, CASE level WHEN 0 THEN 'Ward Care' WHEN 1 THEN 'Level 1 - Enhanced Care'
+        WHEN 3 THEN 'Level 3 - Critical Care' ELSE '' END AS level_name, count(*) AS units, CAST(sum(n_rows) AS BIGINT) AS rows,
+        CAST(sum(n_admissions) AS BIGINT) AS admissions FROM (
         SELECT *, CASE careunit WHEN 'purchase' THEN 3 WHEN 'signup' THEN 1 WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS level FROM profile) GROUP BY 1, 2""",
     "feature_matrix": "SELECT * FROM matrix",
     "feature_matrix_inner": """SELECT l.cohort, l.hadm_id, l.subject_id, l.left_old AS left_shift, age_band, gender, insurance, ethnicity, marital_status,

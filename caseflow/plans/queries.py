@@ -28,6 +28,11 @@ BY = ["cohort"]
 _HOURS = [f for f in ft.FEATURES if f.endswith("_hrs")]
 
 
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Optional values as text, empty where there is none, as the exported tables show them."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
+
+
 def query(build: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return build(tune(spark), folder)
@@ -180,10 +185,11 @@ for _column in ("left_old", "left_lat", "left_corr", "left_corrpacu"):
 
 @query
 def label_route(spark, d):
-    return pl.frames(spark, d).select(
+    frame = pl.frames(spark, d).select(
         "cohort", "hadm_id", "t0", "first_in", "t_return", "via_critical", "via_intermediate", "via_pacu", "returned",
         "route", F.col("left_corr").alias("left_shift"),
     )
+    return _shown(frame, "via_critical", "via_intermediate", "via_pacu")
 
 
 @query
@@ -298,12 +304,14 @@ def location_profile(spark, d):
 
 @query
 def location_ladder(spark, d):
-    return an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES)
+    ladder = an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES)
+    return _shown(ladder, "level", "level_name", "alt_level", "ladder_rung")
 
 
 @query
 def level_rollup(spark, d):
-    return an.level_rollup(an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES))
+    ladder = an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES)
+    return _shown(an.level_rollup(ladder), "level", "level_name")
 
 
 @query
