@@ -97,18 +97,19 @@ def bmi_category(bmi: Column) -> Column:
 
 
 def icd_chapter(version: Column, code: Column) -> Column:
-    """Chapter 1..18 of an ICD-9 or ICD-10 code, else NULL."""
-    category = F.when(code.rlike("^[0-9]{3}"), F.substring(code, 1, 3).cast("int"))
-    nine = F.when(code.rlike("^[VvEe]"), F.lit(18))
-    start = 1
-    for chapter, end in enumerate(ICD9_CHAPTER_ENDS, start=1):
-        nine = nine.when(category.between(start, end), F.lit(chapter))
-        start = end + 1
-    letter, digit = F.substring(code, 1, 1), F.substring(code, 2, 1)
-    ten = None
-    for chapter, letters in ICD10_CHAPTER_LETTERS.items():
-        hit = letter.isin(*letters)
-        ten = F.when(hit, F.lit(chapter)) if ten is None else ten.when(hit, F.lit(chapter))
-    for chapter, digits in ICD10_D_DIGITS.items():
-        ten = ten.when((letter == "D") & digit.isin(*digits), F.lit(chapter))
-    return F.when(version == 9, nine).when(version == 10, ten)
+    """Chapter 1..18 of an ICD-9 or ICD-10 code, else NULL.
+
+    Kept small on purpose: counting chapters evaluates it often, and a long CASE chain would make
+    the generated method too large to be compiled.
+    """
+    category = F.substring(code, 1, 3).cast("int")
+    passed = F.lit(1)
+    for end in ICD9_CHAPTER_ENDS[:-1]:
+        passed = passed + (category > end).cast("int")
+    numeric = F.when(category > 0, passed)
+    nine = F.when(code.rlike("^[0-9]{3}"), numeric).when(F.upper(F.substring(code, 1, 1)).isin("V", "E"), F.lit(18))
+    heads = {letter: chapter for chapter, letters in ICD10_CHAPTER_LETTERS.items() for letter in letters}
+    heads |= {f"D{digit}": chapter for chapter, digits in ICD10_D_DIGITS.items() for digit in digits}
+    table = F.create_map(*[F.lit(x) for item in heads.items() for x in item])
+    head = F.when(code.startswith("D"), F.substring(code, 1, 2)).otherwise(F.substring(code, 1, 1))
+    return F.when(version == 9, nine).when(version == 10, F.element_at(table, head))
