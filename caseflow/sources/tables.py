@@ -9,31 +9,39 @@ from pyspark.sql import types as T
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(),
+    "DATE": T.DateType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def schema_of(columns: str) -> T.StructType:
+    """'name TYPE, name TYPE' as a schema; needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # The source tables by name; only the columns the operators read.
 SCHEMAS = {
-    "admissions": _schema(
+    "admissions": schema_of(
         "hadm_id BIGINT, subject_id BIGINT, admittime TIMESTAMP_NTZ, dischtime TIMESTAMP_NTZ, admission_type STRING, "
         "admission_location STRING, insurance STRING, race STRING, marital_status STRING"
     ),
-    "patients": _schema("subject_id BIGINT, anchor_age INT, gender STRING"),
-    "transfers": _schema(
+    "patients": schema_of("subject_id BIGINT, anchor_age INT, gender STRING"),
+    "transfers": schema_of(
         "hadm_id BIGINT, subject_id BIGINT, event_id BIGINT, careunit STRING, eventtype STRING, "
         "intime TIMESTAMP_NTZ, outtime TIMESTAMP_NTZ"
     ),
-    "labevents": _schema("hadm_id BIGINT, flag STRING"),
-    "diagnoses_icd": _schema("hadm_id BIGINT, seq_num INT, icd_version INT, icd_code STRING"),
-    "prescriptions": _schema("hadm_id BIGINT, drug STRING"),
-    "omr": _schema(
+    "labevents": schema_of("hadm_id BIGINT, flag STRING"),
+    "diagnoses_icd": schema_of("hadm_id BIGINT, seq_num INT, icd_version INT, icd_code STRING"),
+    "prescriptions": schema_of("hadm_id BIGINT, drug STRING"),
+    "omr": schema_of(
         "subject_id BIGINT, event_id BIGINT, chartdate DATE, result_name STRING, result_value STRING"
     ),
-    "icustays": _schema("hadm_id BIGINT, stay_id BIGINT, intime TIMESTAMP_NTZ, outtime TIMESTAMP_NTZ"),
-    "event_log": _schema("case_id BIGINT, event_time TIMESTAMP_NTZ, activity STRING, tie BIGINT"),
-    "charlson_map": _schema("condition STRING, weight INT, icd_version INT, icd_code STRING"),
-    "chronic_codes": _schema("icd_version INT, icd_code STRING"),
+    "icustays": schema_of("hadm_id BIGINT, stay_id BIGINT, intime TIMESTAMP_NTZ, outtime TIMESTAMP_NTZ"),
+    "event_log": schema_of("case_id BIGINT, event_time TIMESTAMP_NTZ, activity STRING, tie BIGINT"),
+    "charlson_map": schema_of("condition STRING, weight INT, icd_version INT, icd_code STRING"),
+    "chronic_codes": schema_of("icd_version INT, icd_code STRING"),
 }
 
 
@@ -48,7 +56,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, c
         schema = T.StructType([schema[c] for c in columns])
     first = path if isinstance(path, str) else path[0]
     header = header_columns(spark, first)
-    in_file_order = [T.StructField(c, schema[c].dataType) if c in schema.names else T.StructField(c, T.StringType()) for c in header]
+    in_file_order = [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
     table = reader.option("enforceSchema", False).schema(T.StructType(in_file_order)).csv(path)
     return table.select(*schema.names)
 
