@@ -46,8 +46,11 @@ def tier_cases(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
 
 
 def of_cohort(df: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Rows of cases in the cohort; the cohort may list a case many times."""
-    return df.join(cohort.select(KEY), KEY, "left_semi")
+    """Rows of cases in the cohort.
+
+    The cohort may list a case many times; the repeats are combined before they are exchanged.
+    """
+    return df.join(cohort.select(KEY).distinct(), KEY, "left_semi")
 
 
 def with_counts(cases: DataFrame, counts: DataFrame, by: list[str] = []) -> DataFrame:
@@ -105,14 +108,11 @@ def clinical_features(
 ) -> DataFrame:
     """Laboratory, diagnosis and drug counts of the cohort.
 
-    Each fact table is cut to the cohort and reduced to one row per case before any join.
+    Each fact table is reduced to one row per case, map side first, before it meets the cohort: raw
+    fact rows are never exchanged for a join, however many of them one case has.
     """
     cases = of_cohort(admissions.select(KEY, "subject_id"), cohort)
-    facts = [
-        lab_counts(of_cohort(labevents, cohort)),
-        diagnosis_counts(of_cohort(diagnoses, cohort)),
-        drug_counts(of_cohort(prescriptions, cohort)),
-    ]
+    facts = [lab_counts(labevents), diagnosis_counts(diagnoses), drug_counts(prescriptions)]
     return reduce(with_counts, facts, cases)
 
 

@@ -101,12 +101,6 @@ class Prepared:
     names: list[str]
 
 
-def _few(df: DataFrame) -> int:
-    """Partitions for a training set: each at least a few thousand rows, at most the shuffle setting."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, df.count() // 5000))
-
-
 def prepare(matrix: DataFrame, split: DataFrame, label: str, columns: list[str], categorical: list[str], extra: DataFrame | None = None) -> Prepared:
     """One-hot over the cohort, standardise on train, assemble: (hadm_id, label, weight, features).
 
@@ -121,7 +115,7 @@ def prepare(matrix: DataFrame, split: DataFrame, label: str, columns: list[str],
     numbered = hot.select(
         "hadm_id", "label", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(x) for c, x in plain.items()]
     ).join(split.select("hadm_id", "part"), "hadm_id")
-    numbered = durable(numbered.coalesce(_few(numbered)))
+    numbered = durable(numbered)
     scaler = fit_scaler(numbered.filter("part = 'train'"), list(plain.values()))
     vectors = VectorAssembler(inputCols=list(plain.values()), outputCol="features").transform(scaler.apply(numbered))
     rows = vectors.select("hadm_id", "label", "part", "features")

@@ -59,14 +59,14 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
     """The feature matrix of both cohorts: cohort, two ids, the primary label and 39 features.
 
-    The label table is written down first: nine feature tables are cut to its cases.
+    The label table is written down first, because several feature tables are cut to its cases.
     """
     base = durable(labels(spark, folder).select("cohort", "hadm_id", "subject_id", F.col("left_lat").alias(LABEL)))
     adm = m.admissions(spark, folder)
     stays = m.order_admissions(spark, folder)
-    diagnoses = ft.of_cohort(m.diagnoses(spark, folder), base)
+    diagnoses = m.diagnoses(spark, folder)
     clinical = ft.clinical_features(
-        stays, m.labevents(spark, folder), m.diagnoses(spark, folder), m.prescriptions(spark, folder), base
+        stays, m.labevents(spark, folder), diagnoses, m.prescriptions(spark, folder), base
     ).select("hadm_id", "pct_abnormal_labs", "num_medications", "polypharmacy")
     process = ft.process_features(moves(spark, folder), points(spark, folder), m.TIER_A, m.TIER_B, ["cohort"])
     parts = [

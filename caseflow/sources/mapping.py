@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseflow.functions.locations import (
     AREA_ICU, AREA_MEDICAL, AREA_STEPDOWN, AREA_SURGERY, Rung, Tiers,
@@ -50,8 +51,15 @@ CHRONIC_ROWS = ((9, "250"), (9, "420"), (9, "V01"), (10, "A01"), (10, "K05"), (1
 MODELS = {"1-URGENT": "GB", "2-HIGH": "RF", "3-MEDIUM": "MLP", "4-NOT SPECIFIED": "LSTM", "5-LOW": "CNN"}
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table.  Its schema is inferred once per process; each inference is a small Spark job."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def transfers(spark: SparkSession, folder: str) -> DataFrame:
