@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,99 +19,121 @@ from caseflow.sources import mapping as m
 LABEL = "left_shift"
 
 
+@dataclass
+class Tables:
+    """A folder of mapped tables.
+
+    ``keep`` writes the transfers down once.  Use it where a query reads them on several ways that
+    prune them differently, since then every way would scan, exchange and sort the events again.
+    """
+
+    spark: SparkSession
+    folder: str
+    keep: bool = False
+
+    @property
+    def at(self) -> tuple[SparkSession, str]:
+        return self.spark, self.folder
+
+    @cached_property
+    def moves(self) -> DataFrame:
+        rows = m.transfers(*self.at)
+        return durable(rows) if self.keep else rows
+
+
 def per_cohort(build) -> DataFrame:
     """Union of ``build(cohort, tier)`` over the cohorts, with a cohort column."""
     parts = [build(name, tier).withColumn("cohort", F.lit(name)) for name, tier in m.COHORTS.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def moves(spark: SparkSession, folder: str) -> DataFrame:
-    return m.transfers(spark, folder)
+def moves(t: Tables) -> DataFrame:
+    return t.moves
 
 
-def usable_moves(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.usable(m.transfers(spark, folder))
+def usable_moves(t: Tables) -> DataFrame:
+    return ev.usable(moves(t))
 
 
-def log(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.clean_log(ev.event_log(m.stays_of(spark, folder), m.transfers(spark, folder), m.AREAS))
+def log(t: Tables) -> DataFrame:
+    return ev.clean_log(ev.event_log(m.stays_of(*t.at), moves(t), m.AREAS))
 
 
-def points(spark: SparkSession, folder: str) -> DataFrame:
+def points(t: Tables) -> DataFrame:
     """(cohort, hadm_id, prediction_point)."""
-    return ev.cohort_points(m.transfers(spark, folder), m.COHORTS)
+    return ev.cohort_points(moves(t), m.COHORTS)
 
 
-def frames(spark: SparkSession, folder: str) -> DataFrame:
+def frames(t: Tables) -> DataFrame:
     """The return frame of every cohort."""
-    return lb.cohort_returns(usable_moves(spark, folder), m.COHORTS, m.TIERS)
+    return lb.cohort_returns(usable_moves(t), m.COHORTS, m.TIERS)
 
 
-def flat_frames(spark: SparkSession, folder: str) -> DataFrame:
+def flat_frames(t: Tables) -> DataFrame:
     """The return frame on collapsed stays; its ``left_corr`` is the collapse label."""
-    return lb.cohort_returns(lb.collapse(usable_moves(spark, folder)), m.COHORTS, m.TIERS)
+    return lb.cohort_returns(lb.collapse(usable_moves(t)), m.COHORTS, m.TIERS)
 
 
-def labels(spark: SparkSession, folder: str) -> DataFrame:
+def labels(t: Tables) -> DataFrame:
     """The return frame with the subject of each case (the mapping keeps it in the case id)."""
-    return frames(spark, folder).withColumn("subject_id", F.floor(F.col("hadm_id") / 10))
+    return frames(t).withColumn("subject_id", F.floor(F.col("hadm_id") / 10))
 
 
-def matrix(spark: SparkSession, folder: str) -> DataFrame:
+def matrix(t: Tables) -> DataFrame:
     """The feature matrix of both cohorts: cohort, two ids, the primary label and 39 features.
 
     The label table is written down first, because several feature tables are cut to its cases.
     """
-    base = durable(labels(spark, folder).select("cohort", "hadm_id", "subject_id", F.col("left_lat").alias(LABEL)))
-    adm = m.admissions(spark, folder)
-    stays = m.order_admissions(spark, folder)
-    diagnoses = m.diagnoses(spark, folder)
+    base = durable(labels(t).select("cohort", "hadm_id", "subject_id", F.col("left_lat").alias(LABEL)))
+    adm = m.admissions(*t.at)
+    stays = m.order_admissions(*t.at)
+    diagnoses = m.diagnoses(*t.at)
     clinical = ft.clinical_features(
-        stays, m.labevents(spark, folder), diagnoses, m.prescriptions(spark, folder), base
+        stays, m.labevents(*t.at), diagnoses, m.prescriptions(*t.at), base
     ).select("hadm_id", "pct_abnormal_labs", "num_medications", "polypharmacy")
-    process = ft.process_features(moves(spark, folder), points(spark, folder), m.TIER_A, m.TIER_B, ["cohort"])
+    process = ft.process_features(moves(t), points(t), m.TIER_A, m.TIER_B, ["cohort"])
     parts = [
-        ft.demographics(adm, m.patients(spark, folder), base, m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS),
+        ft.demographics(adm, m.patients(*t.at), base, m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS),
         ft.uhr_features(stays, emergency_types=m.EMERGENCY_TYPES),
-        ft.bmi_features(stays, m.measurements(spark, folder)).select("hadm_id", "bmi_category"),
+        ft.bmi_features(stays, m.measurements(*t.at)).select("hadm_id", "bmi_category"),
         clinical,
         ft.admission_location(stays),
         process,
     ]
     counted = [
-        ft.ed_flags(log(spark, folder), ("Admission to Medical Ward",)),
+        ft.ed_flags(log(t), ("Admission to Medical Ward",)),
         ft.chapter_counts(diagnoses),
-        ft.charlson_scores(diagnoses, m.charlson_map(spark)),
-        ft.chronic_counts(diagnoses, m.chronic_codes(spark)),
+        ft.charlson_scores(diagnoses, m.charlson_map(t.spark)),
+        ft.chronic_counts(diagnoses, m.chronic_codes(t.spark)),
     ]
     wide = reduce(ft.with_counts, counted, ft.feature_matrix(base, parts, by=["cohort"]))
     return wide.select("cohort", "hadm_id", "subject_id", LABEL, *ft.FEATURES)
 
 
-def filled_matrix(spark: SparkSession, folder: str, cohort: str) -> DataFrame:
+def filled_matrix(t: Tables, cohort: str) -> DataFrame:
     """The 42-column matrix of one cohort without NULLs, written down for the model runs."""
-    wide = matrix(spark, folder).filter(F.col("cohort") == cohort).drop("cohort")
+    wide = matrix(t).filter(F.col("cohort") == cohort).drop("cohort")
     numeric = [f for f in ft.FEATURES if f not in ft.CATEGORICAL]
     return durable(ft.fill_unknown(wide, list(ft.CATEGORICAL)).fillna(0, subset=numeric))
 
 
-def split(spark: SparkSession, folder: str) -> DataFrame:
+def split(t: Tables) -> DataFrame:
     """Grouped split of the cases that have at least one event before their prediction point."""
     keys = ["cohort", "hadm_id"]
-    encoded = ev.prefix(log(spark, folder), points(spark, folder)).withColumnRenamed("case_id", "hadm_id").select(*keys)
-    cases = labels(spark, folder).select(*keys, "subject_id", "left_lat").join(encoded, keys, "left_semi")
+    encoded = ev.prefix(log(t), points(t)).withColumnRenamed("case_id", "hadm_id").select(*keys)
+    cases = labels(t).select(*keys, "subject_id", "left_lat").join(encoded, keys, "left_semi")
     return sp.grouped_split(cases, "left_lat", by=["cohort"])
 
 
-def cohort_split(spark: SparkSession, folder: str, cohort: str) -> DataFrame:
-    return durable(split(spark, folder).filter(F.col("cohort") == cohort).drop("cohort"))
+def cohort_split(t: Tables, cohort: str) -> DataFrame:
+    return durable(split(t).filter(F.col("cohort") == cohort).drop("cohort"))
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def scored(t: Tables) -> DataFrame:
     """Scored rows of both cohorts with descriptors: cohort, hadm_id, label, score, ..."""
-    cases = frames(spark, folder).select("cohort", "hadm_id", F.col("left_lat").alias("label"))
-    return cases.join(m.case_values(spark, folder), "hadm_id")
+    cases = frames(t).select("cohort", "hadm_id", F.col("left_lat").alias("label"))
+    return cases.join(m.case_values(*t.at), "hadm_id")
 
 
-def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    return confusion_tags(scored(spark, folder), 0.55)
+def tagged(t: Tables) -> DataFrame:
+    return confusion_tags(scored(t), 0.55)

@@ -33,89 +33,94 @@ def _shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
 
 
-def query(build: Query) -> Query:
+def query(build: Callable[[pl.Tables], DataFrame], keep: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(tune(spark), folder)
+        return build(pl.Tables(tune(spark), folder, keep))
 
     QUERIES[build.__name__] = run
     return build
 
 
+def keeping_query(build: Callable[[pl.Tables], DataFrame]):
+    """A query that reads the transfers on several ways; they are written down once."""
+    return query(build, keep=True)
+
+
 # --- logs -------------------------------------------------------------------------------------------
 
 
 @query
-def event_log(spark, d):
-    return ev.event_log(m.stays_of(spark, d), m.transfers(spark, d), m.AREAS)
+def event_log(t):
+    return ev.event_log(m.stays_of(*t.at), pl.moves(t), m.AREAS)
 
 
 @query
-def raw_event_log(spark, d):
-    return ev.raw_event_log(m.stays_of(spark, d), m.icustays(m.transfers(spark, d)))
+def raw_event_log(t):
+    return ev.raw_event_log(m.stays_of(*t.at), m.icustays(pl.moves(t)))
 
 
 @query
-def clean_log(spark, d):
-    return ev.export_log(pl.log(spark, d))
+def clean_log(t):
+    return ev.export_log(pl.log(t))
 
 
 @query
-def cleaning_report(spark, d):
-    return ev.cleaning_report(ev.event_log(m.stays_of(spark, d), m.transfers(spark, d), m.AREAS))
+def cleaning_report(t):
+    return ev.cleaning_report(ev.event_log(m.stays_of(*t.at), pl.moves(t), m.AREAS))
 
 
 @query
-def case_trace(spark, d):
-    return ev.case_trace(pl.log(spark, d)).select("case_id", "pos", "activity", "event_time")
+def case_trace(t):
+    return ev.case_trace(pl.log(t)).select("case_id", "pos", "activity", "event_time")
 
 
 @query
-def log_summary(spark, d):
-    return ev.log_summary(pl.log(spark, d))
+def log_summary(t):
+    return ev.log_summary(pl.log(t))
 
 
 @query
-def activity_freq(spark, d):
-    return ev.frequency(pl.log(spark, d), "activity").orderBy(F.col("n").desc(), "activity")
+def activity_freq(t):
+    return ev.frequency(pl.log(t), "activity").orderBy(F.col("n").desc(), "activity")
 
 
 @query
-def transfer_freq(spark, d):
-    return ev.frequency(m.table(spark, d, "events"), "event_type").orderBy(F.col("n").desc(), "event_type")
+def transfer_freq(t):
+    return ev.frequency(m.table(*t.at, "events"), "event_type").orderBy(F.col("n").desc(), "event_type")
 
 
 @query
-def first_activity(spark, d):
-    return ev.first_activity(pl.log(spark, d))
+def first_activity(t):
+    return ev.first_activity(pl.log(t))
 
 
 @query
-def directly_follows(spark, d):
-    edges = ev.directly_follows(pl.log(spark, d))
+def directly_follows(t):
+    edges = ev.directly_follows(pl.log(t))
     return edges.withColumns({c: F.round(c, 6) for c in ("mean_gap_hours", "median_gap_hours")})
 
 
 @query
-def process_ends(spark, d):
-    return ev.end_points(pl.log(spark, d))
+def process_ends(t):
+    return ev.end_points(pl.log(t))
 
 
 @query
-def prediction_points(spark, d):
-    return pl.points(spark, d)
+def prediction_points(t):
+    return pl.points(t)
 
 
 @query
-def prefix_events(spark, d):
-    return ev.prefix(pl.log(spark, d), pl.points(spark, d)).select("cohort", "case_id", "event_time", "activity")
+def prefix_events(t):
+    return ev.prefix(pl.log(t), pl.points(t)).select("cohort", "case_id", "event_time", "activity")
 
 
 # --- encodings --------------------------------------------------------------------------------------
 
 
 @query
-def sequences(spark, d):
-    encoded = en.encode_sequences(pl.log(spark, d), pl.points(spark, d), by=BY)
+def sequences(t):
+    encoded = en.encode_sequences(pl.log(t), pl.points(t), by=BY)
     seq = F.col("seq")
     return encoded.select(
         "cohort",
@@ -131,49 +136,49 @@ def _text(tokens):
 
 
 @query
-def sequence_profile(spark, d):
-    rows = en.sequence_profile(pl.log(spark, d), pl.points(spark, d), by=BY)
+def sequence_profile(t):
+    rows = en.sequence_profile(pl.log(t), pl.points(t), by=BY)
     return rows.withColumns({c: F.round(c, 6) for c in ("mean_len", "p95_len")})
 
 
 @query
-def vocabulary_gaps(spark, d):
+def vocabulary_gaps(t):
     known = {a: i for a, i in loc.ACTIVITY_IDS.items() if not a.endswith("Stepdown")}
-    return en.unknown_activities(pl.log(spark, d), known)
+    return en.unknown_activities(pl.log(t), known)
 
 
 def _train(split):
     return split.filter("part = 'train'")
 
 
-@query
-def bow_vocab(spark, d):
-    counts = en.ngrams(pl.log(spark, d), pl.points(spark, d), by=BY)
-    return en.fit_vocabulary(counts, _train(pl.split(spark, d)), by=BY)
+@keeping_query
+def bow_vocab(t):
+    counts = en.ngrams(pl.log(t), pl.points(t), by=BY)
+    return en.fit_vocabulary(counts, _train(pl.split(t)), by=BY)
 
 
-@query
-def bow_features(spark, d):
-    counts = en.ngrams(pl.log(spark, d), pl.points(spark, d), by=BY)
-    return en.bag_of_ngrams(counts, en.fit_vocabulary(counts, _train(pl.split(spark, d)), by=BY), by=BY)
+@keeping_query
+def bow_features(t):
+    counts = en.ngrams(pl.log(t), pl.points(t), by=BY)
+    return en.bag_of_ngrams(counts, en.fit_vocabulary(counts, _train(pl.split(t)), by=BY), by=BY)
 
 
-@query
-def leak_audit(spark, d):
-    return en.leak_audit(pl.log(spark, d), pl.points(spark, d), _train(pl.split(spark, d)), by=BY)
+@keeping_query
+def leak_audit(t):
+    return en.leak_audit(pl.log(t), pl.points(t), _train(pl.split(t)), by=BY)
 
 
 # --- labels -----------------------------------------------------------------------------------------
 
 
 @query
-def collapse(spark, d):
-    return lb.collapse(pl.usable_moves(spark, d))
+def collapse(t):
+    return lb.collapse(pl.usable_moves(t))
 
 
-def _label(column: str) -> Query:
-    def build(spark, d):
-        return pl.frames(spark, d).select("cohort", "hadm_id", F.col(column).alias("label"))
+def _label(column: str):
+    def build(t):
+        return pl.frames(t).select("cohort", "hadm_id", F.col(column).alias("label"))
 
     build.__name__ = column.replace("left_", "label_")
     return query(build)
@@ -184,8 +189,8 @@ for _column in ("left_old", "left_lat", "left_corr", "left_corrpacu"):
 
 
 @query
-def label_route(spark, d):
-    frame = pl.frames(spark, d).select(
+def label_route(t):
+    frame = pl.frames(t).select(
         "cohort", "hadm_id", "t0", "first_in", "t_return", "via_critical", "via_intermediate", "via_pacu", "returned",
         "route", F.col("left_corr").alias("left_shift"),
     )
@@ -193,250 +198,250 @@ def label_route(spark, d):
 
 
 @query
-def label_collapse(spark, d):
-    return pl.flat_frames(spark, d).select("cohort", "hadm_id", "route", F.col("left_corr").alias("label"))
+def label_collapse(t):
+    return pl.flat_frames(t).select("cohort", "hadm_id", "route", F.col("left_corr").alias("label"))
 
 
-@query
-def label_swap(spark, d):
-    own = pl.frames(spark, d).select("cohort", "hadm_id", F.col("left_old").alias("label"))
-    return lb.swap_label(own, pl.flat_frames(spark, d), "label", "left_corr", BY)
+@keeping_query
+def label_swap(t):
+    own = pl.frames(t).select("cohort", "hadm_id", F.col("left_old").alias("label"))
+    return lb.swap_label(own, pl.flat_frames(t), "label", "left_corr", BY)
 
 
 @query
-def dwell_sweep(spark, d):
-    return lb.dwell_sweep(pl.usable_moves(spark, d), m.COHORTS, m.TIERS)
+def dwell_sweep(t):
+    return lb.dwell_sweep(pl.usable_moves(t), m.COHORTS, m.TIERS)
 
 
 @query
-def restricted_cohort(spark, d):
-    return pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(spark, d), tier))
+def restricted_cohort(t):
+    return pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier))
 
 
 @query
-def structural_negatives(spark, d):
-    return pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(spark, d), tier))
+def structural_negatives(t):
+    return pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
 
 
-@query
-def label_gate(spark, d):
+@keeping_query
+def label_gate(t):
     """The stored label is the collapsed one here, so the gate has disagreements to count."""
-    stored = pl.flat_frames(spark, d).select("cohort", "hadm_id", "left_old")
-    return lb.label_gate(stored, pl.frames(spark, d), "left_old", BY)
+    stored = pl.flat_frames(t).select("cohort", "hadm_id", "left_old")
+    return lb.label_gate(stored, pl.frames(t), "left_old", BY)
 
 
 @query
-def label_transition(spark, d):
-    return lb.label_transition(pl.frames(spark, d), "left_old", "left_lat", BY)
+def label_transition(t):
+    return lb.label_transition(pl.frames(t), "left_old", "left_lat", BY)
 
 
 # --- features ---------------------------------------------------------------------------------------
 
 
 @query
-def demographics(spark, d):
+def demographics(t):
     return ft.demographics(
-        m.admissions(spark, d), m.patients(spark, d), m.order_tier(spark, d), m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS
+        m.admissions(*t.at), m.patients(*t.at), m.order_tier(*t.at), m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS
     )
 
 
 @query
-def clinical_features(spark, d):
+def clinical_features(t):
     return ft.clinical_features(
-        m.order_admissions(spark, d), m.labevents(spark, d), m.diagnoses(spark, d), m.prescriptions(spark, d),
-        m.order_tier(spark, d),
+        m.order_admissions(*t.at), m.labevents(*t.at), m.diagnoses(*t.at), m.prescriptions(*t.at),
+        m.order_tier(*t.at),
     )
 
 
 @query
-def readmission_flag(spark, d):
-    return ft.readmission_flags(m.order_admissions(spark, d), emergency_types=m.EMERGENCY_TYPES)
+def readmission_flag(t):
+    return ft.readmission_flags(m.order_admissions(*t.at), emergency_types=m.EMERGENCY_TYPES)
 
 
 @query
-def uhr_count(spark, d):
-    return ft.uhr_features(m.order_admissions(spark, d), emergency_types=m.EMERGENCY_TYPES)
+def uhr_count(t):
+    return ft.uhr_features(m.order_admissions(*t.at), emergency_types=m.EMERGENCY_TYPES)
 
 
 @query
-def bmi_nearest(spark, d):
-    return ft.bmi_features(m.stays_of(spark, d), m.measurements(spark, d))
+def bmi_nearest(t):
+    return ft.bmi_features(m.stays_of(*t.at), m.measurements(*t.at))
 
 
 @query
-def icd_chapters(spark, d):
-    return ft.with_counts(m.order_admissions(spark, d).select("hadm_id", "subject_id"), ft.chapter_counts(m.diagnoses(spark, d)))
+def icd_chapters(t):
+    return ft.with_counts(m.order_admissions(*t.at).select("hadm_id", "subject_id"), ft.chapter_counts(m.diagnoses(*t.at)))
 
 
 @query
-def charlson(spark, d):
+def charlson(t):
     return ft.with_counts(
-        m.order_admissions(spark, d).select("hadm_id", "subject_id"),
-        ft.charlson_scores(m.diagnoses(spark, d), m.charlson_map(spark)),
+        m.order_admissions(*t.at).select("hadm_id", "subject_id"),
+        ft.charlson_scores(m.diagnoses(*t.at), m.charlson_map(t.spark)),
     )
 
 
 @query
-def chronic_count(spark, d):
+def chronic_count(t):
     return ft.with_counts(
-        m.order_admissions(spark, d).select("hadm_id", "subject_id"),
-        ft.chronic_counts(m.diagnoses(spark, d), m.chronic_codes(spark)),
+        m.order_admissions(*t.at).select("hadm_id", "subject_id"),
+        ft.chronic_counts(m.diagnoses(*t.at), m.chronic_codes(t.spark)),
     )
 
 
 @query
-def ed_flag(spark, d):
+def ed_flag(t):
     return ft.with_counts(
-        m.stays_of(spark, d).select("hadm_id"), ft.ed_flags(pl.log(spark, d), ("Admission to Medical Ward",))
+        m.stays_of(*t.at).select("hadm_id"), ft.ed_flags(pl.log(t), ("Admission to Medical Ward",))
     )
 
 
 @query
-def process_features(spark, d):
-    rows = ft.process_features(pl.moves(spark, d), pl.points(spark, d), m.TIER_A, m.TIER_B, BY)
+def process_features(t):
+    rows = ft.process_features(pl.moves(t), pl.points(t), m.TIER_A, m.TIER_B, BY)
     return rows.withColumns({h: F.round(h, 6) for h in _HOURS})
 
 
 @query
-def location_profile(spark, d):
-    return ev.location_profile(pl.moves(spark, d))
+def location_profile(t):
+    return ev.location_profile(pl.moves(t))
 
 
 @query
-def location_ladder(spark, d):
-    ladder = an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES)
+def location_ladder(t):
+    ladder = an.location_ladder(ev.location_profile(pl.moves(t)), m.LADDER, loc.LEVEL_NAMES)
     return _shown(ladder, "level", "level_name", "alt_level", "ladder_rung")
 
 
 @query
-def level_rollup(spark, d):
-    ladder = an.location_ladder(ev.location_profile(pl.moves(spark, d)), m.LADDER, loc.LEVEL_NAMES)
+def level_rollup(t):
+    ladder = an.location_ladder(ev.location_profile(pl.moves(t)), m.LADDER, loc.LEVEL_NAMES)
     return _shown(an.level_rollup(ladder), "level", "level_name")
 
 
-@query
-def feature_matrix(spark, d):
-    return pl.matrix(spark, d).withColumns({h: F.round(h, 6) for h in _HOURS})
+@keeping_query
+def feature_matrix(t):
+    return pl.matrix(t).withColumns({h: F.round(h, 6) for h in _HOURS})
 
 
 @query
-def feature_matrix_inner(spark, d):
+def feature_matrix_inner(t):
     """The first layout: labels, demographics and clinical counts, inner joins."""
-    base = durable(pl.labels(spark, d).select("cohort", "hadm_id", "subject_id", F.col("left_old").alias("left_shift")))
-    people = ft.demographics(m.admissions(spark, d), m.patients(spark, d), base, m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS)
+    base = durable(pl.labels(t).select("cohort", "hadm_id", "subject_id", F.col("left_old").alias("left_shift")))
+    people = ft.demographics(m.admissions(*t.at), m.patients(*t.at), base, m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS)
     clinical = ft.clinical_features(
-        m.order_admissions(spark, d), m.labevents(spark, d), m.diagnoses(spark, d), m.prescriptions(spark, d), base
+        m.order_admissions(*t.at), m.labevents(*t.at), m.diagnoses(*t.at), m.prescriptions(*t.at), base
     )
     return ft.feature_matrix(base, [people, clinical], "inner")
 
 
-@query
-def matrix_null_audit(spark, d):
+@keeping_query
+def matrix_null_audit(t):
     """NULLs appear where an admission is missing in a feature table; here, the admission location."""
-    wide = pl.matrix(spark, d).withColumn("admission_location", F.nullif("admission_location", F.lit(ft.NO_LOCATION)))
+    wide = pl.matrix(t).withColumn("admission_location", F.nullif("admission_location", F.lit(ft.NO_LOCATION)))
     return ft.null_audit(wide, BY)
 
 
-@query
-def cohort_exclusion(spark, d):
+@keeping_query
+def cohort_exclusion(t):
     """Cases of the cohort that went on somewhere: the structural negatives are excluded."""
-    negatives = pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(spark, d), tier))
-    return ft.exclude(pl.frames(spark, d).select("cohort", "hadm_id", F.col("left_old").alias("label")), negatives, BY)
+    negatives = pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
+    return ft.exclude(pl.frames(t).select("cohort", "hadm_id", F.col("left_old").alias("label")), negatives, BY)
 
 
 # --- splits and integrity ---------------------------------------------------------------------------
 
 
-@query
-def split_canonical(spark, d):
-    return pl.split(spark, d)
+@keeping_query
+def split_canonical(t):
+    return pl.split(t)
 
 
-@query
-def split_restricted(spark, d):
-    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(spark, d), tier)).select("cohort", "hadm_id")
-    cases = pl.labels(spark, d).select("cohort", "hadm_id", "subject_id", "left_lat")
+@keeping_query
+def split_restricted(t):
+    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier)).select("cohort", "hadm_id")
+    cases = pl.labels(t).select("cohort", "hadm_id", "subject_id", "left_lat")
     return sp.grouped_split(cases.join(onward, ["cohort", "hadm_id"], "left_semi"), "left_lat", by=BY)
 
 
 @query
-def split_ungrouped(spark, d):
-    return sp.stratified_split(pl.labels(spark, d), "left_lat", by=BY)
+def split_ungrouped(t):
+    return sp.stratified_split(pl.labels(t), "left_lat", by=BY)
 
 
-@query
-def split_checks(spark, d):
+@keeping_query
+def split_checks(t):
     """The ungrouped split against the cases of the canonical one: subjects overlap, a few cases are extra."""
-    return sp.split_checks(sp.stratified_split(pl.labels(spark, d), "left_lat", by=BY), pl.split(spark, d), BY)
+    return sp.split_checks(sp.stratified_split(pl.labels(t), "left_lat", by=BY), pl.split(t), BY)
 
 
-@query
-def split_overlap(spark, d):
+@keeping_query
+def split_overlap(t):
     test = lambda s: s.filter("part = 'test'")
     return sp.set_overlap(
-        test(pl.split(spark, d)), test(sp.stratified_split(pl.labels(spark, d), "left_lat", by=BY)), BY
+        test(pl.split(t)), test(sp.stratified_split(pl.labels(t), "left_lat", by=BY)), BY
     )
 
 
-@query
-def split_profile(spark, d):
-    return sp.split_profile(pl.split(spark, d), "left_lat", BY)
+@keeping_query
+def split_profile(t):
+    return sp.split_profile(pl.split(t), "left_lat", BY)
 
 
-@query
-def split_digest(spark, d):
-    return sp.split_digest(pl.split(spark, d), BY)
+@keeping_query
+def split_digest(t):
+    return sp.split_digest(pl.split(t), BY)
 
 
-def _with_split_ids(spark, d):
+def _with_split_ids(t):
     """Result rows with a split id each: mixed in one cell, missing for some rows."""
     even = F.col("Seed") % 2 == 0
     mixed = (F.col("Cohort") == "SW") & (F.col("Variant") == "old") & even
     split_id = F.when(mixed, "b0").when(F.col("Seed") == 3, F.lit("")).otherwise("a0")
-    return m.result_rows(spark, d).withColumn("split_id", split_id)
+    return m.result_rows(*t.at).withColumn("split_id", split_id)
 
 
 @query
-def provenance_gate(spark, d):
-    return sp.provenance(_with_split_ids(spark, d))
+def provenance_gate(t):
+    return sp.provenance(_with_split_ids(t))
 
 
 # --- model inputs -----------------------------------------------------------------------------------
 
 
-@query
-def class_weights(spark, d):
-    return pr.class_weights(_train(pl.split(spark, d)), "left_lat", BY)
+@keeping_query
+def class_weights(t):
+    return pr.class_weights(_train(pl.split(t)), "left_lat", BY)
 
 
 _SCALED = ["n_events", "mean_value", "max_value"]
 
 
-@query
-def standardize(spark, d):
+@keeping_query
+def standardize(t):
     """Case descriptors scaled with the statistics of the training part."""
-    rows = pl.split(spark, d).select("cohort", "hadm_id", "part").join(m.case_values(spark, d), "hadm_id")
+    rows = pl.split(t).select("cohort", "hadm_id", "part").join(m.case_values(*t.at), "hadm_id")
     scaled = pr.standardize(rows.select("cohort", "hadm_id", "part", *_SCALED), F.col("part") == "train", _SCALED, BY)
     return scaled.withColumns({c: F.round(c, 6) for c in _SCALED})
 
 
 @query
-def one_hot(spark, d):
-    rows = m.patients(spark, d).select("subject_id", "gender").join(
-        m.table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("insurance")),
+def one_hot(t):
+    rows = m.patients(*t.at).select("subject_id", "gender").join(
+        m.table(*t.at, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("insurance")),
         "subject_id",
     )
     rows = rows.withColumn("insurance", F.lower(F.substring("insurance", 1, 4)))
     return pr.one_hot(rows, pr.categories(rows, ["gender", "insurance"]))
 
 
-@query
-def trainer_inputs(spark, d):
+@keeping_query
+def trainer_inputs(t):
     ward = lambda df: df.filter("cohort = 'SW'").drop("cohort")
-    cases = m.case_values(spark, d).join(ward(pl.labels(spark, d)).select("hadm_id", "left_lat"), "hadm_id")
-    encoded = en.encode_sequences(pl.log(spark, d), ward(pl.points(spark, d)))
+    cases = m.case_values(*t.at).join(ward(pl.labels(t)).select("hadm_id", "left_lat"), "hadm_id")
+    encoded = en.encode_sequences(pl.log(t), ward(pl.points(t)))
     rows = pr.tensors(
-        encoded, cases, pl.cohort_split(spark, d, "SW"), "left_lat", [*_SCALED, "last_unit"], ["last_unit"]
+        encoded, cases, pl.cohort_split(t, "SW"), "left_lat", [*_SCALED, "last_unit"], ["last_unit"]
     )
     return rows.select(
         "hadm_id", "part", "label", _text(F.col("seq")).alias("seq"), F.col("tabular")[0].alias("x0"),
@@ -445,8 +450,8 @@ def trainer_inputs(spark, d):
 
 
 @query
-def knn(spark, d):
-    rows = m.vectors(spark, d)
+def knn(t):
+    rows = m.vectors(*t.at)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
     found = nb.nearest(train, test)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "neighbour_id")))
@@ -461,136 +466,136 @@ def knn(spark, d):
 
 
 @query
-def metrics_threshold(spark, d):
-    return me.threshold_metrics(pl.scored(spark, d), ["cohort"])
+def metrics_threshold(t):
+    return me.threshold_metrics(pl.scored(t), ["cohort"])
 
 
 @query
-def auroc(spark, d):
-    return me.rank_metrics(pl.scored(spark, d), ["cohort"], 6).select("cohort", "n", "AUROC")
+def auroc(t):
+    return me.rank_metrics(pl.scored(t), ["cohort"], 6).select("cohort", "n", "AUROC")
 
 
 @query
-def auprc(spark, d):
-    return me.rank_metrics(pl.scored(spark, d), ["cohort"], 6).select("cohort", "n", "AUPRC")
+def auprc(t):
+    return me.rank_metrics(pl.scored(t), ["cohort"], 6).select("cohort", "n", "AUPRC")
 
 
 @query
-def threshold_sweep(spark, d):
-    rows = me.threshold_sweep(pl.scored(spark, d), ["cohort"])
+def threshold_sweep(t):
+    rows = me.threshold_sweep(pl.scored(t), ["cohort"])
     return rows.withColumns({"F1": F.round("F1", 4), "threshold": F.round("threshold", 2)})
 
 
 @query
-def best_threshold(spark, d):
-    rows = me.best_threshold(pl.scored(spark, d), ["cohort"])
+def best_threshold(t):
+    rows = me.best_threshold(pl.scored(t), ["cohort"])
     return rows.withColumns({"F1": F.round("F1", 6), "threshold": F.round("threshold", 2)})
 
 
 @query
-def confusion_tags(spark, d):
-    return pl.tagged(spark, d).select("cohort", "hadm_id", "label", "score", "pred", "tag")
+def confusion_tags(t):
+    return pl.tagged(t).select("cohort", "hadm_id", "label", "score", "pred", "tag")
 
 
 @query
-def confusion_counts(spark, d):
-    return me.tag_counts(pl.tagged(spark, d), ["cohort"])
+def confusion_counts(t):
+    return me.tag_counts(pl.tagged(t), ["cohort"])
 
 
 @query
-def group_means(spark, d):
-    return an.group_means(pl.tagged(spark, d), _SCALED, ["cohort"])
+def group_means(t):
+    return an.group_means(pl.tagged(t), _SCALED, ["cohort"])
 
 
 @query
-def fn_vs_tp(spark, d):
-    return an.largest_first(an.fn_vs_tp(pl.tagged(spark, d), _SCALED, ["cohort"]))
+def fn_vs_tp(t):
+    return an.largest_first(an.fn_vs_tp(pl.tagged(t), _SCALED, ["cohort"]))
 
 
 @query
-def miss_rate(spark, d):
-    return an.miss_rates(pl.tagged(spark, d), ["first_unit", "last_unit"], ["cohort"])
+def miss_rate(t):
+    return an.miss_rates(pl.tagged(t), ["first_unit", "last_unit"], ["cohort"])
 
 
 # --- result tables ----------------------------------------------------------------------------------
 
 
 @query
-def result_summary(spark, d):
-    return an.result_summary(m.result_rows(spark, d))
+def result_summary(t):
+    return an.result_summary(m.result_rows(*t.at))
 
 
 @query
-def run_inventory(spark, d):
-    return an.run_inventory(m.result_rows(spark, d))
+def run_inventory(t):
+    return an.run_inventory(m.result_rows(*t.at))
 
 
-@query
-def prevalence_table(spark, d):
+@keeping_query
+def prevalence_table(t):
     keys = ["cohort", "hadm_id"]
-    flat = pl.flat_frames(spark, d).select(*keys, F.col("left_corr").alias("left_collapse"))
-    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(spark, d), tier)).select(*keys, F.lit(1).alias("onward"))
-    joined = pl.frames(spark, d).join(flat, keys, "left").join(onward, keys, "left")
+    flat = pl.flat_frames(t).select(*keys, F.col("left_corr").alias("left_collapse"))
+    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier)).select(*keys, F.lit(1).alias("onward"))
+    joined = pl.frames(t).join(flat, keys, "left").join(onward, keys, "left")
     variants = {v: f"left_{v}" for v in ("lat", "old", "corr", "corrpacu", "collapse", "restricted")}
     return an.prevalence(joined.withColumn("left_restricted", F.when(F.col("onward") == 1, F.col("left_lat"))), variants)
 
 
 @query
-def replication_delta(spark, d):
+def replication_delta(t):
     """The published numbers are stood in for by rounded overall means per model and cohort."""
-    results = m.result_rows(spark, d)
+    results = m.result_rows(*t.at)
     published = results.groupBy("Model", "Cohort").agg(F.round(F.avg("AUROC"), 2).alias("AUROC"))
     return an.replication_delta(results, published)
 
 
 @query
-def model_by_condition(spark, d):
+def model_by_condition(t):
     named = {"plain": an.PLAIN, "process": an.TABULAR, "sequence": an.SEQUENCE, "combined": an.COMBINED}
-    return an.model_by_condition(m.result_rows(spark, d), named)
+    return an.model_by_condition(m.result_rows(*t.at), named)
 
 
 @query
-def classical_vs_deep(spark, d):
-    return an.classical_vs_deep(m.result_rows(spark, d))
+def classical_vs_deep(t):
+    return an.classical_vs_deep(m.result_rows(*t.at))
 
 
 @query
-def seed_spread(spark, d):
-    return an.seed_spread(m.result_rows(spark, d))
+def seed_spread(t):
+    return an.seed_spread(m.result_rows(*t.at))
 
 
 @query
-def feature_gain(spark, d):
-    return an.feature_gain(m.result_rows(spark, d), models=("GB", "RF", "MLP"))
+def feature_gain(t):
+    return an.feature_gain(m.result_rows(*t.at), models=("GB", "RF", "MLP"))
 
 
 @query
-def tabular_contribution(spark, d):
-    return an.tabular_contribution(m.result_rows(spark, d))
+def tabular_contribution(t):
+    return an.tabular_contribution(m.result_rows(*t.at))
 
 
 @query
-def mean_rank(spark, d):
-    return an.mean_rank(m.result_rows(spark, d), None)
+def mean_rank(t):
+    return an.mean_rank(m.result_rows(*t.at), None)
 
 
 @query
-def paired_interval(spark, d):
-    return an.paired_interval(m.result_rows(spark, d))
+def paired_interval(t):
+    return an.paired_interval(m.result_rows(*t.at))
 
 
 # --- models (no SQL form) ---------------------------------------------------------------------------
 
 
 def _model(name: str, model: str, **options) -> None:
-    def build(spark, d):
-        cells, split = pl.filled_matrix(spark, d, "SW"), pl.cohort_split(spark, d, "SW")
+    def build(t):
+        cells, split = pl.filled_matrix(t, "SW"), pl.cohort_split(t, "SW")
         columns = ft.condition_columns(cells, "With Process", pl.LABEL)
         data = pr.prepare(cells, split, pl.LABEL, columns, list(ft.CATEGORICAL))
         return mo.run_row(model, "SW", "With Process", data, sp.split_digest(split).first()["split_id"], **options)
 
     build.__name__ = name
-    query(build)
+    keeping_query(build)
 
 
 _model("logreg", "LR")
@@ -601,11 +606,11 @@ _model("knn_matrix", "KNN")
 
 
 def _ablation(name: str, run) -> None:
-    def build(spark, d):
-        return run(pl.filled_matrix(spark, d, "SW"), pl.cohort_split(spark, d, "SW"), pl.LABEL)
+    def build(t):
+        return run(pl.filled_matrix(t, "SW"), pl.cohort_split(t, "SW"), pl.LABEL)
 
     build.__name__ = name
-    query(build)
+    keeping_query(build)
 
 
 _ablation("ablation_loo", mo.ablation_leave_one_out)
@@ -614,12 +619,12 @@ _ablation("ablation_single", mo.ablation_single)
 _ablation("ablation_temporal", mo.ablation_temporal)
 
 
-@query
-def model_grid(spark, d):
+@keeping_query
+def model_grid(t):
     """No Process, With Process and With BoW for logistic regression on one cohort."""
-    cells, split = pl.filled_matrix(spark, d, "ICU"), pl.cohort_split(spark, d, "ICU")
-    own = pl.points(spark, d).filter("cohort = 'ICU'").drop("cohort")
-    counts = durable(en.ngrams(pl.log(spark, d), own))
+    cells, split = pl.filled_matrix(t, "ICU"), pl.cohort_split(t, "ICU")
+    own = pl.points(t).filter("cohort = 'ICU'").drop("cohort")
+    counts = durable(en.ngrams(pl.log(t), own))
     bag = en.bag_matrix(cells.select("hadm_id"), counts, en.fit_vocabulary(counts, _train(split)))
     plain, process = (ft.condition_columns(cells, c, pl.LABEL) for c in ("No Process", "With Process"))
     conditions = {"No Process": (plain, None), "With Process": (process, None), "With BoW": (process, bag)}

@@ -115,10 +115,10 @@ def test_invariants_on_the_test_tables(spark):
     from caseflow.sources import mapping as m
     from tests.conftest import DATA
 
-    frame = pl.frames(spark, DATA).collect()
+    frame = pl.frames(pl.Tables(spark, DATA)).collect()
     assert all(r["left_lat"] <= r["left_old"] for r in frame)
     assert all((r["route"] == "no_return") == (r["left_old"] == 0) for r in frame)
-    onward = lb.onward_cases(pl.usable_moves(spark, DATA), m.TIER_B)
+    onward = lb.onward_cases(pl.usable_moves(pl.Tables(spark, DATA)), m.TIER_B)
     assert onward.count() == sum(r["cohort"] == "SW" for r in frame)
     counts = {c: [sum(r[k] for r in frame if r["cohort"] == c) for k in ("left_old", "left_lat")] for c in ("ICU", "SW")}
     assert counts == {"ICU": [50, 44], "SW": [54, 49]}
