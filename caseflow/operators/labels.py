@@ -197,6 +197,19 @@ def label_transition(frame: DataFrame, old: str, new: str, keys: list[str] = [])
     )
 
 
+def exclusion_report(frame: DataFrame, excluded: DataFrame, label: str, by: list[str] = []) -> DataFrame:
+    """Cases and positive rate before and after taking the excluded cases out."""
+    out = excluded.select(*by, "hadm_id").distinct().withColumn("__out", F.lit(1))
+    kept = F.col("__out").isNull()
+    return frame.join(out, [*by, "hadm_id"], "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_before"),
+        F.round(F.avg(label), 4).alias("rate_before"),
+        F.count_if(~kept).alias("n_excluded"),
+        F.count_if(kept).alias("n_after"),
+        F.round(F.avg(F.when(kept, F.col(label))), 4).alias("rate_after"),
+    )
+
+
 def swap_label(matrix: DataFrame, labels: DataFrame, label: str, new: str, by: list[str] = []) -> DataFrame:
     """Replace the label of a matrix by another variant; cases the variant lacks become 0."""
     fresh = labels.select(*by, "hadm_id", F.col(new).alias("__new"))

@@ -110,3 +110,15 @@ def tag_counts(tagged: DataFrame, keys: list[str]) -> DataFrame:
     return tagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("tag") == t).alias(t) for t in TAGS]
     )
+
+
+def tuned_report(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Tune the threshold on the rows of part 'val', then report the rows of part 'test'.
+
+    AUROC, threshold, number of rows and confusion counts, one row per key.
+    """
+    tuned = best_threshold(scored.filter("part = 'val'"), keys).select(*keys, "threshold")
+    test = scored.filter("part = 'test'")
+    tagged = confusion_tags(test.join(tuned, keys), F.col("threshold"))
+    counts = tag_counts(tagged, [*keys, "threshold"])
+    return rank_metrics(test, keys).select(*keys, "AUROC").join(counts, keys)

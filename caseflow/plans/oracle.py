@@ -350,6 +350,9 @@ _BODIES = {
         CASE WHEN total_events IS NULL THEN 'total_events' END]) AS "column" FROM matrix) WHERE "column" IS NOT NULL GROUP BY ALL""",
     "cohort_exclusion": """SELECT f.cohort, f.hadm_id, left_old AS label FROM frame f JOIN onward o ON f.cohort = o.cohort AND f.hadm_id = o.hadm_id
         WHERE onward = 1""",
+    "exclusion_report": """SELECT cohort, count(*) AS n_before, round(avg(left_lat), 4) AS rate_before, count(*) FILTER (onward = 0) AS n_excluded,
+        count(*) FILTER (onward = 1) AS n_after, round(avg(left_lat) FILTER (onward = 1), 4) AS rate_after
+        FROM frame JOIN onward USING (cohort, hadm_id) GROUP BY cohort""",
     "split_canonical": "SELECT * FROM split",
     "split_restricted": "SELECT * FROM restricted_split",
     "split_ungrouped": "SELECT * FROM split_loose",
@@ -403,6 +406,11 @@ _BODIES = {
         FROM (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM sweep)) WHERE rn = 1""",
     "confusion_tags": "SELECT cohort, hadm_id, label, score, (score >= 0.55)::INT AS pred, tag FROM tagged",
     "confusion_counts": f"SELECT cohort, count(*) AS n, {_TAGS} FROM tagged GROUP BY cohort",
+    "error_meta": """SELECT x.cohort, auc AS "AUROC", round(x.t, 2) AS threshold, count(*) AS n, count(*) FILTER (label = 1 AND score >= x.t) AS "TP",
+        count(*) FILTER (label = 1 AND score < x.t) AS "FN", count(*) FILTER (label <> 1 AND score >= x.t) AS "FP", count(*) FILTER (label <> 1 AND score < x.t) AS "TN"
+        FROM parted p JOIN tuned x ON p.cohort = x.cohort JOIN (SELECT a.cohort, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5
+        ELSE 0 END::DOUBLE), 4) AS auc FROM parted a JOIN parted b ON a.cohort = b.cohort AND a.part = 'test' AND b.part = 'test' AND a.label = 1 AND b.label <> 1
+        GROUP BY a.cohort) u ON u.cohort = p.cohort WHERE p.part = 'test' GROUP BY ALL""",
     "group_means": f"SELECT cohort, feature, {', '.join(f'round({t}, 6) AS {t}' for t in ('TP', 'FN', 'FP', 'TN'))} FROM ({_GROUP_MEANS})",
     "fn_vs_tp": f"""SELECT cohort, feature, round(FN, 3) AS "FN_mean", round(TP, 3) AS "TP_mean", round(FN - TP, 3) AS abs_diff,
         round(100 * (FN - TP) / CASE WHEN abs(TP) > 1e-9 THEN abs(TP) ELSE 1 END, 1) AS rel_diff_pct FROM ({_GROUP_MEANS})""",
@@ -459,6 +467,11 @@ _BODIES = {
         FROM (SELECT Cohort, Variant, Model, avg(AUROC) AS mean FROM neural GROUP BY ALL) GROUP BY ALL) b USING (Cohort, Variant)
         WHERE x.Model = best_neural GROUP BY ALL)""",
 }
+_CTE["parted"] = "SELECT s.cohort, s.hadm_id, s.label, s.score, part FROM scored s JOIN split USING (cohort, hadm_id)"
+_CTE["tuned"] = """SELECT cohort, t FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY coalesce(2*tp / nullif(2*tp + fp + fn, 0), 0) DESC, i) AS rn
+    FROM (SELECT cohort, i, any_value(t) AS t, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label <> 1 AND score >= t) AS fp,
+    count(*) FILTER (label = 1 AND score < t) AS fn FROM parted, (SELECT i::INT AS i, 0.05::DOUBLE + 0.01::DOUBLE * i AS t FROM range(91) r(i))
+    WHERE part = 'val' GROUP BY cohort, i)) WHERE rn = 1"""
 _CTE["restricted_cases"] = """SELECT l.cohort, l.hadm_id, l.subject_id, l.left_lat FROM labelled l JOIN onward o
     ON l.cohort = o.cohort AND l.hadm_id = o.hadm_id WHERE onward = 1"""
 _CTE["restricted_split"] = _grouped("restricted_cases")

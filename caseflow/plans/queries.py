@@ -349,6 +349,12 @@ def cohort_exclusion(t):
     return ft.exclude(pl.frames(t).select("cohort", "hadm_id", F.col("left_old").alias("label")), negatives, BY)
 
 
+@keeping_query
+def exclusion_report(t):
+    negatives = pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
+    return lb.exclusion_report(pl.frames(t), negatives, "left_lat", BY)
+
+
 # --- splits and integrity ---------------------------------------------------------------------------
 
 
@@ -502,6 +508,13 @@ def confusion_counts(t):
     return me.tag_counts(pl.tagged(t), ["cohort"])
 
 
+@keeping_query
+def error_meta(t):
+    parts = pl.split(t).select("cohort", "hadm_id", "part")
+    rows = me.tuned_report(pl.scored(t).join(parts, ["cohort", "hadm_id"]), BY)
+    return rows.withColumn("threshold", F.round("threshold", 2))
+
+
 @query
 def group_means(t):
     return an.group_means(pl.tagged(t), _SCALED, ["cohort"])
