@@ -102,6 +102,12 @@ _CTE = {
     "grams": """SELECT cohort, hadm_id, unnest([w0, w0 || ' ' || w1, w0 || ' ' || w1 || ' ' || w2]) AS ngram FROM (SELECT cohort, case_id AS hadm_id,
         w AS w0, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM (SELECT *, lower(replace(activity,' ','_')) AS w FROM prefix)
         WINDOW o AS (PARTITION BY cohort, case_id ORDER BY event_time, tie))""",
+    "seqs": """SELECT cohort, hadm_id, array_to_string(list_concat(list_resize([]::INT[], 30 - len(s), 0), s), ',') AS seq,
+        array_to_string(list_resize(s, 30, 0), ',') AS seq_right, CAST(len(s) AS INT) AS n_tokens FROM (
+        SELECT cohort, case_id AS hadm_id, list(token ORDER BY event_time, tie) AS s FROM (SELECT *, CASE activity WHEN 'Hospital Admission' THEN 1
+        WHEN 'Admission to Medical Ward' THEN 3 WHEN 'Admission to ICU' THEN 4 WHEN 'Admission to Surgery Ward' THEN 5 WHEN 'Admission to Stepdown' THEN 6
+        WHEN 'Transfer to Medical Ward' THEN 7 WHEN 'Transfer to ICU' THEN 8 WHEN 'Transfer to Surgery Ward' THEN 9 WHEN 'Transfer to Stepdown' THEN 10 END
+        AS token, row_number() OVER (PARTITION BY cohort, case_id ORDER BY event_time DESC, tie DESC) AS r FROM prefix) WHERE r <= 30 GROUP BY ALL)""",
     "counts": "SELECT cohort, hadm_id, ngram, count(*) AS n FROM grams WHERE ngram IS NOT NULL GROUP BY ALL",
     "vocab": """SELECT cohort, ngram, count(*) AS df FROM counts JOIN split USING (cohort, hadm_id) WHERE part = 'train'
         GROUP BY ALL HAVING count(*) >= 2""",
@@ -270,12 +276,7 @@ _BODIES = {
         UNION ALL SELECT 'end', arg_max(activity, (event_time, tie)) FROM log GROUP BY case_id) GROUP BY ALL""",
     "prediction_points": "SELECT * FROM points",
     "prefix_events": "SELECT cohort, case_id, event_time, activity FROM prefix",
-    "sequences": """SELECT cohort, hadm_id, array_to_string(list_concat(list_resize([]::INT[], 30 - len(s), 0), s), ',') AS seq,
-        array_to_string(list_resize(s, 30, 0), ',') AS seq_right, CAST(len(s) AS INT) AS n_tokens FROM (
-        SELECT cohort, case_id AS hadm_id, list(token ORDER BY event_time, tie) AS s FROM (SELECT *, CASE activity WHEN 'Hospital Admission' THEN 1
-        WHEN 'Admission to Medical Ward' THEN 3 WHEN 'Admission to ICU' THEN 4 WHEN 'Admission to Surgery Ward' THEN 5 WHEN 'Admission to Stepdown' THEN 6
-        WHEN 'Transfer to Medical Ward' THEN 7 WHEN 'Transfer to ICU' THEN 8 WHEN 'Transfer to Surgery Ward' THEN 9 WHEN 'Transfer to Stepdown' THEN 10 END
-        AS token, row_number() OVER (PARTITION BY cohort, case_id ORDER BY event_time DESC, tie DESC) AS r FROM prefix) WHERE r <= 30 GROUP BY ALL)""",
+    "sequences": "SELECT * FROM seqs",
     "sequence_profile": """SELECT p.cohort, count(*) AS n_cases, count(n) AS encoded, count(*) FILTER (n IS NULL) AS dropped, min(n) AS min_len,
         round(avg(n),6) AS mean_len, max(n) AS max_len, round(quantile_cont(n::DOUBLE, 0.95),6) AS p95_len, count(*) FILTER (n > 30) AS truncated
         FROM points p LEFT JOIN (SELECT cohort, case_id, count(*) AS n FROM prefix GROUP BY ALL) x ON p.cohort = x.cohort AND p.hadm_id = x.case_id
@@ -393,6 +394,9 @@ _BODIES = {
         r AS (SELECT q.id AS query_id, t.id, t.y, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.e, t.e), t.id) AS rk
         FROM v q JOIN v t ON q.test AND NOT t.test)
         SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rk) AS neighbours, round(avg(y), 6) AS score FROM r WHERE rk <= 5 GROUP BY query_id""",
+    "trainer_inputs": """SELECT hadm_id, part, label, seq, round((n_events - avg(n_events) FILTER (part = 'train') OVER ())
+        / stddev_pop(n_events) FILTER (part = 'train') OVER (), 6) AS x0, 3 + (SELECT count(DISTINCT last_unit) FROM scored WHERE cohort = 'SW')::INT AS n_tabular
+        FROM scored JOIN split USING (cohort, hadm_id) JOIN seqs USING (cohort, hadm_id) WHERE cohort = 'SW'""",
     "metrics_threshold": """SELECT *, round((TP + TN) / (TP + FP + FN + TN), 4) AS Accuracy, coalesce(round(TP / nullif(TP + FP, 0), 4), 0) AS "Precision",
         coalesce(round(TP / nullif(TP + FN, 0), 4), 0) AS Recall, coalesce(round(2 * TP / nullif(2 * TP + FP + FN, 0), 4), 0) AS F1 FROM (
         SELECT cohort, count(*) FILTER (label = 1 AND score >= 0.5) AS TP, count(*) FILTER (label <> 1 AND score >= 0.5) AS FP,
