@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact
+from caseflow.llm import exact, pii
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,39 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY x)
 """
+
+
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+def _pii_oracle() -> str:
+    """The patterns without possessive repeats; places from the pieces between the matches, as in any engine without match offsets."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda p: ltrim(p, '0') != '' AND (length(ltrim(p, '0')) > 3 OR ltrim(p, '0')::INT > 255))) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN z(d, i) WHEN z(d, i) > 4 THEN 2 * z(d, i) - 9 ELSE 2 * z(d, i) END)) % 10 = 0"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda r, v: (r * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1"),
+    }
+    parts, names = [], list(kinds)
+    for k, (name, (pattern, test)) in enumerate(kinds.items()):
+        test = re.sub(r"z\(d, i\)", "(ascii(substr(d, length(d) - i::INT, 1)) - 48)", test)
+        parts.append(f"""
+{name}_cut AS (SELECT doc_id, n, regexp_extract_all(x, '{pattern}') AS ms, string_split_regex(x, '{pattern}') AS ps FROM t WHERE regexp_matches(x, '{pattern}')),
+{name}_at AS (SELECT doc_id, n, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM {name}_cut),
+{name}_span AS (SELECT doc_id, n, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+  (coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0))::BIGINT AS s FROM {name}_at),
+{name}_ok AS (SELECT n, {k} AS k, '{name}' AS kind, s, s + length(m) AS e FROM {name}_span WHERE {test})""")
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
+    counts = ", ".join(f"coalesce(sum(CASE WHEN kind = '{n}' THEN 1 ELSE 0 END), 0)::BIGINT AS n_{n}" for n in names[:4])
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x FROM documents),{",".join(parts)},
+found AS ({" UNION ALL ".join(f"SELECT * FROM {n}_ok" for n in names)})
+SELECT any_value(t.doc_id) AS doc_id, {counts}, sha256(coalesce({listed} FILTER (WHERE k < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM t LEFT JOIN found USING (n) GROUP BY t.n
+"""
+
+
+ORACLE["op3_pii"] = _pii_oracle()
