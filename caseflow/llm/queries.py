@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact, pii
+from caseflow.llm import exact, mixing, pii
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ FROM t LEFT JOIN found USING (n) GROUP BY t.n
 
 
 ORACLE["op3_pii"] = _pii_oracle()
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"))[0]
