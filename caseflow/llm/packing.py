@@ -2,8 +2,9 @@
 
 Every task tokenises its documents and packs them as they come.  It keeps a fixed number of open
 windows: a piece goes to the fullest window that has room for it; where none has, the fullest is
-closed.  What is still open at the end travels as pieces, without tokens, and is packed again over
-groups of tasks, in rounds, until one more round could no longer save windows.
+closed, after the piece's head has filled it where too much room would stay empty.  What is still
+open at the end travels as pieces, without tokens, and is packed again over groups of tasks, in
+rounds, until one group is left; a group never holds more than ``fan_in`` tasks' open windows.
 """
 
 from __future__ import annotations
@@ -34,14 +35,17 @@ FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 @dataclass(frozen=True)
 class Packing:
-    """``size`` tokens a window; ``open_windows`` a task; ``fan_in`` tasks' leftovers are merged at a time, ``rounds`` times."""
+    """``size`` tokens a window, ``open_windows`` a task, ``fan_in`` tasks' leftovers merged at a time.
+
+    A window with ``least_cut`` or more free tokens is not closed before a piece's head has filled it.
+    """
 
     vocabulary: str
     end_id: int = 1
     size: int = 2048
     open_windows: int = 32
-    fan_in: int = 8
-    rounds: int = 2
+    fan_in: int = 32
+    least_cut: int = 16
 
 
 def encoder(vocabulary: str) -> Callable[[str], bytes]:
@@ -115,6 +119,12 @@ class Windows:
             insort(self.fill, (tokens + length, number))
             self.pieces[number] = held
 
+    def room_to_fill(self, length: int) -> int:
+        """Free tokens of the window that must close before a piece of this length can be placed, else 0."""
+        if length == self.size or len(self.fill) < self.most or self.fill[0][0] + length <= self.size:
+            return 0
+        return self.size - self.fill[-1][0]
+
     def rest(self) -> list[list[tuple]]:
         return [self.pieces[number] for _, number in self.fill]
 
@@ -147,9 +157,14 @@ def pieces(docs: DataFrame, packing: Packing, doc_id: str = "doc_id", text: str
             for doc, raw in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
                 ids = encode(raw.decode()) + end
                 total = len(ids) // 4
-                for start in range(0, total, packing.size):
-                    part = ids[4 * start : 4 * (start + packing.size)]
-                    windows.put([(doc, start, len(part) // 4, zlib.crc32(part), total)], len(part) // 4)
+                start = 0
+                while start < total:
+                    length = min(packing.size, total - start)
+                    room = windows.room_to_fill(length)
+                    length = room if room >= packing.least_cut else length
+                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                    windows.put([(doc, start, length, crc, total)], length)
+                    start += length
             yield _rows(windows.closed, task, done, 0)
             done += len(windows.closed)
             windows.closed.clear()
@@ -159,7 +174,7 @@ def pieces(docs: DataFrame, packing: Packing, doc_id: str = "doc_id", text: str
     return rows.mapInArrow(pack, SCHEMA)
 
 
-def _merge(rest: DataFrame, packing: Packing, level: int) -> DataFrame:
+def _merge(rest: DataFrame, packing: Packing) -> DataFrame:
     """One round over the open windows of ``fan_in`` neighbouring tasks; windows move as they are."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,20 +217,23 @@ def packed(docs: DataFrame, packing: Packing, doc_id: str = "doc_id", text: str
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids and ``end_id``; NULL and empty texts are one token long.  Documents
-    over ``size`` tokens are cut every ``size`` tokens, others stay whole.  Pieces of a sequence lie
+    over ``size`` tokens are cut every ``size`` tokens, any document where its head fills a window.  Pieces of a sequence lie
     gapless from 0.  A row that is there twice is packed twice, a NULL id is kept.  Sequence ids are
     unique, not dense.  No rows give none.
     """
     found = durable(pieces(docs, packing, doc_id, text))
     finished, rest = [found.filter("NOT open")], found.filter("open")
-    for level in range(1, packing.rounds + 1):
-        merged = durable(_merge(rest, packing, level))
+    tasks = (rest.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        merged = durable(_merge(rest, packing))
         finished.append(merged.filter("NOT open"))
-        rest = merged.filter("open")
+        rest, tasks = merged.filter("open"), -(-tasks // packing.fan_in)
+        if tasks == 1:
+            break
     finished.append(rest)
     # Round, task and window in one number.
     numbered = [
-        df.withColumn("sequence_id", F.shiftleft(F.lit(level).cast("long"), 60) + F.shiftleft("task", 30) + F.col("window"))
+        df.withColumn("sequence_id", F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft("task", 32) + F.col("window"))
         for level, df in enumerate(finished)
     ]
     everything = numbered[0]
