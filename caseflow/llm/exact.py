@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import bounded_copy, durable, record_batch, same, texts
@@ -198,14 +198,17 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """
     prints = durable(fingerprints(docs, doc_id, text, huge_bytes))
     apart = durable(collisions(docs, prints, doc_id, text))
-    keyed = prints.alias("p").join(
-        apart.withColumn("apart", F.lit(True)).alias("a"), F.expr("p.print = a.print AND p.n_bytes = a.n_bytes"), "left"
-    ).select("p.doc_id", "p.print", "p.n_bytes", "p.text_sha256", F.expr("CASE WHEN apart THEN p.text_sha256 ELSE '' END").alias("part"))
-    keys = ["print", "n_bytes", "part"]
-    groups = durable(keyed.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    joined = keyed.join(groups, same(keyed, groups, keys))
+    # One row a text and map task goes over the network; the digest only says which text a row has.
+    own = ["print", "n_bytes", "text_sha256"]
+    held = prints.groupBy(*own).agg(F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("rows"))
+    parted = held.alias("h").join(
+        apart.withColumn("apart", F.lit(True)).alias("a"), F.expr("h.print = a.print AND h.n_bytes = a.n_bytes"), "left"
+    ).select("h.*", F.expr("CASE WHEN apart THEN text_sha256 ELSE '' END").alias("part"))
+    group = Window.partitionBy("print", "n_bytes", "part")
+    classes = durable(parted.select(*own, F.max("most").over(group).alias("keep_id"), F.sum("rows").over(group).alias("group_size")))
+    joined = prints.join(classes, same(prints, classes, own))
     return joined.select(
-        keyed["doc_id"], "keep_id", "group_size", keyed["doc_id"].eqNullSafe(F.col("keep_id")).alias("kept"), keyed["text_sha256"]
+        prints["doc_id"], "keep_id", "group_size", prints["doc_id"].eqNullSafe(F.col("keep_id")).alias("kept"), prints["text_sha256"]
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact, mixing, packing, pii, topk, urls
+from caseflow.llm import exact, mixing, near, packing, pii, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def public_vocabulary() -> str:
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), packing.Packing(public_vocabulary()))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(table(spark, folder, "documents"))
