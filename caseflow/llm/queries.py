@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact, mixing, near, packing, pii, topk, urls
+from caseflow.llm import exact, mixing, near, packing, pii, quality, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_classes(table(spark, folder, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, folder, "labels")))

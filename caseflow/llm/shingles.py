@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word."""
     data = np.frombuffer(raw.lower(), np.uint8)
     solid = ~_BLANK[data]
@@ -48,7 +48,7 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets_together(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    starts, words = _word_hashes(b" ".join(texts))
+    starts, words = word_hashes(b" ".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
     last = np.searchsorted(starts, ends)
     full = np.zeros(max(len(words) - width + 1, 0), np.uint64)
