@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.session import durable, tune
 
-__all__ = ["durable", "table", "bounded_copy", "same", "texts", "record_batch"]
+__all__ = ["durable", "table", "bounded_copy", "bit_filter", "has_bit", "same", "texts", "record_batch"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +27,25 @@ def bounded_copy(df: DataFrame, rows: int) -> list:
     return found
 
 
+def bit_filter(rows: DataFrame, column: str, bits: int) -> bytes:
+    """A set bit for the remainder of every value of a long column: never more than ``bits`` bits on the driver.
+
+    Who tests a bit may take a value for one of the rows that is none, never the other way round.
+    """
+    slot = F.pmod(F.col(column), F.lit(bits)) + 1
+    words = rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    out = bytearray(bits // 8)
+    for row in bounded_copy(words, bits // 32768):
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + 4096] = row["bitmap"]
+    return bytes(out)
+
+
+def has_bit(table: bytes, values: np.ndarray, bits: int) -> np.ndarray:
+    slots = np.mod(values, bits)
+    return (np.frombuffer(table, np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition on ``keys`` under which NULL equals NULL."""
     condition = F.lit(True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact, mixing, near, packing, pii, quality, topk, urls
+from caseflow.llm import exact, lines, mixing, near, packing, pii, quality, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,16 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.scored(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines with words, how many go, how many of these were only close, and the numbers of those that go."""
+    decided = lines.line_decisions(table(spark, folder, "documents"))
+    counted = decided.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_removed"), F.count_if("near").alias("n_near"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), ",").alias("removed"),
+    )
+    ids = table(spark, folder, "documents").select("doc_id").distinct()
+    none = {"n_lines": 0, "n_removed": 0, "n_near": 0, "removed": ""}
+    return ids.join(counted, "doc_id", "left").fillna(none)
