@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact, lines, mixing, near, packing, pii, quality, topk, urls
+from caseflow.llm import exact, lines, mixing, near, packing, pii, quality, repeats, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "documents").select("doc_id").distinct()
     none = {"n_lines": 0, "n_removed": 0, "n_near": 0, "removed": ""}
     return ids.join(counted, "doc_id", "left").fillna(none)
+
+
+@query
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
