@@ -175,3 +175,22 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str =
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return documents, pieces
+
+
+def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row per use of a document, by shard and in its order.
+
+    A document of which only leading words are used ends behind the last of them.
+    """
+    pieces = mixed(docs, mix, doc_id, text, source)[1]
+    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))))
+    joined = rows.join(pieces, same(rows, pieces, ["doc_id", "source", "size", "copy"])).select("row", rows["size"], "words", "shard", "place")
+    whole = F.col(f"row.{text}")
+    # Possessive, so that many words need no deep stack.
+    pattern = F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.col("words").cast("string"), F.lit("}+"))
+    leading = F.call_function("regexp_extract", whole, pattern, F.lit(0))
+    cut = joined.withColumn("__text", F.when(F.col("words") < F.col("size"), leading).otherwise(whole))
+    placed = cut.repartition("shard").sortWithinPartitions("shard", "place")
+    return placed.select(*[F.col("__text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
