@@ -11,14 +11,17 @@ share of the rows.  The functions here therefore look for such keys first:
 Both paths give the same rows.  ``order`` must identify a row within its key (add an id), otherwise
 the answer would depend on arrival order.
 
-Two session settings steer the search: ``spark.caseflow.hotRows`` (rows one task may sort for one
-key) and ``spark.caseflow.smallBytes`` (inputs whose planned size is below it are not searched,
-because nothing in them can be hot).
+Hot keys are found by counting rows per key; a plan never depends on an estimate.  Who builds several
+operators on one source counts once and declares the result (``known_hot``); every operator whose
+keys hold the declared column uses it.  ``spark.caseflow.hotRows`` is the number of rows one task may
+sort for one key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +30,6 @@ from pyspark.sql import functions as F
 from caseflow.session import durable
 
 HOT_ROWS = 2_000_000
-SMALL_BYTES = 64 * 1024 * 1024
-# Only this many keys are cut apart, heaviest first.  A key beyond them holds less than 1/4096 of
-# all rows; it is still processed, by the plain window.
-MAX_HOT_KEYS = 4096
-
 _SEGMENT = "__segment"
 _POSITION = "__position"
 
@@ -40,11 +38,6 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(f"spark.caseflow.{name}", str(default)))
 
 
-def _planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; it can only overstate filters and aggregates."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -62,41 +55,79 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
-    """The heaviest keys above the hot-row limit with the rows they hold, or None.
+Found = tuple[DataFrame, int] | None
+_KNOWN: ContextVar[dict[str, Callable[[], Found]]] = ContextVar("known hot keys", default={})
+_LIMIT: ContextVar[int | None] = ContextVar("rows of a hot key", default=None)
+
+
+def _limit(df: DataFrame) -> int:
+    return _LIMIT.get() or _setting(df, "hotRows", HOT_ROWS)
+
+
+@contextmanager
+def hot_rows(limit: int) -> Iterator[None]:
+    """Within it, keys with more than ``limit`` rows are hot."""
+    token = _LIMIT.set(limit)
+    try:
+        yield
+    finally:
+        _LIMIT.reset(token)
+
+
+@contextmanager
+def known_hot(**sources: Callable[[], DataFrame]) -> Iterator[None]:
+    """Declare where the hot values of a column are to be counted: ``column = function that gives the source rows``.
 
-    One counting pass with map-side combine; at most MAX_HOT_KEYS rows reach the driver.
+    Each source is counted once, when an operator first asks.  It must hold the heavy values of whatever
+    is derived from it; an operator that makes a few rows of one has the same hot keys.
     """
-    if _planned_bytes(df) < _setting(df, "smallBytes", SMALL_BYTES):
-        return None
-    limit = _setting(df, "hotRows", HOT_ROWS)
-    heaviest = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > limit)
-        .orderBy(F.col("__rows").desc())
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = heaviest.collect()
-    if not rows:
-        return None
-    found = df.sparkSession.createDataFrame(rows, heaviest.schema)
-    return found.drop("__rows"), sum(r["__rows"] for r in rows)
+    kept: dict[str, Found] = {}
+
+    def once(column: str, source: Callable[[], DataFrame]) -> Callable[[], Found]:
+        def find() -> Found:
+            if column not in kept:
+                kept[column] = _count_hot(source(), [column])
+            return kept[column]
+
+        return find
+
+    token = _KNOWN.set({column: once(column, source) for column, source in sources.items()})
+    try:
+        yield
+    finally:
+        _KNOWN.reset(token)
+
+
+def _count_hot(df: DataFrame, keys: list[str]) -> Found:
+    """Keys above the limit, written down, and how many rows they hold.  Only that number reaches the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    found = durable(counts.filter(F.col("__rows") > _limit(df)))
+    n_rows = found.agg(F.sum("__rows")).first()[0]
+    return (found.drop("__rows"), n_rows) if n_rows else None
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> tuple[list[str], Found]:
+    """The columns to look at, and the hot keys in them: declared ones, or counted here with map-side combine."""
+    for column, find in _KNOWN.get().items():
+        if column in keys:
+            return [column], find()
+    return keys, _count_hot(df, keys)
 
 
 def split_hot(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None, int]:
     """(ordinary rows, rows of hot keys or None, number of hot rows)."""
-    found = hot_keys(df, keys)
+    columns, found = hot_keys(df, keys)
     if found is None:
         return df, None, 0
     table, n_rows = found
-    few = F.broadcast(table)  # at most MAX_HOT_KEYS rows
-    return attach(df, few, keys, "left_anti"), attach(df, few, keys, "left_semi"), n_rows
+    written = durable(df)  # it is read on two ways
+    return attach(written, table, columns, "left_anti"), attach(written, table, columns, "left_semi"), n_rows
 
 
 def _segments(hot: DataFrame, n_rows: int, keys: list[str], order: list[str]) -> DataFrame:
     """Cut hot keys into even, ordered segments.  The partition number is written down by a reliable
     checkpoint, so a re-run task cannot shift a border."""
-    n = max(2, -(-n_rows // _setting(hot, "hotRows", HOT_ROWS)))
+    n = max(2, -(-n_rows // _limit(hot)))
     parts = hot.repartitionByRange(n, *keys, *order).withColumn(_SEGMENT, F.spark_partition_id())
     return durable(parts)
 
@@ -190,13 +221,12 @@ def group_values(df: DataFrame, keys: list[str], values: dict[str, Column], hot:
     """Add aggregates of the whole group to each of its rows.
 
     Ordinary groups use a window, which needs no exchange where the rows already lie together.  For
-    ``hot`` rows (from ``split_hot``) the aggregates are computed first and joined: there are at most
-    MAX_HOT_KEYS of them.
+    ``hot`` rows (from ``split_hot``) the aggregates are computed first, map-side combined, and joined.
     """
     if not hot:
         return df.withColumns({out: value.over(Window.partitionBy(*keys)) for out, value in values.items()})
     table = df.groupBy(*keys).agg(*[value.alias(out) for out, value in values.items()])
-    return attach(df, F.broadcast(table), keys)
+    return attach(df, table, keys)
 
 
 def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:

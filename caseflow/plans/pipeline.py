@@ -51,6 +51,11 @@ def moves(t: Tables) -> DataFrame:
     return t.moves
 
 
+def subject_rows(t: Tables) -> DataFrame:
+    """Every row that is ordered by subject somewhere: admissions and measurements."""
+    return m.admissions(*t.at).select("subject_id").unionByName(m.measurements(*t.at).select("subject_id"))
+
+
 def usable_moves(t: Tables) -> DataFrame:
     return ev.usable(moves(t))
 

@@ -15,10 +15,12 @@ from caseflow.operators import features as ft
 from caseflow.operators import labels as lb
 from caseflow.operators import metrics as me
 from caseflow.operators import models as mo
+from caseflow.operators import ordered
 from caseflow.operators import neighbours as nb
 from caseflow.operators import prep as pr
 from caseflow.operators import split as sp
 from caseflow.plans import pipeline as pl
+from caseflow.plans.oracle import HOT_VARIANTS
 from caseflow.session import durable, tune
 from caseflow.sources import mapping as m
 
@@ -35,7 +37,9 @@ def _shown(df: DataFrame, *columns: str) -> DataFrame:
 
 def query(build: Callable[[pl.Tables], DataFrame], keep: bool = False):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(pl.Tables(tune(spark), folder, keep))
+        t = pl.Tables(tune(spark), folder, keep)
+        with ordered.known_hot(hadm_id=lambda: m.case_rows(*t.at), subject_id=lambda: pl.subject_rows(t)):
+            return build(t)
 
     QUERIES[build.__name__] = run
     return build
@@ -643,3 +647,23 @@ def model_grid(t):
     conditions = {"No Process": (plain, None), "With Process": (process, None), "With BoW": (process, bag)}
     split_id = sp.split_digest(split).first()["split_id"]
     return mo.run_grid(cells, split, pl.LABEL, "ICU", split_id, conditions, ("LR",))
+
+
+# --- the plans of hot cases and subjects, on the whole tables ---------------------------------------
+
+#: A limit under which a large part of the cases and subjects of any test table are hot.
+FEW_ROWS = 4
+
+
+def _hot_variant(name: str) -> None:
+    plain = QUERIES[name]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        with ordered.hot_rows(FEW_ROWS):
+            return plain(spark, folder)
+
+    QUERIES[f"{name}_hot"] = run
+
+
+for _name in HOT_VARIANTS:
+    _hot_variant(_name)

@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", app: str = "caseflow") -> SparkSession:
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", parallel)
     )
     for key, value in SETTINGS.items():

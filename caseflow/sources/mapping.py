@@ -62,6 +62,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+def case_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The case of every event: where hot cases are counted."""
+    return table(spark, folder, "events").select((F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 5)).alias("hadm_id"))
+
+
 def transfers(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         (F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 5)).alias("hadm_id"),

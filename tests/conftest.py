@@ -27,10 +27,8 @@ def spark():
 @pytest.fixture
 def hot(spark):
     """Make every key with more than two rows a hot key."""
-    spark.conf.set("spark.caseflow.smallBytes", "0")
     spark.conf.set("spark.caseflow.hotRows", "2")
     yield
-    spark.conf.unset("spark.caseflow.smallBytes")
     spark.conf.unset("spark.caseflow.hotRows")
 
 

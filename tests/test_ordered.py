@@ -76,10 +76,24 @@ def test_quantile(spark, q, hot):
 
 
 def test_small_inputs_are_not_searched(spark, sample):
-    assert ordered.hot_keys(frame(spark, sample), ["k"]) is None
+    assert ordered.hot_keys(frame(spark, sample), ["k"]) == (["k"], None)
 
 
 def test_group_values_agree(spark, sample):
     df = frame(spark, sample).filter("k IS NOT NULL")
     value = {"m": F.max("t")}
     assert rows(ordered.group_values(df, ["k"], value), "id", "m") == rows(ordered.group_values(df, ["k"], value, hot=True), "id", "m")
+
+
+def test_declared_hot_keys_are_counted_once(spark, sample):
+    asked = []
+
+    def source():
+        asked.append(1)
+        return frame(spark, sample)
+
+    with ordered.hot_rows(20), ordered.known_hot(k=source):
+        assert computed(frame(spark, sample)) == expected(sample)
+        columns, (table, n_rows) = ordered.hot_keys(frame(spark, sample), ["v", "k"])
+        assert columns == ["k"] and [r["k"] for r in table.collect()] == ["a"] and n_rows == 120
+    assert len(asked) == 1
