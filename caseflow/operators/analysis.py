@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.metrics import TAGS
+from caseflow.operators.split import require_one_split
 
 CELL = ["Variant", "Cohort", "Condition"]
 DEEP = ("RNN", "LSTM", "GRU", "BiLSTM", "BiGRU", "CNN", "CNN-k23", "CNN-LSTM")
@@ -88,6 +89,11 @@ def result_summary(
     return results.groupBy(*present).agg(*columns)
 
 
+def collect_results(frames: list[DataFrame], metrics: tuple[str, ...] = ("AUROC", "AUPRC", "F1")) -> DataFrame:
+    """Runs of any layout put together by column name and summarised, once all cells are of one partition each."""
+    return result_summary(require_one_split(union_results(frames)), metrics)
+
+
 def run_inventory(results: DataFrame, deep: tuple[str, ...] = DEEP) -> DataFrame:
     family = F.when(F.col("Model").isin(*deep), "deep").otherwise("classical")
     return results.groupBy(family.alias("family")).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from caseflow.operators import prep as pr
 from caseflow.operators import split as sp
 from caseflow.plans import pipeline as pl
 from caseflow.plans.oracle import HOT_VARIANTS
-from caseflow.session import durable, tune
+from caseflow.session import durable, shared_folder, tune
 from caseflow.sources import mapping as m
+from caseflow.sources.tables import read_result_files, schema_of, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,6 +544,28 @@ def result_summary(t):
     return an.result_summary(m.result_rows(*t.at))
 
 
+RESULT_SCHEMA = schema_of(
+    "Model STRING, Cohort STRING, Condition STRING, Seed INT, AUROC DOUBLE, AUPRC DOUBLE, F1 DOUBLE, Epochs INT, Train_Time_s DOUBLE, split_id STRING"
+)
+
+
+@query
+def collect_results(t):
+    """Results written in two layouts, read back by their headers, put together, gated and summarised."""
+    rows = m.result_rows(*t.at).withColumns({"Epochs": F.lit(7), "split_id": F.concat_ws("-", "Cohort", "Variant")})
+    layouts = {
+        "ml": ("NOT deep", ["Model", "Cohort", "Condition", "Seed", "AUROC", "AUPRC", "F1", "Train_Time_s", "split_id"]),
+        "rnn": ("deep", ["Model", "Condition", "Cohort", "Seed", "F1", "AUPRC", "AUROC", "Epochs", "Train_Time_s", "split_id"]),
+    }
+    folder = f"{shared_folder(t.spark)}/results-{uuid.uuid4().hex}"
+    rows = durable(rows.withColumn("deep", F.col("Model").isin(*an.DEEP)))
+    for name, (own, columns) in layouts.items():
+        for variant in ("lat", "old"):
+            part = rows.filter(own).filter(F.col("Variant") == variant).select(*columns)
+            write_csv(part, f"{folder}/{name}_results_{variant}.csv")
+    return an.collect_results([read_result_files(t.spark, f"{folder}/*.csv", RESULT_SCHEMA, ("lat", "old"))])
+
+
 @query
 def run_inventory(t):
     return an.run_inventory(m.result_rows(*t.at))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+FILE = "__file"
 
 
 _TYPES = {
@@ -45,20 +48,40 @@ SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header row, explicit types and optional column pruning.
+def file_names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files behind paths and patterns, in order of name; their contents are not read."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    return sorted(r["path"] for r in found)
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, columns: list[str] | None = None, allow_missing: bool = False
+) -> DataFrame:
+    """CSV with header rows, explicit types and optional column pruning.
 
-    Columns are found by header name, so their order in the file does not matter.  ``.csv.gz`` files
-    are read as they are; one gzip file is one task, see ``read_gzip_folder``.
+    Columns are found by each file's own header, so neither their order nor further columns matter;
+    files of one header are read together.  A column a header lacks is an error, or NULL where
+    ``allow_missing``.  ``.csv.gz`` files are read as they are; one gzip file is one task, see
+    ``read_gzip_folder``.
     """
-    reader = spark.read.option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT)
     if columns is not None:
         schema = T.StructType([schema[c] for c in columns])
-    first = path if isinstance(path, str) else path[0]
-    header = header_columns(spark, first)
-    in_file_order = [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
-    table = reader.option("enforceSchema", False).schema(T.StructType(in_file_order)).csv(path)
-    return table.select(*schema.names)
+    reader = spark.read.option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT).option("enforceSchema", False)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for name in file_names(spark, path):
+        layouts.setdefault(tuple(header_columns(spark, name)), []).append(name)
+    parts = []
+    for header, names in layouts.items():
+        missing = [c for c in schema.names if c not in header]
+        if missing and header and not allow_missing:
+            raise ValueError(f"{names[0]} lacks {', '.join(missing)}")
+        in_file_order = [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
+        table = reader.schema(T.StructType(in_file_order)).csv(names).withColumn(FILE, F.col("_metadata.file_path"))
+        parts.append(table.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in missing}).select(*schema.names, FILE))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn(FILE, F.lit(None).cast("string")) if allow_missing else spark.createDataFrame([], schema)
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows if allow_missing else rows.drop(FILE)
 
 
 def header_columns(spark: SparkSession, path: str) -> list[str]:
@@ -93,22 +116,21 @@ def read_database(spark: SparkSession, table: str, url: str | None = None, split
 
 
 def read_result_files(spark: SparkSession, pattern: str, schema: T.StructType, variants: tuple[str, ...], default_seed: int = 42) -> DataFrame:
-    """Result files named ``<model>_results_<variant>[_s<seed>].csv``: facts missing in the rows come from the name.
+    """Results in files (or written folders) ``<model>_results_<variant>[_s<seed>].csv``, each read by its own header.
 
-    Files whose name does not follow the pattern contribute no rows.
+    Facts missing in the rows come from the name.  Files whose name does not follow the pattern
+    contribute no rows.
     """
-    name = rf"^(.*?)_results_({'|'.join(variants)})(?:_s(\d+))?\.csv$"
-    file_name = F.col("_metadata.file_name")
-    rows = spark.read.option("header", True).schema(schema).csv(pattern)
-    rows = rows.withColumn("source_file", file_name).filter(F.col("source_file").rlike(name))
+    name = rf"([^/]*?)_results_({'|'.join(variants)})(?:_s(\d+))?\.csv(?:/part-[^/]*)?$"
+    rows = read_csv(spark, pattern, schema, allow_missing=True).filter(F.col(FILE).rlike(name))
     facts = {
-        "Model": F.regexp_extract("source_file", name, 1),
-        "Variant": F.regexp_extract("source_file", name, 2),
-        "Seed": F.coalesce(F.nullif(F.regexp_extract("source_file", name, 3), F.lit("")).cast("int"), F.lit(default_seed)),
+        "Model": F.regexp_extract(FILE, name, 1),
+        "Variant": F.regexp_extract(FILE, name, 2),
+        "Seed": F.coalesce(F.nullif(F.regexp_extract(FILE, name, 3), F.lit("")).cast("int"), F.lit(default_seed)),
     }
     for column, fact in facts.items():
         rows = rows.withColumn(column, F.coalesce(F.col(column), fact) if column in rows.columns else fact)
-    return rows
+    return rows.withColumn("source_file", F.regexp_extract(FILE, r"([^/]+\.csv)(?:/part-[^/]*)?$", 1)).drop(FILE)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

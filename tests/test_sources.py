@@ -50,3 +50,31 @@ def test_result_files(spark, tmp_path):
     (tmp_path / "own" / "ml_results_lat_s1.csv").write_text("Model,Seed,AUROC\nGB,7,0.9\nRF,,0.7\n")
     df = tb.read_result_files(spark, f"{tmp_path}/own/*.csv", tb.schema_of("Model STRING, Seed INT, AUROC DOUBLE"), ("lat",))
     assert rows(df, "Model", "Seed") == [("GB", 7), ("RF", 1)]
+
+
+def test_result_files_of_two_layouts(spark, tmp_path):
+    (tmp_path / "ml_results_lat_s1.csv").write_text("Model,AUROC,F1,Train_Time_s,split_id\nGB,0.9,0.5,14.2,x\n")
+    (tmp_path / "rnn_results_lat_s1.csv").write_text("Model,F1,Epochs,AUROC,Train_Time_s,split_id\nRNN,0.4,17,0.8,24.6,x\n")
+    schema = tb.schema_of("Model STRING, AUROC DOUBLE, F1 DOUBLE, Epochs INT, Train_Time_s DOUBLE, split_id STRING")
+    df = tb.read_result_files(spark, f"{tmp_path}/*.csv", schema, ("lat",))
+    assert rows(df, "Model", "AUROC", "F1", "Train_Time_s") == [("GB", 0.9, 0.5, 14.2), ("RNN", 0.8, 0.4, 24.6)]
+    assert sorted(r["Epochs"] or 0 for r in df.collect()) == [0, 17]
+
+
+def test_files_in_another_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("hadm_id,drug\n1,x\n")
+    (tmp_path / "b.csv").write_text("drug,extra,hadm_id\ny,z,2\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert rows(tb.read_csv(spark, paths, tb.SCHEMAS["prescriptions"]), "hadm_id", "drug") == [(1, "x"), (2, "y")]
+
+
+def test_collecting_refuses_mixed_partitions(spark):
+    import pytest
+
+    from caseflow.operators import analysis as an
+
+    schema = "Model STRING, Cohort STRING, Condition STRING, Variant STRING, Seed INT, AUROC DOUBLE, AUPRC DOUBLE, F1 DOUBLE, split_id STRING"
+    one = spark.createDataFrame([("GB", "SW", "x", "lat", 1, 0.9, 0.5, 0.4, "p")], schema)
+    assert an.collect_results([one, one.drop("F1")]).first()["AUROC_count"] == 2
+    with pytest.raises(ValueError):
+        an.collect_results([one, one.withColumn("split_id", one.Model)])
