@@ -41,10 +41,13 @@ def encode_sequences(
 ) -> DataFrame:
     """(hadm_id, seq): the last ``max_len`` token ids before the point, left-padded with 0.
 
-    Cases without an event before their point are absent.  Only ``max_len`` rows per case are ever
+    Cases without an event before their point are absent; an activity the vocabulary lacks is an error
+    (``unknown_activities`` lists them).  Only ``max_len`` rows per case are ever
     gathered: the rank limit is applied before and after the exchange.
     """
-    before = prefix(log, points).select(*by, "case_id", *ORDER, by_unit("activity", vocabulary).alias("token"))
+    unknown = F.raise_error(F.concat(F.lit("activity without a token: "), F.coalesce("activity", F.lit("NULL")))).cast("int")
+    token = F.coalesce(by_unit("activity", vocabulary), unknown)
+    before = prefix(log, points).select(*by, "case_id", *ORDER, token.alias("token"))
     latest = Window.partitionBy("case_id", *by).orderBy(*[F.col(c).desc() for c in ORDER])
     last = before.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= max_len)
     in_order = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("at"), "token")))

@@ -100,3 +100,11 @@ def test_case_trace_and_ends(spark):
     assert rows(ev.case_trace(log, F.col("case_id") == 1), "pos", "activity") == [(1, "a"), (2, "b"), (3, "c")]
     assert rows(ev.first_activity(log)) == [("a", 2)]
     assert rows(ev.end_points(log)) == [("end", "a", 1), ("end", "c", 1), ("start", "a", 2)]
+
+
+def test_unknown_activities_stop_the_encoder(spark):
+    log = log_of(spark, {1: [(1, 0, ICU), (2, 0, "Somewhere else")]})
+    points = points_of(spark, {1: 9})
+    with pytest.raises(Exception, match="activity without a token: Somewhere else"):
+        en.encode_sequences(log, points).collect()
+    assert en.encode_sequences(log, points_of(spark, {1: 2})).count() == 1  # the prefix ends before it
