@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import exact, mixing, near, packing, quality
-from caseflow.llm.common import durable, table
+from caseflow.llm.common import durable, settle, table
 from caseflow.llm.queries import public_vocabulary
 
 
@@ -19,21 +19,25 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
+    settle(spark)
     return exact.without_copies(docs)
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest doc_id stays."""
+    settle(spark)
     return near.without_near_copies(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents are there as often as the mix uses them."""
+    settle(spark)
     return mixing.mixture(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    settle(spark)
     return packing.packed(docs, packing.Packing(public_vocabulary()))
 
 
