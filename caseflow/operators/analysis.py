@@ -216,9 +216,12 @@ def mean_rank(results: DataFrame, models: tuple[str, ...] | None = DEEP) -> Data
 
 
 def paired_interval(results: DataFrame, model: str = "GB", deep: tuple[str, ...] = DEEP, t: float = T_95) -> DataFrame:
-    """``model`` against the neural model with the best mean, paired by seed, with a 95 % t interval."""
+    """``model`` against the neural model with the best mean, paired by seed, with a 95 % t interval.
+
+    The means are over all seeds of a model, the interval over the seeds both have.
+    """
     own = results.filter((F.col("Model") == model) & (F.col("Condition") == TABULAR)).select(
-        "Cohort", "Variant", "Seed", F.col("AUROC").alias("own")
+        "Cohort", "Variant", "Seed", F.col("AUROC").alias("own"), F.avg("AUROC").over(Window.partitionBy("Cohort", "Variant")).alias("own_mean")
     )
     neural = results.filter(
         (F.col("Model").isin(*deep) & (F.col("Condition") == COMBINED))
@@ -235,7 +238,7 @@ def paired_interval(results: DataFrame, model: str = "GB", deep: tuple[str, ...]
         .groupBy("Cohort", "Variant", "best_neural", "neural")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg("own").alias("own"),
+            F.first("own_mean").alias("own"),
             F.avg(difference).alias("delta"),
             F.stddev_samp(difference).alias("sd"),
         )

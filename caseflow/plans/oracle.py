@@ -465,8 +465,8 @@ _BODIES = {
         + (count(*) OVER (PARTITION BY Variant, Cohort, Condition, mean) - 1) / 2 AS rk FROM cells) GROUP BY Model""",
     "paired_interval": """SELECT Cohort, Variant, best_neural, n, round(own, 4) AS own_mean, round(neural_mean, 4) AS neural_mean, round(delta, 4) AS delta,
         round(delta - h, 4) AS ci_lo, round(delta + h, 4) AS ci_hi, CASE WHEN delta - h > 0 THEN 'GB beats' WHEN delta + h < 0 THEN 'neural beats' ELSE 'tie' END
-        AS verdict FROM (SELECT Cohort, Variant, best_neural, any_value(top) AS neural_mean, count(*) AS n, avg(g.AUROC) AS own, avg(g.AUROC - x.AUROC) AS delta,
-        2.776 * stddev_samp(g.AUROC - x.AUROC) / sqrt(count(*)) AS h FROM (SELECT * FROM results WHERE Model = 'GB' AND Condition = 'With Process') g
+        AS verdict FROM (SELECT Cohort, Variant, best_neural, any_value(top) AS neural_mean, count(*) AS n, any_value(own_all) AS own, avg(g.AUROC - x.AUROC) AS delta,
+        2.776 * stddev_samp(g.AUROC - x.AUROC) / sqrt(count(*)) AS h FROM (SELECT *, avg(AUROC) OVER (PARTITION BY Cohort, Variant) AS own_all FROM results WHERE Model = 'GB' AND Condition = 'With Process') g
         JOIN neural x USING (Cohort, Variant, Seed) JOIN (SELECT Cohort, Variant, arg_min(Model, (-mean, Model)) AS best_neural, max(mean) AS top
         FROM (SELECT Cohort, Variant, Model, avg(AUROC) AS mean FROM neural GROUP BY ALL) GROUP BY ALL) b USING (Cohort, Variant)
         WHERE x.Model = best_neural GROUP BY ALL)""",
