@@ -394,9 +394,10 @@ _BODIES = {
         r AS (SELECT q.id AS query_id, t.id, t.y, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.e, t.e), t.id) AS rk
         FROM v q JOIN v t ON q.test AND NOT t.test)
         SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rk) AS neighbours, round(avg(y), 6) AS score FROM r WHERE rk <= 5 GROUP BY query_id""",
-    "trainer_inputs": """SELECT hadm_id, part, label, seq, round((n_events - avg(n_events) FILTER (part = 'train') OVER ())
-        / stddev_pop(n_events) FILTER (part = 'train') OVER (), 6) AS x0, 3 + (SELECT count(DISTINCT last_unit) FROM scored WHERE cohort = 'SW')::INT AS n_tabular
-        FROM scored JOIN split USING (cohort, hadm_id) JOIN seqs USING (cohort, hadm_id) WHERE cohort = 'SW'""",
+    "trainer_inputs": """SELECT cohort, hadm_id, part, label, seq, round((n_events - avg(n_events) FILTER (part = 'train') OVER (PARTITION BY cohort))
+        / stddev_pop(n_events) FILTER (part = 'train') OVER (PARTITION BY cohort), 6) AS x0, 3 + n_units::INT AS n_tabular
+        FROM scored JOIN split USING (cohort, hadm_id) JOIN seqs USING (cohort, hadm_id)
+        JOIN (SELECT cohort, count(DISTINCT last_unit) AS n_units FROM scored GROUP BY cohort) USING (cohort)""",
     "metrics_threshold": """SELECT *, round((TP + TN) / (TP + FP + FN + TN), 4) AS Accuracy, coalesce(round(TP / nullif(TP + FP, 0), 4), 0) AS "Precision",
         coalesce(round(TP / nullif(TP + FN, 0), 4), 0) AS Recall, coalesce(round(2 * TP / nullif(2 * TP + FP + FN, 0), 4), 0) AS F1 FROM (
         SELECT cohort, count(*) FILTER (label = 1 AND score >= 0.5) AS TP, count(*) FILTER (label <> 1 AND score >= 0.5) AS FP,

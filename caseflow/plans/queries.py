@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -449,16 +450,19 @@ def one_hot(t):
 
 @keeping_query
 def trainer_inputs(t):
-    ward = lambda df: df.filter("cohort = 'SW'").drop("cohort")
-    cases = m.case_values(*t.at).join(ward(pl.labels(t)).select("hadm_id", "left_lat"), "hadm_id")
-    encoded = en.encode_sequences(pl.log(t), ward(pl.points(t)))
-    rows = pr.tensors(
-        encoded, cases, pl.cohort_split(t, "SW"), "left_lat", [*_SCALED, "last_unit"], ["last_unit"]
-    )
-    return rows.select(
-        "hadm_id", "part", "label", _text(F.col("seq")).alias("seq"), F.col("tabular")[0].alias("x0"),
-        F.size("tabular").alias("n_tabular"),
-    )
+    values, labels, log, points = m.case_values(*t.at), pl.labels(t), pl.log(t), pl.points(t)
+
+    def inputs(cohort: str) -> DataFrame:
+        own = lambda df: df.filter(F.col("cohort") == cohort).drop("cohort")
+        cases = values.join(own(labels).select("hadm_id", "left_lat"), "hadm_id")
+        encoded = en.encode_sequences(log, own(points))
+        rows = pr.tensors(encoded, cases, pl.cohort_split(t, cohort), "left_lat", [*_SCALED, "last_unit"], ["last_unit"])
+        return rows.select(
+            F.lit(cohort).alias("cohort"), "hadm_id", "part", "label", _text(F.col("seq")).alias("seq"), F.col("tabular")[0].alias("x0"),
+            F.size("tabular").alias("n_tabular"),
+        )
+
+    return reduce(lambda a, b: a.unionByName(b), [inputs(c) for c in m.COHORTS])
 
 
 @query
