@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 
 from caseflow.session import durable, tune
 
-__all__ = ["durable", "table", "bounded_copy", "bit_filter", "has_bit", "same", "texts", "record_batch"]
+__all__ = ["durable", "settle", "table", "bounded_copy", "bit_filter", "has_bit", "same", "texts", "record_batch"]
+
+
+#: Rows and bytes of an Arrow batch: texts can be long, and a worker holds a batch more than once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """The runtime settings the plans count on."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+    return tune(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables, with the runtime settings the plans count on."""
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    """One of the given tables."""
+    return settle(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def bounded_copy(df: DataFrame, rows: int) -> list:

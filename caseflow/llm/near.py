@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import bounded_copy, durable, record_batch, same, texts
+from caseflow.llm.common import bit_filter, durable, has_bit, record_batch, same, texts
 from caseflow.llm.components import components
 from caseflow.llm.shingles import WIDTH, common, mix, shingle_sets
 
@@ -41,7 +41,7 @@ class Near:
     batch: int = 32
     miss: float = 1e-6
     share: int = 256
-    block: int = 1024
+    block: int = 512
     filter_bits: int = 1 << 25
 
 
@@ -137,17 +137,6 @@ def surviving(pairs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     return both.select("a", "b", "places_a", "places_b").mapInArrow(prune, "a long, b long")
 
 
-def _bits(ids: DataFrame, bits: int) -> bytes:
-    """A bit for every id, by its remainder: at most ``bits`` bits reach the driver."""
-    slot = F.pmod(F.col("id"), F.lit(bits)) + 1
-    words = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
-    out = bytearray(bits // 8)
-    for row in bounded_copy(words, bits // 32768):
-        at = (row["bucket"] - 1) * 4096
-        out[at : at + 4096] = row["bitmap"]
-    return bytes(out)
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
@@ -159,15 +148,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, near: Near, doc_id: str, text:
     parted = durable(pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"))
     wanted = parted.select("a", "part", F.col("b").alias("id")).unionByName(parted.select("a", "part", F.col("a").alias("id")).distinct())
     wanted = durable(wanted)
-    marks = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("id"), near.filter_bits))
+    marks = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "id", near.filter_bits))
     bits = near.filter_bits
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            slots = np.mod(ids.astype(np.int64), bits)
-            table = np.frombuffer(marks.value, np.uint8)
-            yield batch.filter(pa.array((table[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(has_bit(marks.value, batch.column("id").to_numpy(zero_copy_only=False), bits)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader, before = None, None, None
@@ -190,59 +176,66 @@ def confirmed(pairs: DataFrame, docs: DataFrame, near: Near, doc_id: str, text:
     return met.sortWithinPartitions("a", "part", F.col("id") != F.col("a"), "id").mapInArrow(check, "a long, b long")
 
 
-def stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(buckets, pairs): leader and size of every bucket of at least two, and its members paired with the leader."""
-    order = F.xxhash64("rep")
-    buckets = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count(F.lit(1)).alias("size"))
-    buckets = durable(buckets.filter("size > 1").select("key", F.col("first.rep").alias("leader"), "size"))
-    paired = members.join(buckets, "key").filter("rep <> leader")
-    return buckets, paired.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+def stars(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(within, buckets, pairs): members of buckets of at least two, every bucket's leader, and its members paired with it.
+
+    The leader is the member that meets most others over all its buckets: among copies of one original, that
+    is mostly the original, to which all are closer than to each other.
+    """
+    sizes = durable(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    within = durable(members.join(sizes, "key"))
+    degrees = durable(within.groupBy("rep").agg(F.sum("size").alias("degree")))
+    weighed = durable(within.join(degrees, "rep"))
+    order = F.struct("degree", F.xxhash64("rep").alias("o"), "rep")
+    buckets = durable(weighed.groupBy("key").agg(F.max(order).alias("first"), F.first("size").alias("size")).select("key", F.col("first.rep").alias("leader"), "size"))
+    paired = within.join(buckets.select("key", "leader"), "key").filter("rep <> leader")
+    return within, buckets, paired.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def unresolved(members: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
-    """Plausible pairs of members of one bucket that are in different components and were not yet compared.
+def further_links(members: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket that the leaders left in different components.
 
     A bucket's members outside its leader's component are compared with all members of other components:
-    ``block`` of the former meet ``block`` of the latter at a time, in memory; only survivors leave.
+    ``block`` of the former meet ``block`` of the latter at a time, in memory.  A pair counts in the first
+    band that it shares, and only while its components are apart; nothing but confirmed links leaves.
     """
-    size, needed = near.bands * near.rows, least_matches(near)
+    size, needed, bits = near.bands * near.rows, least_matches(near), near.filter_bits
     labelled = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     leads = buckets.filter("size > 2").join(labels, buckets["leader"] == labels["node"], "left")
-    leads = durable(leads.select("key", "size", F.col("leader"), F.coalesce("label", "leader").alias("own")))
+    leads = durable(leads.select("key", "size", F.coalesce("label", "leader").alias("own")))
     inside = durable(labelled.join(leads, "key"))
-    outer = inside.filter("label <> own").groupBy("key").agg(F.count(F.lit(1)).alias("n_outer"))
-    # One member outside was compared with the leader already, and with all others only if there are none.
-    open_buckets = durable(outer.join(leads.select("key", "size"), "key"))
-    work = durable(inside.join(open_buckets.select("key", "n_outer"), "key"))
-    work = work.withColumns({"rows_of": F.ceil(F.col("n_outer") / near.block).cast("int"), "columns_of": F.ceil(F.col("size") / near.block).cast("int")})
-    place = F.xxhash64("rep", "key")
-    first = work.filter("label <> own").select(
-        "key", "rep", "label", F.lit(True).alias("outer"), F.pmod(place, F.col("rows_of")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns_of") - 1)).alias("j")
-    )
-    second = work.select(
-        "key", "rep", "label", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)).alias("i"), F.pmod(place, F.col("columns_of")).cast("int").alias("j")
+    outer = durable(inside.filter("label <> own").groupBy("key").agg(F.count(F.lit(1)).alias("n_outer")))
+    work = inside.join(outer, "key").withColumns(
+        {"rows_of": F.ceil(F.col("n_outer") / near.block).cast("int"), "columns_of": F.ceil(F.col("size") / near.block).cast("int"), "place": F.xxhash64("rep", "key")}
     )
-    signed = durable(first.unionByName(second)).join(classes.select("rep", "n_shingles", "places"), "rep")
+    work = durable(work)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod("place", F.col(n)).cast("int")
+    first = work.filter("label <> own").select("key", "rep", "label", F.lit(True).alias("outer"), part("rows_of").alias("i"), upto("columns_of").alias("j"))
+    second = work.select("key", "rep", "label", F.lit(False).alias("outer"), upto("rows_of").alias("i"), part("columns_of").alias("j"))
+    met = work.select(F.col("rep").alias("id")).distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(bit_filter(met, "id", bits))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(marks.value, batch.column("rep").to_numpy(zero_copy_only=False), bits)))
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text")).filter("rep IS NOT NULL")
+    rows = rows.mapInArrow(marked, "rep long, text string").groupBy("rep").agg(F.min("text").alias("text"))
+    known = durable(rows.join(classes.select("rep", "n_shingles", "places", "keys"), "rep"))
+    full = durable(first.unionByName(second)).join(known, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, columns = None, [], []
 
         def block() -> pa.RecordBatch:
-            out_a, out_b = [], []
+            found: list[tuple[int, int]] = []
             if rows and columns:
-                signs = np.frombuffer(b"".join(c[3] for c in columns), np.uint8).reshape(-1, size)
-                reps, labels_, counts = (np.array([c[i] for c in columns], np.int64) for i in range(3))
-                for rep, label, n, places in rows:
-                    others = np.flatnonzero((labels_ != label) & (np.minimum(counts, n) * 100 >= np.maximum(counts, n) * near.percent))
-                    if len(others):
-                        own = np.broadcast_to(np.frombuffer(places, np.uint8), (len(others), size))
-                        kept = others[plausible(own, signs[others], needed, near.batch)]
-                        out_a.extend([rep] * len(kept))
-                        out_b.extend(reps[kept].tolist())
-            return record_batch({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                found = _links_between(key[0], rows, columns, size, needed, near)
+            return record_batch({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
 
         for batch in batches:
-            named = [batch.column(n).to_pylist() for n in ("key", "i", "j", "outer", "rep", "label", "n_shingles", "places")]
+            named = [batch.column(n).to_pylist() for n in ("key", "i", "j", "outer", "rep", "label", "n_shingles", "places", "keys", "text")]
             for k, i, j, outside, *member in zip(*named):
                 if (k, i, j) != key:
                     yield block()
@@ -250,9 +243,45 @@ def unresolved(members: DataFrame, buckets: DataFrame, classes: DataFrame, label
                 (rows if outside else columns).append(member)
         yield block()
 
-    blocks = signed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = blocks.mapInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return blocks.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _links_between(key: int, rows: list[list], columns: list[list], size: int, needed: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Links of a block that join components, each confirmed on full sets; rows are (rep, label, n, places, keys, text)."""
+    reps, labels, counts = (np.array([c[i] for c in columns], np.int64) for i in range(3))
+    signs = np.frombuffer(b"".join(c[3] for c in columns), np.uint8).reshape(-1, size)
+    bands = np.array([c[4] for c in columns], np.int64)
+    sets: dict[int, np.ndarray] = {}
+    root: dict[int, int] = {}
+
+    def set_of(rep: int, value: str) -> np.ndarray:
+        if rep not in sets:
+            sets[rep] = next(shingle_sets(iter([value.encode()]), near.width))
+        return sets[rep]
+
+    def find(label: int) -> int:
+        while (up := root.get(label, label)) != label:
+            label = up
+        return label
+
+    out = []
+    for rep, label, n, places, keys, value in rows:
+        others = np.flatnonzero((labels != label) & (np.minimum(counts, n) * 100 >= np.maximum(counts, n) * near.percent))
+        shared = bands[others] == np.array(keys, np.int64)[None, :]
+        others = others[shared.any(axis=1) & (bands[others, np.argmax(shared, axis=1)] == key)]
+        if not len(others):
+            continue
+        own = np.broadcast_to(np.frombuffer(places, np.uint8), (len(others), size))
+        for c in others[plausible(own, signs[others], needed, near.batch)].tolist():
+            here, there = find(label), find(int(labels[c]))
+            if here != there:
+                a, b = set_of(rep, value), set_of(int(reps[c]), columns[c][5])
+                both = common(a, b)
+                if 100 * both >= near.percent * (len(a) + len(b) - both):
+                    out.append((rep, int(reps[c])))
+                    root[max(here, there)] = min(here, there)
+    return out
 
 
 def near_classes(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,16 +298,13 @@ def near_classes(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", t
     classes = filled.groupBy(*own).agg(F.min(F.struct("doc_id", "places", "keys")).alias("first"))
     classes = durable(classes.select(*own, F.col("first.doc_id").alias("rep"), "first.places", "first.keys"))
     members = classes.select("rep", F.explode("keys").alias("key"))
-    buckets, pairs = stars(members)
+    within, buckets, pairs = stars(members)
     pairs = durable(pairs)
     links = durable(confirmed(durable(surviving(pairs, classes, near)), docs, near, doc_id, text))
     labels = components(links)
-    within = durable(members.join(buckets.filter("size > 2").select("key"), "key"))
-    more = durable(unresolved(within, buckets, classes, labels, near).join(pairs, ["a", "b"], "left_anti"))
-    more = durable(more.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    more = durable(further_links(within.select("rep", "key"), buckets, classes, labels, docs, near, doc_id, text))
     if not more.isEmpty():
-        links = durable(links.unionByName(confirmed(more, docs, near, doc_id, text)))
-        labels = components(links)
+        labels = components(durable(links.unionByName(more)))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*own, F.coalesce("label", "rep").alias("component"))
     named = durable(named)
     joined = marks.join(named, same(marks, named, own), "left")
@@ -290,5 +316,5 @@ def near_classes(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", t
 
 def without_near_copies(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, all columns kept."""
-    stays = near_classes(docs, near, doc_id, text).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stays, docs[doc_id].eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([doc_id])
+    stays = near_classes(docs, near, doc_id, text).filter("kept").select(F.col("doc_id").alias("keep_id")).distinct()
+    return docs.join(stays, docs[doc_id].eqNullSafe(stays["keep_id"]), "left_semi").dropDuplicates([doc_id])

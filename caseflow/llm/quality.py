@@ -24,7 +24,7 @@ from caseflow.llm.shingles import word_hashes
 
 LINE_END = 10
 #: Bytes of text whose lines are measured together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)

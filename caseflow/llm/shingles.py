@@ -13,7 +13,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are hashed together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.Generator(np.random.PCG64(20240101))
