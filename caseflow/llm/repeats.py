@@ -135,22 +135,25 @@ def maximal_repeats(groups: np.ndarray, left: np.ndarray, n_left: np.ndarray, ri
     common[np.concatenate([[False], groups[order][1:] != groups[order][:-1]])] = 0
     by_left = np.empty(len(order), np.int64)
     by_left[_sorted(left, n_left, groups)] = np.arange(len(order))
-    listed = common.tolist()
-    for depth, first, last in intervals(listed):
+    # Two neighbours alone in their interval are most of all cases: their left contexts are compared at once.
+    beside = _common(left[order], n_left[order]).tolist() if len(order) else []
+    for depth, first, last in intervals(common.tolist()):
         least = length - depth
         if depth < SEED or least > length - SEED:
             continue
         members = order[first : last + 1]
+        if last - first == 1:
+            if beside[last] >= least:
+                yield beside[last], depth, members
+            continue
         at = np.argsort(by_left[members])
+        # The interval's children lie between neighbours that share no more than its depth.
+        child = np.concatenate([[0], np.cumsum(common[first + 1 : last + 1] == depth)])[at]
         around = _common(left[members[at]], n_left[members[at]]).tolist()
         for reach, a, b in intervals(around):
-            if reach < least:
-                continue
-            found = at[a : b + 1]
-            # Also right-diverse: not all within one child of the interval.
-            low, high = int(found.min()) + first, int(found.max()) + first
-            if min(listed[low + 1 : high + 1]) == depth:
-                yield reach, depth, members[found]
+            # Also right-diverse: not all within one child.
+            if reach >= least and child[a : b + 1].min() < child[a : b + 1].max():
+                yield reach, depth, members[at[a : b + 1]]
 
 
 def _rows(batch: pa.RecordBatch, settings: Repeats) -> Iterator[tuple[int, bytes, Sampled]]:
@@ -211,15 +214,33 @@ def shared_seeds(docs: DataFrame, settings: Repeats, parts: int) -> DataFrame:
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "seed long, n_docs long")
 
 
-_FIELDS = {"seeds": "<u8", "hashes": "<u8", "docs": "<i8", "places": "<i4", "before": "u1", "behind": "u1", "bytes": ""}
+_FIELDS = {"seeds": "<u8", "hashes": "<u8", "docs": "<i8", "places": "<i4", "before": "u1", "behind": "u1"}
+
+
+def _first_key(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Stands for a context in the smallest document that holds it."""
+    return mix(hashes ^ mix(docs.astype(np.int64).view(np.uint64) * _TAGS[2]))
+
+
+_STRETCHES = {"docs": "<i8", "starts": "<i4", "sizes": "<u2"}
+_PACKED = "part long, docs binary, starts binary, sizes binary"
 
 
-def covered(docs: DataFrame, settings: Repeats) -> DataFrame:
-    """(doc_id, start, stop): stretches that also stand in a smaller document; they may overlap."""
+def _packed(found: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Stretches (document, start, stop), packed by the part of their document."""
+    docs = found[:, 0].astype("<i8")
+    return _dealt(np.mod(docs, parts), docs=docs, starts=found[:, 1].astype("<i4"), sizes=(found[:, 2] - found[:, 1]).astype("<u2"))
+
+
+def parts_for(docs: DataFrame, settings: Repeats) -> int:
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(settings.least_parts, -(-total // settings.part_bytes)) | 1
+
+
+def covered(docs: DataFrame, settings: Repeats, parts: int) -> DataFrame:
+    """Stretches that also stand in a smaller document, packed by their document's remainder by ``parts``; they may overlap."""
     spark, length = docs.sparkSession, settings.length
     reach, width = length - SEED, 2 * length - SEED
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(settings.least_parts, -(-total // settings.part_bytes))
     shared = durable(shared_seeds(docs, settings, parts))
     bits = settings.bits
     marks = spark.sparkContext.broadcast(bit_filter(shared, "seed", bits))
@@ -230,42 +251,48 @@ def covered(docs: DataFrame, settings: Repeats) -> DataFrame:
         hot = has_bit(hot_marks.value, s.seeds[rows].view(np.int64), 1 << 24)
         return rows[~hot], rows[hot]
 
+    schema = "part long, " + ", ".join(f"{n} binary" for n in _FIELDS)
+
+    def recorded(s: Sampled, doc: int, rows: np.ndarray) -> dict[str, np.ndarray]:
+        before, behind, hashes = s.contexts(rows)
+        values = (s.seeds[rows], hashes, np.full(len(rows), doc, "<i8"), s.places[rows].astype("<i4"), before.astype("u1"), behind.astype("u1"))
+        return dict(zip(_FIELDS, values))
+
+    def together(records: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if records:
+            joined = {n: np.concatenate([r[n] for r in records]) for n in records[0]}
+            yield _dealt(joined["seeds"] % np.uint64(parts), **joined)
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list[np.ndarray]] = {n: [] for n in _FIELDS}
+            yield from together([recorded(s, doc, split(s)[0]) for doc, _, s in _rows(batch, settings)])
+
+    def equal_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, _FIELDS):
+            yield from _by_contexts(held, parts)
+
+    met = docs.mapInArrow(occurrences, schema).repartition("part").sortWithinPartitions("part")
+    met = durable(met.mapInArrow(equal_contexts, _PACKED + ", open long"))
+    open_marks = spark.sparkContext.broadcast(bit_filter(met.filter("open IS NOT NULL"), "open", bits))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = []
             for doc, text, s in _rows(batch, settings):
-                rows, _ = split(s)
-                if not len(rows):
-                    continue
-                before, behind, hashes = s.contexts(rows)
-                data = np.pad(np.frombuffer(text, np.uint8), (reach, length))
-                context = data[(s.places[rows])[:, None] + np.arange(width)[None, :]]
-                values = (s.seeds[rows], hashes, np.full(len(rows), doc, "<i8"), s.places[rows].astype("<i4"), before.astype("u1"), behind.astype("u1"), context)
-                for name, value in zip(_FIELDS, values):
-                    out[name].append(value)
-            if not out["seeds"]:
-                continue
-            joined = {n: np.concatenate(v) for n, v in out.items()}
-            # A context's bytes travel once a batch.
-            _, once = np.unique(joined["hashes"], return_index=True)
-            parts_of = joined["seeds"] % np.uint64(parts)
-            context = joined.pop("bytes")[once]
-            named = {n: v for n, v in joined.items()}
-            first = _dealt(parts_of, **named)
-            second = _dealt(parts_of[once], known=joined["hashes"][once], context=context)
-            empty = pa.array([b""] * first.num_rows, pa.binary())
-            none = pa.array([b""] * second.num_rows, pa.binary())
-            yield record_batch({n: first.column(n) for n in ("part", *named)} | {"known": empty, "context": empty})
-            yield record_batch({"part": second.column("part")} | {n: none for n in named} | {"known": second.column("known"), "context": second.column("context")})
+                record = recorded(s, doc, split(s)[0])
+                fine = has_bit(open_marks.value, _first_key(record["hashes"], record["docs"]).view(np.int64), bits)
+                if fine.any():
+                    record = {n: v[fine] for n, v in record.items()}
+                    data = np.pad(np.frombuffer(text, np.uint8), (reach, length))
+                    records.append(record | {"context": data[record["places"][:, None] + np.arange(width)[None, :]]})
+            yield from together(records)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {n: t for n, t in _FIELDS.items() if t} | {"known": "<u8", "context": "u1"}
-        for held in _gathered(batches, types):
-            yield _stretches(held, settings)
+        for held in _gathered(batches, _FIELDS | {"context": "u1"}):
+            yield _packed(_by_repeats(held, settings), parts)
 
-    names = [n for n in _FIELDS if _FIELDS[n]] + ["known", "context"]
-    dealt = docs.mapInArrow(occurrences, "part long, " + ", ".join(f"{n} binary" for n in names))
-    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(repeats, "doc_id long, start long, stop long")
+    differing = docs.mapInArrow(contexts, schema + ", context binary").repartition("part").sortWithinPartitions("part")
+    found = met.filter("open IS NULL").drop("open").unionByName(differing.mapInArrow(repeats, _PACKED))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,56 +306,80 @@ def covered(docs: DataFrame, settings: Repeats) -> DataFrame:
         return found
     held = durable(docs.mapInArrow(windows, "window long, doc_id long, start long"))
     least = durable(held.groupBy("window").agg(F.min("doc_id").alias("least")))
-    more = held.join(least, "window").filter("doc_id > least")
-    return found.unionByName(more.select("doc_id", "start", (F.col("start") + length).alias("stop")))
+    more = held.join(least, "window").filter("doc_id > least").select("doc_id", "start")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = (batch.column(n).to_numpy() for n in ("doc_id", "start"))
+            yield _packed(np.column_stack([doc, start, start + length]), parts)
 
+    return found.unionByName(more.mapInArrow(pack, _PACKED))
 
-def _stretches(held: dict[str, np.ndarray], settings: Repeats) -> pa.RecordBatch:
-    """What one part's occurrences cover: by equal contexts, and by the maximal repeats among different ones."""
-    length, reach = settings.length, settings.length - SEED
+
+def _ordered(held: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Occurrences by seed, context, document, place; and where new seeds and new contexts begin."""
     order = np.lexsort((held["places"], held["docs"], held["hashes"], held["seeds"]))
-    seeds, hashes, docs = (held[n][order] for n in ("seeds", "hashes", "docs"))
+    seeds, hashes = held["seeds"][order], held["hashes"][order]
+    new_seed = np.concatenate([[True], seeds[1:] != seeds[:-1]])[: len(order)]
+    new_context = new_seed | np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(order)]
+    return order, new_seed, new_context
+
+
+def _by_contexts(held: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Whole contexts that a smaller document holds too; and, as ``open``, first contexts of seeds that have several."""
+    order, new_seed, new_context = _ordered(held)
+    docs, hashes = held["docs"][order], held["hashes"][order]
     places, before, behind = (held[n][order].astype(np.int64) for n in ("places", "before", "behind"))
-    if not len(seeds):
-        return _pairs({n: np.zeros(0, np.int64) for n in ("doc_id", "start", "stop")})
-    new_seed = np.concatenate([[True], seeds[1:] != seeds[:-1]])
-    new_context = new_seed | np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    suffix = np.cumsum(new_context) - 1
     first = np.flatnonzero(new_context)
-    smallest = docs[first]
-    later = docs > smallest[suffix]
-    doc_out, start_out, stop_out = [docs[later]], [(places - before)[later]], [(places + behind)[later]]
-
+    later = docs > docs[first][np.cumsum(new_context) - 1]
+    found = _outermost(docs[later], (places - before)[later], (places + behind)[later])
+    packed = _packed(found, parts)
+    yield record_batch({n: packed.column(n) for n in ("part", *_STRETCHES)} | {"open": pa.nulls(packed.num_rows, pa.int64())})
     group = (np.cumsum(new_seed) - 1)[first]
-    several = np.bincount(group)[group] > 1
-    chosen = np.flatnonzero(several)
-    if len(chosen):
-        known, at = np.unique(held["known"], return_index=True)
-        context = held["context"].reshape(-1, 2 * length - SEED)[at[np.searchsorted(known, hashes[first[chosen]])]]
-        n_left, n_right = before[first[chosen]], behind[first[chosen]]
-        left = np.ascontiguousarray(context[:, reach - 1 :: -1])
-        right = np.ascontiguousarray(context[:, reach:])
-        owner = smallest[chosen]
-        # The places of a suffix in its smallest document; elsewhere its whole context is covered already.
-        ends = np.append(first[1:], len(seeds))
-        for a, f, members in maximal_repeats(group[chosen], left, n_left, right, n_right, length):
-            least = owner[members].min()
-            for m in members[owner[members] > least].tolist():
-                s, e = first[chosen[m]], ends[chosen[m]]
-                own = places[s:e][docs[s:e] == owner[m]]
-                doc_out.append(np.full(len(own), owner[m]))
-                start_out.append(own - a)
-                stop_out.append(own + f)
-    found = np.column_stack([np.concatenate(doc_out), np.concatenate(start_out), np.concatenate(stop_out)])
-    # Of one document's stretches, those within another one say nothing.
+    several = first[np.bincount(group)[group] > 1] if len(first) else first
+    keys = np.unique(_first_key(hashes[several], docs[several])).view(np.int64)
+    none = pa.nulls(len(keys), pa.binary())
+    yield record_batch({"part": pa.nulls(len(keys), pa.int64())} | {n: none for n in _STRETCHES} | {"open": pa.array(keys, pa.int64())})
+
+
+def _by_repeats(held: dict[str, np.ndarray], settings: Repeats) -> np.ndarray:
+    """What the maximal repeats among the different contexts of a part's seeds cover."""
+    length, reach = settings.length, settings.length - SEED
+    order, new_seed, new_context = _ordered(held)
+    docs = held["docs"][order]
+    places, before, behind = (held[n][order].astype(np.int64) for n in ("places", "before", "behind"))
+    context = held["context"].reshape(-1, 2 * length - SEED)[order]
+    first = np.flatnonzero(new_context)
+    group, owner = (np.cumsum(new_seed) - 1)[first], docs[first]
+    left, right = np.ascontiguousarray(context[first][:, reach - 1 :: -1]), np.ascontiguousarray(context[first][:, reach:])
+    suffixes, reaches, depths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, f, members in maximal_repeats(group, left, before[first], right, behind[first], length):
+        owners = owner[members]
+        later = members[owners > owners.min()]
+        if len(later):
+            suffixes.append(later)
+            reaches.append(np.full(len(later), a))
+            depths.append(np.full(len(later), f))
+    suffix, a, f = (np.concatenate(x).astype(np.int64) for x in (suffixes, reaches, depths))
+    # The places of a suffix in the document that owns it; elsewhere its whole context is covered already.
+    own = docs == owner[np.cumsum(new_context) - 1] if len(first) else np.zeros(0, bool)
+    count = np.add.reduceat(own, first, dtype=np.int64) if len(first) else first
+    n = count[suffix]
+    row = np.repeat(np.arange(len(suffix)), n)
+    at = first[suffix][row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return _outermost(docs[at], places[at] - a[row], places[at] + f[row])
+
+
+def _outermost(docs: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """(document, start, stop) without the stretches that lie within another one of their document."""
+    found = np.column_stack([docs, starts, stops])
     found = found[np.lexsort((-found[:, 2], found[:, 1], found[:, 0]))]
-    if len(found):
-        fresh = np.concatenate([[True], found[1:, 0] != found[:-1, 0]])
-        block = np.cumsum(fresh) - 1
-        shift = block * (int(found[:, 2].max()) + 1)
-        furthest = np.maximum.accumulate(found[:, 2] + shift)
-        found = found[np.concatenate([[True], (found[1:, 2] + shift[1:]) > furthest[:-1]])]
-    return _pairs({"doc_id": found[:, 0], "start": found[:, 1], "stop": found[:, 2]})
+    if not len(found):
+        return found
+    fresh = np.concatenate([[True], found[1:, 0] != found[:-1, 0]])
+    stop = found[:, 2] + (np.cumsum(fresh) - 1) * (int(found[:, 2].max()) + 1)
+    furthest = np.maximum.accumulate(stop)
+    return found[np.concatenate([[True], stop[1:] > furthest[:-1]])]
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,40 +401,45 @@ def without_repeats(docs: DataFrame, settings: Repeats = Repeats(), doc_id: str
     take nothing from others.  No rows give none.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    stretches = durable(covered(rows.filter("doc_id IS NOT NULL"), settings))
-    pieces = stretches.select("doc_id", "start", "stop", F.lit(None).cast("string").alias("text"))
-    whole = rows.select("doc_id", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), "text")
+    known = rows.filter("doc_id IS NOT NULL")
+    parts = parts_for(known, settings)
+    pieces = covered(known, settings, parts).select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    none = F.lit(None).cast("binary")
+    own = F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)).cast("long")
+    whole = rows.select(own.alias("part"), none.alias("docs"), none.alias("starts"), none.alias("sizes"), "doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, starts, stops = None, [], []
-        runs: tuple[np.ndarray, np.ndarray] | None = None
+        part, packed = None, []
+        docs_, starts, stops = (np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "spans", "kept")}
-            named = [batch.column(n).to_pylist() for n in ("doc_id", "start", "stop")]
-            values = batch.column("text")
-            for i, (doc, start, stop) in enumerate(zip(*named)):
-                if doc != key:
-                    key, starts, stops, runs = doc, [], [], None
-                if start is not None:
-                    starts.append(start)
-                    stops.append(stop)
+            columns = [batch.column(n) for n in ("part", "docs", "starts", "sizes", "doc_id", "text")]
+            for p, docs_of, starts_of, sizes_of, doc, text_ in zip(*columns):
+                if p.as_py() != part:
+                    part, packed = p.as_py(), []
+                    docs_, starts, stops = (np.zeros(0, np.int64) for _ in range(3))
+                if docs_of.is_valid:
+                    packed.append([np.frombuffer(v.as_py(), t) for v, t in zip((docs_of, starts_of, sizes_of), _STRETCHES.values())])
                     continue
-                if runs is None:
-                    runs = merged(np.array(starts, np.int64), np.array(stops, np.int64))
-                raw = values[i].as_py().encode()
+                if packed:  # the part's stretches came first
+                    docs_, starts, sizes = (np.concatenate(x).astype(np.int64) for x in zip(*packed))
+                    order, packed = np.argsort(docs_, kind="stable"), []
+                    docs_, starts, stops = docs_[order], starts[order], (starts + sizes)[order]
+                raw, doc_ = text_.as_py().encode(), doc.as_py()
+                low, high = (0, 0) if doc_ is None else np.searchsorted(docs_, [doc_, doc_ + 1])
+                runs = list(zip(*(r.tolist() for r in merged(starts[low:high], stops[low:high]))))
                 kept, at = [], 0
-                for s, e in zip(*(r.tolist() for r in runs)):
+                for s, e in runs:
                     kept.append(raw[at:s])
                     at = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                record = (doc, len(raw), len(raw) - len(left), [{"start": s, "stop": e} for s, e in zip(*(r.tolist() for r in runs))], left)
-                for name, value in zip(out, record):
+                for name, value in zip(out, (doc_, len(raw), len(raw) - len(left), [{"start": s, "stop": e} for s, e in runs], left)):
                     out[name].append(value)
             yield record_batch(
                 {n: pa.array(out[n], pa.int64()) for n in ("doc_id", "n_bytes", "n_removed")}
                 | {"spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), "kept": pa.array(out["kept"], pa.binary())}
             )
 
-    both = pieces.unionByName(whole).repartition("doc_id").sortWithinPartitions("doc_id", F.col("start").isNull(), "start")
+    both = pieces.unionByName(whole).repartition("part").sortWithinPartitions("part", F.col("docs").isNull())
     return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
