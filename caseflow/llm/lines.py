@@ -25,7 +25,7 @@ from caseflow.llm.common import bit_filter, durable, has_bit, record_batch, text
 from caseflow.llm.shingles import mix, word_hashes
 
 #: Bytes of text that are hashed together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -64,10 +64,10 @@ class _Measured:
         self.whole = mix((self.sums[first + count] - self.sums[first]) ^ count.astype(np.uint64) * _TAGS[0])
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per line six keys: of the first and the second part for lines one shorter, as long, and one longer; two of them its own."""
-        keys = np.empty((len(self.first), 6), np.uint64)
+        """Per line four keys: of its first and second part, and of the parts a line one word shorter would share with it."""
+        keys = np.empty((len(self.first), 4), np.uint64)
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.powers), _INVERSE, np.uint64)]))
-        for c, change in enumerate((-1, 0, 1)):
+        for c, change in enumerate((-1, 0)):
             n = self.count + change
             head = n // 2
             tail = n - head
@@ -128,7 +128,7 @@ def close_lines(docs: DataFrame, settings: Lines) -> DataFrame:
             _, once = np.unique(m.whole[rows], return_index=True)
             rows = rows[once]
             keys = m.halves()[rows]
-            yield _longs(key=keys.ravel(), line=np.repeat(m.whole[rows], 6))
+            yield _longs(key=keys.ravel(), line=np.repeat(m.whole[rows], 4))
 
     shared = docs.mapInArrow(half_keys, "key long, line long").groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b")
     halves = spark.sparkContext.broadcast(bit_filter(shared, "key", bits))
@@ -142,16 +142,14 @@ def close_lines(docs: DataFrame, settings: Lines) -> DataFrame:
             row, place, key = m.variants(rows)
             yield _longs(key=key, place=place, line=m.whole[row], doc_id=ids[m.text[row]], line_no=m.number[row])
 
-    found = docs.mapInArrow(variants, "key long, place long, line long, doc_id long, line_no long")
+    found = docs.mapInArrow(variants, "key long, place long, line long, doc_id long, line_no long").repartition("key")
     own = F.struct("doc_id", "line_no", "line")
-    held = durable(found.groupBy("key", "place", "line").agg(F.min(own).alias("own")))
-    # A key under which two different lines meet; most keys have one.
-    met = held.groupBy("key").agg(
+    # A key under which two different lines meet; most keys have one.  The same shuffled rows are read twice.
+    met = found.groupBy("key").agg(
         F.min("line").alias("a"), F.max("line").alias("b"),
-        F.min(F.when(F.col("place") >= 0, F.col("own"))).alias("shortened"), F.min(F.when(F.col("place") < 0, F.col("own"))).alias("whole"),
+        F.min(F.when(F.col("place") >= 0, own)).alias("shortened"), F.min(F.when(F.col("place") < 0, own)).alias("whole"),
     )
-    met = durable(met.filter("a <> b").drop("a", "b"))
-    meeting = durable(held.join(met, "key"))
+    meeting = durable(found.join(met.filter("a <> b").drop("a", "b"), "key").select("key", "place", "line", own.alias("own"), "shortened", "whole"))
     replaced = durable(meeting.groupBy("key", "place").agg(F.min("own").alias("replaced")))
     best = meeting.join(replaced, ["key", "place"]).select(
         "line", "own", F.least("replaced", F.when(F.col("place") >= 0, F.col("whole")).otherwise(F.col("shortened"))).alias("other")
