@@ -44,7 +44,9 @@ def bit_filter(rows: DataFrame, column: str, bits: int) -> bytes:
     Who tests a bit may take a value for one of the rows that is none, never the other way round.
     """
     slot = F.pmod(F.col(column), F.lit(bits)) + 1
-    words = rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    slots = rows.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("place"))
+    # Values are dealt out before they become bitmaps, else every map task would send nearly all bitmaps.
+    words = slots.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
     out = bytearray(bits // 8)
     for row in bounded_copy(words, bits // 32768):
         at = (row["bucket"] - 1) * 4096
