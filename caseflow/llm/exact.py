@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import bounded_copy, durable, record_batch, same, texts
+from caseflow.llm.common import bit_filter, durable, record_batch, same, texts
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 1_664_525_013)
@@ -130,28 +130,15 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hu
     )
 
 
-def _repeated_filter(prints: DataFrame, bits: int) -> bytes:
-    """A bit for every repeated (print, length): at most ``bits`` bits reach the driver."""
-    repeated = prints.groupBy("print", "n_bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = F.pmod("print", F.lit(bits)) + 1
-    words = repeated.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap")
-    )
-    out = bytearray(bits // 8)
-    for row in bounded_copy(words, bits // 32768):
-        at = (row["bucket"] - 1) * 4096
-        out[at : at + 4096] = row["bitmap"]
-    return bytes(out)
-
-
-def collisions(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, bits: int = FILTER_BITS, salts: int = SALTS) -> DataFrame:
+def collisions(docs: DataFrame, prints: DataFrame, text: str, bits: int = FILTER_BITS, salts: int = SALTS) -> DataFrame:
     """(print, n_bytes) under which different texts were found by comparing them.
 
     Copies within one Arrow batch are compared there and travel once.  What is left is compared in
     ``salts`` parts per fingerprint, then one text of each part with each other; every task streams
     sorted rows and holds the text before only.
     """
-    marks = docs.sparkSession.sparkContext.broadcast(_repeated_filter(prints, bits))
+    repeated = prints.groupBy("print", "n_bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "print", bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +184,7 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     twice; both carry the same decision.  No rows give no rows; further columns are ignored.
     """
     prints = durable(fingerprints(docs, doc_id, text, huge_bytes))
-    apart = durable(collisions(docs, prints, doc_id, text))
+    apart = durable(collisions(docs, prints, text))
     # One row a text and map task goes over the network; the digest only says which text a row has.
     own = ["print", "n_bytes", "text_sha256"]
     held = prints.groupBy(*own).agg(F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("rows"))
@@ -214,5 +201,8 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, one row for each group of equal texts, all columns kept."""
-    stays = exact_classes(docs, doc_id, text).filter("kept").select(F.col("keep_id").alias("__keep"), F.lit(True).alias("__stays"))
-    return docs.join(stays.distinct(), docs[doc_id].eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([doc_id])
+    stays = exact_classes(docs, doc_id, text).filter("kept").select("keep_id", "text_sha256").distinct()
+    value = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.sha2(value, 256).alias("digest"))
+    found = rows.join(stays, rows["id"].eqNullSafe(stays["keep_id"]) & (rows["digest"] == stays["text_sha256"]), "left_semi")
+    return found.dropDuplicates(["id", "digest"]).select("row.*")
