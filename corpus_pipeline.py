@@ -11,6 +11,9 @@ from caseflow.llm import exact, mixing, near, packing, quality
 from caseflow.llm.common import durable, settle, table
 from caseflow.llm.queries import public_vocabulary
 
+#: The stage takes copies from a similarity of 0.8 on (op5_near_dedup: 0.85); 36 x 5 hashes miss a pair at 0.8 with a chance of 6e-7.
+SIMILAR = near.Near(percent=80, bands=36, rows=5)
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier, fitted on the labelled ones among them, rejects go."""
@@ -26,7 +29,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest doc_id stays."""
     settle(spark)
-    return near.without_near_copies(docs)
+    return near.without_near_copies(docs, SIMILAR)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

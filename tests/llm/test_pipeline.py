@@ -41,3 +41,18 @@ def test_stages(spark, folder, tmp_path):
     assert not dissimilar & set(range(300, 320)) and dissimilar >= set(range(30, 50))
     assert mixed <= dissimilar and packed == mixed
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == len(packed)
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    r = random.Random(4)
+    rows, changes = [], {}
+    for i in range(24):
+        base = r.choices([f"w{k}" for k in range(5000)], k=304)  # 300 shingles
+        changes[i] = (5, 6, 8)[i % 3]  # 275 / 325, 270 / 330 and 260 / 340 in common
+        other = list(base)
+        for k in range(changes[i]):
+            other[20 + 30 * k] = f"new{i}x{k}"
+        rows += [(i, " ".join(base), "en", "s", 0), (100 + i, " ".join(other), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x.doc_id for x in corpus_pipeline.dissimilar_documents(spark, docs, "").collect()}
+    assert left == set(range(24)) | {100 + i for i, n in changes.items() if n == 8}
