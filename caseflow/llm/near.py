@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import bit_filter, durable, has_bit, record_batch, same, texts
@@ -59,8 +59,12 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     return least >> np.uint64(32)
 
 
+def _print(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
 def sketches(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, p0, p1, places, keys) of every row."""
+    """(doc_id, print, n_shingles, p0, p1, places, keys) of every row; ``print`` tells the texts of one id apart."""
     size = near.bands * near.rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +84,12 @@ def sketches(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
                 bands = mix((least.reshape(near.bands, near.rows) * weights).sum(axis=1, dtype=np.uint64) + np.arange(near.bands, dtype=np.uint64) * _FACTORS[700])
                 keys.append(bands.view(np.int64))
             yield record_batch(
-                {"doc_id": batch.column("doc_id"), "n_shingles": pa.array(counts, pa.int64()), "p0": pa.array(p0, pa.int64()), "p1": pa.array(p1, pa.int64()),
+                {"doc_id": batch.column("doc_id"), "print": batch.column("print"), "n_shingles": pa.array(counts, pa.int64()), "p0": pa.array(p0, pa.int64()), "p1": pa.array(p1, pa.int64()),
                  "places": pa.array(places, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, p0 long, p1 long, places binary, keys array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _print(doc_id, text).alias("print"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(sketch, "doc_id long, print long, n_shingles long, p0 long, p1 long, places binary, keys array<long>")
 
 
 def least_matches(near: Near) -> np.ndarray:
@@ -284,37 +288,65 @@ def _links_between(key: int, rows: list[list], columns: list[list], size: int, n
     return out
 
 
-def near_classes(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
+def _decided(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id, print, n_shingles, component_id and, where the row's set is not empty and its id not NULL, first_print.
 
-    ``component_id`` is the smallest doc_id that links reach, a document's own included; kept where they are
-    equal.  A text without words, NULL too, has an empty set and is linked with nothing.  Rows with equal
-    texts link; a row that is there twice is answered twice; a NULL id is its own component.  No rows
-    give none.
+    (component_id, first_print) is the one row of the component that stays.  Nodes of the links are the
+    smallest ids of the classes; where an id has several sets, the prints take their place.
     """
     marks = durable(sketches(docs, near, doc_id, text))
     own = ["p0", "p1", "n_shingles"]
+    sets = marks.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64(*own).alias("set"))
+    twofold = sets.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b")
+    one = twofold.isEmpty()
     filled = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy(*own).agg(F.min(F.struct("doc_id", "places", "keys")).alias("first"))
-    classes = durable(classes.select(*own, F.col("first.doc_id").alias("rep"), "first.places", "first.keys"))
+    classes = filled.groupBy(*own).agg(F.min(F.struct("doc_id", "print", "places", "keys")).alias("first"))
+    rep = F.col("first.doc_id" if one else "first.print").alias("rep")
+    classes = durable(classes.select(*own, rep, "first.doc_id", "first.print", "first.places", "first.keys"))
+    node = F.col(doc_id).cast("long") if one else F.when(F.col(doc_id).cast("long").isNotNull(), _print(doc_id, text))
+    nodes = docs.select(node.alias("node_id"), F.col(text).cast("string").alias("text"))
     members = classes.select("rep", F.explode("keys").alias("key"))
     within, buckets, pairs = stars(members)
     pairs = durable(pairs)
-    links = durable(confirmed(durable(surviving(pairs, classes, near)), docs, near, doc_id, text))
+    links = durable(confirmed(durable(surviving(pairs, classes, near)), nodes, near, "node_id", "text"))
     labels = components(links)
-    more = durable(further_links(within.select("rep", "key"), buckets, classes, labels, docs, near, doc_id, text))
+    more = durable(further_links(within.select("rep", "key"), buckets, classes, labels, nodes, near, "node_id", "text"))
     if not more.isEmpty():
         labels = components(durable(links.unionByName(more)))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*own, F.coalesce("label", "rep").alias("component"))
-    named = durable(named)
+    places = classes.select(*own, "rep", F.struct("doc_id", "print").alias("self"))
+    firsts = places.join(labels, places["rep"] == labels["node"]).groupBy("label").agg(F.min("self").alias("least"))
+    labels = durable(labels.join(firsts, "label").select("node", "least"))
+    named = places.join(labels, places["rep"] == labels["node"], "left").select(*own, F.coalesce("least", "self").alias("least"))
+    named = durable(named.select(*own, F.col("least.doc_id").alias("component"), F.col("least.print").alias("first_print")))
     joined = marks.join(named, same(marks, named, own), "left")
-    component = F.when((marks["n_shingles"] > 0) & marks["doc_id"].isNotNull(), F.col("component")).otherwise(marks["doc_id"])
+    linked = (marks["n_shingles"] > 0) & marks["doc_id"].isNotNull()
+    component = F.when(linked, F.col("component")).otherwise(marks["doc_id"])
     return joined.select(
-        marks["doc_id"], marks["n_shingles"], component.alias("component_id"), marks["doc_id"].eqNullSafe(component).alias("kept")
+        marks["doc_id"], marks["print"], marks["n_shingles"], component.alias("component_id"), F.when(linked, F.col("first_print")).alias("first_print")
     )
 
 
+def near_classes(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest doc_id that links reach, a document's own included; kept where they are
+    equal.  A text without words, NULL too, has an empty set and is linked with nothing.  Rows with equal
+    texts link; a row that is there twice is answered twice; a NULL id is its own component.  Rows with one
+    id and different sets are linked by their sets only.  No rows give none.
+    """
+    found = _decided(docs, near, doc_id, text)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def without_near_copies(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, all columns kept."""
-    stays = near_classes(docs, near, doc_id, text).filter("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["keep_id"]), "left_semi").dropDuplicates([doc_id])
+    """One document of each component, all columns kept.
+
+    Rows with a NULL id and texts without words all stay, each (id, text) once.  Of rows with one id, those
+    stay whose own text is the first of its component.
+    """
+    found = _decided(docs, near, doc_id, text)
+    first = F.col("first_print").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("print") == F.col("first_print")))
+    stays = found.filter(first).select(F.col("doc_id").alias("keep_id"), F.col("print").alias("keep_print")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), _print(doc_id, text).alias("print"))
+    left = rows.join(stays, rows["id"].eqNullSafe(stays["keep_id"]) & (rows["print"] == stays["keep_print"]), "left_semi")
+    return left.dropDuplicates(["id", "print"]).select("row.*")

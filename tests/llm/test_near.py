@@ -92,3 +92,20 @@ def test_stage_keeps_one_of_each(docs):
     rows = corpus()
     left = near.without_near_copies(docs(rows + rows[:3]))
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, _, _, kept in brute(rows) if kept)
+
+
+def test_stage_tells_texts_of_one_id_apart(docs):
+    r = random.Random(8)
+    text = lambda: r.choices([f"w{i}" for i in range(900)], k=120)
+    a, b, c, d, e, f = (text() for _ in range(6))
+    changed = lambda t: " ".join(t[:60] + ["new"] + t[61:])
+    a2, d2 = changed(a), changed(d)
+    a, b, c, d, e, f = map(" ".join, (a, b, c, d, e, f))
+    rows = [(5, a), (7, a2), (7, b), (7, b), (9, d), (9, d2), (4, e), (4, None), (3, f), (3, f + " "), (None, c), (None, e), (None, b), (None, b), (None, None)]
+    for given in (rows, rows[::-1]):
+        left = [(x.doc_id, x.text) for x in near.without_near_copies(docs(given)).collect()]
+        held = [x for x in left if x[0] not in (9, 3)]
+        assert sorted(map(str, held)) == sorted(map(str, [(5, a), (7, b), (4, e), (4, None), (None, c), (None, e), (None, b), (None, None)]))
+        assert len([x for x in left if x[0] == 9]) == 1 and len([x for x in left if x[0] == 3]) == 1
+        classes = sorted(map(tuple, near.near_classes(docs(given).filter("doc_id in (5, 7)")).select("doc_id", "component_id").collect()))
+        assert classes == [(5, 5), (7, 5), (7, 7), (7, 7)]
