@@ -6,6 +6,7 @@ of the pieces and of the matches between them add up to code point positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 class Kind:
     """A kind of personal data.
 
-    ``pattern`` uses possessive repeats and a fence before its first repeat, so that the time stays
+    ``pattern`` uses possessive or bounded repeats and a fence before its first repeat, so that the time stays
     linear in very long runs; a text without ``sign`` has no match.  ``prior`` is the score of a confirmed span, ``support`` is added when
     one of ``words`` stands in the ``reach`` code points before it.  Spans under ``least`` go.
     """
@@ -37,11 +38,14 @@ EMAIL = Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Z
 IP = Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ("ip", "host", "server", "address"), 0.6, 0.3)
 CARD = Kind("card", "", r"[0-9](?:[\x20-]?[0-9])++", ("card", "visa", "credit", "payment"), 0.8, 0.2)
 PHONE = Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", ("phone", "tel", "call", "fax"), 0.7, 0.3)
-# Added by the method: account numbers that pass the mod-97 check.
-IBAN = Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", ("iban", "account", "bank", "konto"), 0.8, 0.2, 0.5)
+# Added by the method: account numbers that pass the mod-97 check.  A match is the first four signs only, its group the longest
+# rest that ends before a fence; the number may end at an earlier space, and another may begin inside the rest.
+IBAN = Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", ("iban", "account", "bank", "konto"), 0.8, 0.2, 0.5)
 BASE = (EMAIL, IP, CARD, PHONE)
 KINDS = (*BASE, IBAN)
 REACH = 40
+#: Signs of the shortest account number.
+LEAST_SIGNS = 15
 #: Matches that are placed together.
 BLOCK = 256
 
@@ -67,11 +71,32 @@ def confirmed(kind: Kind, match: Column) -> Column:
         return F.when(n.between(16, 19), F.call_function("luhn_check", digits(match))).otherwise(False)
     if kind is PHONE:
         return n.between(8, 15)
-    if kind is IBAN:
-        return mod97(match) == 1
     return F.lit(True)
 
 
+def accounts(placed: Column) -> Column:
+    """The account numbers at the proposed starts: of the ends at a fence, the last one under which the checksum holds."""
+    spaced, first = F.lit(" "), lambda m, n: F.substr(m["match"], F.lit(1), n)
+    ends = lambda m: F.filter(
+        F.sequence(F.lit(LEAST_SIGNS), F.length(m["match"])),
+        lambda n: F.substr(m["match"], n + 1, F.lit(1)).isin("", " ") & (F.substr(m["match"], n, F.lit(1)) != spaced)
+        & (F.length(F.replace(first(m, n), spaced)) >= LEAST_SIGNS) & (mod97(first(m, n)) == 1),
+    )
+    sized = F.transform(placed, lambda m: F.struct(m["start"].alias("start"), F.array_max(ends(m)).alias("size")))
+    sure = F.filter(sized, lambda m: m["size"].isNotNull())
+    return F.transform(sure, lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("end")))
+
+
+def apart(found: Column) -> Column:
+    """Spans in order without those that begin inside one that stays."""
+    overlaps = F.exists(F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False))), lambda x: x)
+    first = F.struct(F.lit(0).alias("end"), F.slice(found, F.lit(1), F.lit(0)).alias("out"))
+    add = lambda state, x: F.when(x["start"] < state["end"], state).otherwise(
+        F.struct(x["end"].alias("end"), F.concat(state["out"], F.array(x)).alias("out"))
+    )
+    return F.when(overlaps, F.aggregate(found, first, add, lambda state: state["out"])).otherwise(found)
+
+
 def score(kind: Kind, before: Column) -> Column:
     near = before.rlike(rf"(?i)\b(?:{'|'.join(kind.words)})")
     return F.lit(kind.prior) + F.when(near, kind.support).otherwise(0.0)
@@ -90,6 +115,12 @@ def _pair_size(pair: Column) -> Column:
     return F.length(pair["piece"]) + F.coalesce(F.length(pair["match"]), F.lit(0))
 
 
+def _located(kind: Kind) -> Callable[[Column], Column]:
+    """From a block of pairs to start and match, counted from the block's begin."""
+    whole = lambda p: F.concat(p["match"], p["rest"]) if kind is IBAN else p["match"]
+    return lambda block: running(block, _pair_size, lambda p, at: F.struct((at + F.length(p["piece"])).alias("start"), whole(p).alias("match")))
+
+
 def _placed(name: str) -> Column:
     """start, end and match of every match, from the blocks of (piece before it, match)."""
     blocks, local = F.col(f"__blocks_{name}"), F.col(f"__local_{name}")
@@ -103,9 +134,14 @@ def _placed(name: str) -> Column:
     return F.filter(F.flatten(moved), lambda m: m["match"].isNotNull())  # no match follows the last piece
 
 
+def _sure(kind: Kind) -> Column:
+    placed = F.col(f"__placed_{kind.name}")
+    return accounts(placed) if kind is IBAN else F.filter(placed, lambda m: confirmed(kind, m["match"]))
+
+
 def _scored(text: Column, kind: Kind) -> Column:
     before = lambda m: F.substr(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
-    sure = F.filter(F.col(f"__placed_{kind.name}"), lambda m: confirmed(kind, m["match"]))
+    sure = F.col(f"__sure_{kind.name}")
     scored = F.transform(
         sure, lambda m: F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score(kind, before(m)).alias("score"))
     )
@@ -127,7 +163,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds: tup
     rows = rows.withColumns({
         f"__pairs_{k.name}": F.when(
             F.size(f"__matches_{k.name}") > 0,
-            F.arrays_zip(F.split(value, k.pattern, -1).alias("piece"), F.col(f"__matches_{k.name}").alias("match")),
+            F.arrays_zip(
+                F.split(value, k.pattern, -1).alias("piece"), F.col(f"__matches_{k.name}").alias("match"),
+                *([F.regexp_extract_all(value, F.lit(k.pattern), 1).alias("rest")] if k is IBAN else []),
+            ),
         )
         for k in kinds
     })
@@ -138,13 +177,11 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds: tup
         ))
         for n in names
     })
-    rows = rows.withColumns({
-        f"__local_{n}": F.transform(f"__blocks_{n}", lambda block: running(
-            block, _pair_size, lambda p, at: F.struct((at + F.length(p["piece"])).alias("start"), p["match"].alias("match"))
-        ))
-        for n in names
-    })
+    rows = rows.withColumns({f"__local_{k.name}": F.transform(f"__blocks_{k.name}", _located(k)) for k in kinds})
     rows = rows.withColumns({f"__placed_{n}": _placed(n) for n in names})
+    rows = rows.withColumns({f"__sure_{k.name}": _sure(k) for k in kinds})
+    if IBAN in kinds:
+        rows = rows.withColumn(f"__sure_{IBAN.name}", apart(F.col(f"__sure_{IBAN.name}")))
     return rows.select("doc_id", F.concat(*[_scored(value, k) for k in kinds]).alias("spans"))
 
 

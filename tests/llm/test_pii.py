@@ -53,3 +53,18 @@ def test_account_numbers_need_the_checksum(docs):
 def test_odd_tables(docs, odd):
     assert pii.find(docs(odd)).count() == len(odd)
     assert pii.find(docs([])).count() == 0
+
+
+def test_account_numbers_before_capitals(docs):
+    de, no, gb = "DE89370400440532013000", "NO9386011117947", "GB82 WEST 1234 5698 7654 32"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    texts = [
+        (f"IBAN {de} Please pay", [de]), (f"{spaced} Thanks", [spaced]), (f"{de} BIC COBADEFF", [de]), (f"{gb} AND {spaced} OR {no} NOW", [gb, spaced, no]),
+        (f"AB12 CDEF GHIJ KLM {spaced} A", [spaced]), (f"AB12 3456 7890 123 {no}", [no]), (f"{de}x {de}1", []), (f"é {no}, {no}", [no, no]),
+        (f"{no} " * 300, [no] * 300), ("AB12 " * 3000, []), ("A" * 30_000 + "AB12" * 5000, []),
+    ]
+    rows = {r.doc_id: r.spans for r in pii.find(docs([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (text, want) in enumerate(texts):
+        found = [s for s in rows[i] if s["kind"] == "iban"]
+        assert [text[s["start"] : s["end"]] for s in found] == want, text[:60]
+        assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
