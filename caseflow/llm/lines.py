@@ -136,6 +136,7 @@ def close_lines(docs: DataFrame, settings: Lines) -> DataFrame:
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m, ids in _measured(batches):
             rows = np.flatnonzero(m.count >= least)
+            rows = rows[np.lexsort((m.number[rows], ids[m.text[rows]]))]  # the earliest place of a line speaks for it
             _, once = np.unique(m.whole[rows], return_index=True)
             rows = rows[once]
             rows = rows[has_bit(halves.value, m.halves()[rows].view(np.int64), bits).any(axis=1)]

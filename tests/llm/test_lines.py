@@ -69,3 +69,13 @@ def test_cleaned_text(docs, odd):
     assert {r.doc_id: r.text for r in out.collect()} == want
     assert gone(lines.line_decisions(docs(odd))) == brute(odd, 8)
     assert lines.line_decisions(docs([])).count() == 0 and lines.line_decisions(docs([(1, None), (2, "")])).count() == 0
+
+
+def test_rows_in_any_order(docs):
+    line = "one two three four five six seven eight nine"
+    rows = [(9, line), (3, line), (5, line.replace("two", "zwei"))]
+    assert gone(lines.line_decisions(docs(rows).coalesce(1))) == {(5, 0), (9, 0)}
+    for seed in range(3):
+        rows = corpus()
+        random.Random(seed).shuffle(rows)
+        assert gone(lines.line_decisions(docs(rows).coalesce(1))) == brute(rows, 8)
