@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import exact, lines, mixing, near, negatives, packing, pii, quality, repeats, topk, urls
+from caseflow.llm import conversations, exact, lines, mixing, near, negatives, packing, pii, quality, repeats, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,73 @@ close AS (
   FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM close WHERE rank <= 5
 """
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of their rows, dealt by a checksum of conversation and turn."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.encode(F.concat_ws(":", plain("conv_id"), plain("turn")), "UTF-8")) % 20
+    dealt = turns.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    copies = F.explode(F.sequence(F.lit(0), (F.col("kind") == 3).cast("int"))).alias("copy")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return dealt.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies)
+
+
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversations.with_conversations(turns, conversations.repaired(_damaged(turns), "copy"))
+
+
+def _conversation_oracle() -> str:
+    """The plain recursion over turns, last one first; costs, audit and repaired text of the four places side by side."""
+    polynomial = 3988292384
+    bits = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: xor(x >> 1, (x & 1) * {polynomial}))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+    onward, name = {"n": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+    step = lambda cost, letter, line, after: f"{{'c': {cost} + {after}.c, 'a': '{letter}' || {after}.a, 't': list_prepend({line}, {after}.t)}}"
+    turn, level = [], []
+    for place, to in onward.items():
+        fits = {"n": "i IN ('s', 'u')", "s": "i = 'u'", "u": "i = 'a'", "a": "i = 'u'"}[place]
+        kept = f"CASE WHEN i = 's' THEN {step('extra', 'K', 'line', 's')} ELSE {step('extra', 'K', 'line', 'u')} END" if place == "n" else step("extra", "K", "line", to)
+        options = [f"{{'c': 2 + {place}.c, 'a': 'D' || {place}.a, 't': {place}.t}}", f"CASE WHEN NOT gone AND {fits} THEN {kept} END", f"CASE WHEN NOT gone THEN {step('extra + 1', 'R', f"'{name[to]}:' || text", to)} END"]
+        turn.append(f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL)) AS {place}")
+        two = onward[to]
+        once = step("5", "I", f"'{name[to]}:'", to)
+        twice = f"{{'c': 10 + {two}.c, 'a': 'II' || {two}.a, 't': list_concat(['{name[to]}:', '{name[two]}:'], {two}.t)}}"
+        level.append(f"list_min([{place}, {once}, {twice}]) AS {place}")
+    none = lambda c: f"{{'c': {c}::BIGINT, 'a': '', 't': []::VARCHAR[]}}"
+    end = ", ".join(f"{none(0 if p in 'na' else 10**9)} AS {p}" for p in onward)
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (SELECT *, {crc} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE kind <> 0),
+placed AS (
+  SELECT *, substr(role, 1, 1) AS i, role || ':' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+signs AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault, lead(i) OVER (PARTITION BY conv_id ORDER BY p) AS next_i FROM placed),
+turns AS (
+  SELECT conv_id, p, i, text, line, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END::BIGINT AS extra FROM signs),
+counts AS (
+  SELECT conv_id, count(*) AS n_turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (next_i IS NOT NULL AND i || next_i NOT IN ('su', 'ua', 'au')) AS illegal FROM signs GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n_turns + 1 AS p, {", ".join(level)} FROM (SELECT conv_id, n_turns, {end} FROM counts)
+  UNION ALL
+  SELECT conv_id, p, {", ".join(level)} FROM (
+    SELECT w.conv_id, t.p, {", ".join(turn)} FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.p = w.p - 1))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(w.n.c, 0) AS cost, coalesce(w.n.a, '') AS audit, sha256(coalesce(array_to_string(w.n.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN walk w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.p = 1
+"""
+
+
+ORACLE["op11_conversations"] = _conversation_oracle()

@@ -14,7 +14,7 @@ llm = importlib.import_module("caseflow.llm.queries")
 @pytest.mark.parametrize("name", sorted(llm.ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = entry.queries()[name](spark, DATA).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
