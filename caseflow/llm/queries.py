@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import conversations, exact, lines, mixing, near, negatives, packing, pii, quality, repeats, topk, urls
+from caseflow.llm import conversations, exact, lines, mixing, near, negatives, packing, pii, quality, repeats, rules, topk, urls
 from caseflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,32 @@ LEFT JOIN walk w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.p = 1
 
 
 ORACLE["op11_conversations"] = _conversation_oracle()
+
+
+@query
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.judged(rules.statistics(table(spark, folder, "documents")))
+    return found.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+@query
+def rule_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics the quality rules judge by, and the fixed rules on them."""
+    found = rules.statistics(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", *rules.BASE, rules.base_failed().alias("base_failed"))
+
+
+ORACLE["rule_statistics"] = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+s AS (
+  SELECT r, doc_id, x, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+grams AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) > 4)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) o(k) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(l) AS n_lines, len(w) AS n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM s LEFT JOIN covered USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+"""
