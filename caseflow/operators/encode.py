@@ -12,8 +12,6 @@ from caseflow.operators.ordered import shifted
 MAX_LEN = 30
 MAX_NGRAM = 3
 MIN_DF = 2
-# A wide matrix gets one column per n-gram; beyond this many use the long form.
-MAX_WIDE = 5000
 
 
 def unknown_activities(log: DataFrame, vocabulary: dict[str, int] = ACTIVITY_IDS) -> DataFrame:
@@ -109,21 +107,6 @@ def bag_of_ngrams(counts: DataFrame, vocabulary: DataFrame, by: list[str] = [])
     return counts.join(vocabulary.select(*by, "ngram"), [*by, "ngram"], "left_semi")
 
 
-def bag_matrix(ids: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One ``bow_<ngram>`` column per fitted n-gram, zero where a case lacks it.
-
-    The column names must be known to the planner, so the vocabulary is read to the driver; its size
-    is checked first.  It depends on the number of activities, not of cases.
-    """
-    names = [r["ngram"] for r in vocabulary.select("ngram").orderBy("ngram").limit(MAX_WIDE + 1).collect()]
-    if len(names) > MAX_WIDE:
-        raise ValueError(f"more than {MAX_WIDE} n-grams; use the long form")
-    wide = counts.groupBy("hadm_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("ngram") == g, F.col("n"))), F.lit(0)).alias("bow_" + g) for g in names]
-    )
-    return ids.select("hadm_id").join(wide, "hadm_id", "left").fillna(0)
-
-
 def leak_audit(log: DataFrame, points: DataFrame, train_ids: DataFrame, min_df: int = MIN_DF, by: list[str] = []) -> DataFrame:
     """Vocabulary sizes under three boundaries, and how many n-grams each leaky one has on top.
 

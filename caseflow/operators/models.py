@@ -1,175 +1,140 @@
-"""Model runs on prepared vectors, the run grid, and the ablations built from it."""
+"""Learners on prepared vectors, at the settings the result tables are reported for, and the ablation plan."""
 
 from __future__ import annotations
 
-import time
+import uuid
 
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators import features as ft
-from caseflow.operators import metrics
-from caseflow.operators.analysis import union_results
+from caseflow.operators.design import BAG, View
 from caseflow.operators.neighbours import NEIGHBOURS, nearest, vote
-from caseflow.operators.prep import Prepared, prepare
-from caseflow.session import durable
+from caseflow.operators.perceptron import Perceptron, fit_perceptron
+from caseflow.session import shared_folder
 
 INCREMENTAL_ORDER = ("demographics", "clinical_core", "chronic_count", "charlson", "icd_chapters", "process")
 AT_DISCHARGE = ("icd_chapters", "charlson", "chronic_count")
+CLASSICAL = ("LR", "RF", "GB", "KNN")
+#: Spark's deepest tree; the trees of the result tables have no bound.
+DEEPEST = 30
 
 
-def logistic(n_train: int, seed: int):
+def logistic(n_train: int, seed: int, rounds: int = 1000):
     """Ridge penalty of strength 1 on the summed loss, as 1/n on the mean loss.  Inputs are scaled already."""
     return LogisticRegression(
-        maxIter=100, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, weightCol="weight"
+        maxIter=rounds, tol=1e-9, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, weightCol="weight"
     )
 
 
-def forest(n_train: int, seed: int, trees: int = 100, depth: int = 12, leaf: int = 1):
+def forest(n_train: int, seed: int, trees: int = 100, depth: int = DEEPEST, leaf: int = 1):
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxMemoryInMB=1024
     )
 
 
-def tuned_forest(n_train: int, seed: int):
-    return forest(n_train, seed, trees=200, depth=20, leaf=2)
+def tuned_forest(n_train: int, seed: int, trees: int = 200, depth: int = 20, leaf: int = 2):
+    return forest(n_train, seed, trees, depth, leaf)
 
 
 def boosting(n_train: int, seed: int, rounds: int = 100):
     return GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, weightCol="weight", seed=seed)
 
 
-def perceptron(n_inputs: int, seed: int, rounds: int = 100):
-    return MultilayerPerceptronClassifier(layers=[n_inputs, 64, 64, 2], maxIter=rounds, seed=seed)
+BUILD = {"LR": logistic, "RF": forest, "GB": boosting, "RF-tuned": tuned_forest}
 
 
-def _scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("hadm_id", "label", vector_to_array("probability")[1].alias("score"))
-
+def fit(name: str, view: View, seed: int = 42, **options):
+    """A fitted model as read back from where it was saved: without the training summary, which holds on to
+    the session and keeps a model from being sent to executors once the session observes a write."""
+    model = BUILD[name](view.train.count(), seed, **options).fit(view.train)
+    folder = f"{shared_folder(view.rows.sparkSession)}/fitted-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    return type(model).load(folder)
 
-def rebalanced(train: DataFrame) -> DataFrame:
-    """Repeat the rarer class so that both weigh about the same; for learners without row weights.
 
-    Every row is kept at least once; a row is repeated round(weight / smallest weight) times.
-    """
-    smallest = train.agg(F.min("weight")).first()[0] or 1.0
-    copies = F.greatest(F.lit(1), F.round(F.col("weight") / smallest)).cast("int")
-    return train.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
+def scored(model, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).select("hadm_id", "label", vector_to_array("probability")[1].alias("score"))
 
 
-def fit_predict(name: str, data: Prepared, seed: int = 42, **options) -> DataFrame:
+def fit_predict(name: str, view: View, seed: int = 42, **options) -> DataFrame:
     """(hadm_id, label, score) on the test rows for LR, RF, GB, MLP or KNN."""
     if name == "KNN":
-        as_vectors = lambda df: df.select(F.col("hadm_id").alias("id"), vector_to_array("features").alias("vec"))
-        found = nearest(as_vectors(data.train), as_vectors(data.test), options.get("k", NEIGHBOURS))
-        scores = vote(found, data.train.select(F.col("hadm_id").alias("id"), "label"))
-        return data.test.select("hadm_id", "label").join(scores.withColumnRenamed("query_id", "hadm_id"), "hadm_id")
+        as_vectors = lambda df: df.select(F.col("hadm_id").alias("id"), vector_to_array("features").alias("vec"))
+        found = nearest(as_vectors(view.train), as_vectors(view.test), options.get("k", NEIGHBOURS))
+        scores = vote(found, view.train.select(F.col("hadm_id").alias("id"), "label"))
+        return view.test.select("hadm_id", "label").join(scores.withColumnRenamed("query_id", "hadm_id"), "hadm_id")
     if name == "MLP":
-        return _scored(perceptron(len(data.names), seed, **options).fit(rebalanced(data.train)), data.test)
-    build = {"LR": logistic, "RF": forest, "GB": boosting, "RF-tuned": tuned_forest}[name]
-    return _scored(build(data.train.count(), seed, **options).fit(data.train), data.test)
-
-
-def run_row(name: str, cohort: str, condition: str, data: Prepared, split_id: str, seed: int = 42, **options) -> DataFrame:
-    """One result row: metrics, times, number of features, positive rate, seed and split id."""
-    started = time.perf_counter()
-    scored = fit_predict(name, data, seed, **options)
-    fitted = time.perf_counter()
-    scored = durable(scored)
-    predicted = time.perf_counter()
-    at_half = metrics.threshold_metrics(scored, []).select("Accuracy", "Precision", "Recall", "F1")
-    ranked = metrics.rank_metrics(scored.withColumn("run", F.lit(1)), ["run"]).select("AUROC", "AUPRC")
-    values = at_half.first().asDict() | (ranked.first() or _no_rows(ranked)).asDict()
-    rate = data.train.agg(F.round(F.avg("label"), 4)).first()[0]
-    row = {
-        "Model": name, "Cohort": cohort, "Condition": condition,
-        **{m: values[m] for m in ("Accuracy", "AUROC", "AUPRC", "Precision", "Recall", "F1")},
-        "Train_Time_s": round(fitted - started, 3), "Test_Time_s": round(predicted - fitted, 3),
-        "n_features": len(data.names), "pos_rate": rate, "Seed": seed, "split_id": split_id,
-    }
-    kinds = {str: "STRING", int: "INT"}
-    schema = ", ".join(f"`{k}` {kinds.get(type(v), 'DOUBLE')}" for k, v in row.items())
-    return data.train.sparkSession.createDataFrame([tuple(row.values())], schema)
-
-
-def _no_rows(df: DataFrame):
-    raise ValueError("no test rows to score")
-
-
-def run_grid(
-    matrix: DataFrame, split: DataFrame, label: str, cohort: str, split_id: str,
-    conditions: dict[str, tuple[list[str], DataFrame | None]], models: tuple[str, ...] = ("LR", "RF", "GB", "KNN"),
-    seeds: tuple[int, ...] = (42,),
-) -> DataFrame:
-    """Result rows for every condition, seed and model; each condition is prepared once.
-
-    ``conditions``: name -> (feature columns, extra per-case table such as n-grams or None).
-    """
-    rows = []
-    for condition, (columns, extra) in conditions.items():
-        data = prepare(matrix, split, label, columns, list(ft.CATEGORICAL), extra)
-        rows += [run_row(m, cohort, condition, data, split_id, seed) for seed in seeds for m in models]
-    return union_results(rows)
-
-
-def _ablate(matrix, split, label, columns) -> tuple[float, float, int]:
-    data = prepare(matrix, split, label, columns, list(ft.CATEGORICAL))
-    scored = fit_predict("LR", data).withColumn("run", F.lit(1))
-    found = metrics.rank_metrics(scored, ["run"]).first() or _no_rows(scored)
-    return found["AUROC"], found["AUPRC"], len(data.names)
-
-
-def _rows(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-_NUMBERS = "AUROC DOUBLE, AUPRC DOUBLE, n_features INT"
-
-
-def _minus(a: float | None, b: float | None) -> float | None:
-    return None if a is None or b is None else round(a - b, 4)
-
-
-def ablation_leave_one_out(matrix: DataFrame, split: DataFrame, label: str, groups=ft.GROUPS) -> DataFrame:
-    """The full model and the model without each group: how far does AUROC drop?"""
-    every = [f for g in groups.values() for f in g]
-    full = _ablate(matrix, split, label, every)
-    rows = [("(none) FULL", *full, 0.0)]
-    for name, own in groups.items():
-        left = _ablate(matrix, split, label, [c for c in every if c not in own])
-        rows.append((name, *left, _minus(full[0], left[0])))
-    return _rows(matrix.sparkSession, rows, f"removed_group STRING, {_NUMBERS}, AUROC_drop DOUBLE")
-
-
-def ablation_incremental(matrix: DataFrame, split: DataFrame, label: str, order=INCREMENTAL_ORDER, groups=ft.GROUPS) -> DataFrame:
-    """Groups added one after another in a fixed order, with the gain of each step."""
-    rows, columns, before = [], [], None
-    for name in order:
-        columns = columns + list(groups[name])
-        found = _ablate(matrix, split, label, columns)
-        rows.append((name, *found, _minus(found[0], before)))
-        before = found[0]
-    return _rows(matrix.sparkSession, rows, f"added_group STRING, cumulative_{_NUMBERS.replace(' AUPRC', ' cumulative_AUPRC')}, AUROC_gain DOUBLE")
-
-
-def ablation_single(matrix: DataFrame, split: DataFrame, label: str, groups=ft.GROUPS) -> DataFrame:
-    """Each group alone."""
-    rows = [(name, *_ablate(matrix, split, label, list(own))) for name, own in groups.items()]
-    return _rows(matrix.sparkSession, rows, f"group_alone STRING, {_NUMBERS}")
-
-
-def ablation_temporal(matrix: DataFrame, split: DataFrame, label: str, groups=ft.GROUPS, late=AT_DISCHARGE) -> DataFrame:
-    """What it costs to leave out the features that are only known at discharge."""
-    every = [f for g in groups.values() for f in g]
-    known_late = [f for g in late for f in groups[g]]
-    full = _ablate(matrix, split, label, every)
-    early = _ablate(matrix, split, label, [c for c in every if c not in known_late])
-    rows = [
-        (f"FULL ({len(every)} features)", *full, 0.0),
-        (f"minus {len(known_late)} discharge-assigned features", *early, _minus(full[0], early[0])),
-    ]
-    return _rows(matrix.sparkSession, rows, f"model STRING, {_NUMBERS}, AUROC_cost DOUBLE")
+        return fit_perceptron(view, Perceptron(seed=seed, **options)).scored(view.test)
+    return scored(fit(name, view, seed, **options), view.test)
+
+
+def ridge_gradient(model, view: View) -> float:
+    """Largest component of the penalised loss's gradient at a fitted logistic model, intercept included.
+
+    Near 0 where the fit is at its optimum, whatever way it got there."""
+    rows = model.transform(view.train).withColumn("g", F.col("weight") * (vector_to_array("probability")[1] - F.col("label")))
+    at = rows.agg(F.sum("weight").alias("w"), F.sum("g").alias("g")).first()
+    # Summarizer wants weights from 0 on; both signs are summed apart.
+    sums = 0.0
+    for sign in (1, -1):
+        own = rows.filter(F.col("g") * sign > 0)
+        part = own.agg(Summarizer.metrics("sum", "count").summary(F.col("features"), F.col("g") * sign).alias("m")).first()["m"]
+        if part is not None and part["count"]:
+            sums = sums + sign * part["sum"].toArray()
+    slope = sums / at["w"] + model.getRegParam() * model.coefficients.toArray()
+    return float(max(abs(slope).max(), abs(at["g"] / at["w"])))
+
+
+# --- conditions and ablations as choices of columns ------------------------------------------------------------
+
+EVERY = tuple(f for g in ft.GROUPS.values() for f in g)
+CONDITIONS = {
+    "No Process": tuple(f for f in EVERY if f not in ft.GROUPS["process"]),
+    "With Process": EVERY,
+    "With BoW": (*EVERY, BAG),
+}
+
+
+def _without(*groups: str) -> tuple[str, ...]:
+    return tuple(f for g, own in ft.GROUPS.items() if g not in groups for f in own)
+
+
+def ablation_plan(order: tuple[str, ...] = INCREMENTAL_ORDER, late: tuple[str, ...] = AT_DISCHARGE) -> list[tuple[str, int, str, tuple[str, ...]]]:
+    """(table, step, name, columns) of every row of the four ablation tables.
+
+    Rows of different tables that choose the same columns are one fit."""
+    known_late = sum(len(ft.GROUPS[g]) for g in late)
+    rows = [("leave_one_out", 0, "(none) FULL", EVERY)]
+    rows += [("leave_one_out", i, g, _without(g)) for i, g in enumerate(ft.GROUPS, 1)]
+    rows += [("single_group", i, g, tuple(own)) for i, (g, own) in enumerate(ft.GROUPS.items())]
+    rows += [("incremental", i, g, tuple(f for h in order[: i + 1] for f in ft.GROUPS[h])) for i, g in enumerate(order)]
+    rows += [("temporal_validity", 0, f"FULL ({len(EVERY)} features)", EVERY), ("temporal_validity", 1, f"minus {known_late} discharge-assigned features", _without(*late))]
+    return rows
+
+
+def choice_name(columns: tuple[str, ...]) -> str:
+    """One name for one choice of feature groups, in whatever order they were put together."""
+    return "+".join(g for g, own in ft.GROUPS.items() if set(own) <= set(columns))
+
+
+def row_gain(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """How far a value rises from one row to the next within its key; NULL for the first."""
+    return rows.withColumn(out, F.round(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)), 4))
+
+
+def ablation_tables(results: DataFrame, cohorts: list[str]) -> DataFrame:
+    """(table, Cohort, step, name, AUROC, AUPRC, n_features, change) from the results of the planned choices.
+
+    ``change`` is the drop against the full model, or the gain over the step before in the incremental table."""
+    spark = results.sparkSession
+    plan = [(table, step, name, choice_name(columns)) for table, step, name, columns in ablation_plan()]
+    planned = spark.createDataFrame(plan, "table STRING, step INT, name STRING, Condition STRING")
+    rows = planned.join(results.filter(F.col("Cohort").isin(cohorts)).select("Cohort", "Condition", "AUROC", "AUPRC", "n_features"), "Condition")
+    full = results.filter(F.col("Condition") == choice_name(EVERY)).select("Cohort", F.col("AUROC").alias("full"))
+    gained = row_gain(rows, ["table", "Cohort"], ["step"], "AUROC", "gain").join(full, "Cohort")
+    change = F.when(F.col("table") == "incremental", F.col("gain")).when(F.col("table") != "single_group", F.round(F.col("full") - F.col("AUROC"), 4))
+    return gained.select("table", "Cohort", "step", "name", "AUROC", "AUPRC", "n_features", change.alias("change"))

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.session import durable
-
 MAX_CATEGORIES = 1000
 
 
@@ -84,45 +81,6 @@ def class_weights(df: DataFrame, label: str, keys: list[str] = []) -> DataFrame:
     )
 
 
-def with_weights(train: DataFrame, label: str) -> DataFrame:
-    """Add the balanced class weight of each row as column ``weight``."""
-    row = train.agg(F.count(label).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first()
-    n, pos = row["n"], row["pos"]
-    positive, negative = n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1))
-    return train.withColumn("weight", F.when(F.col(label) == 1, positive).otherwise(negative))
-
-
-@dataclass(frozen=True)
-class Prepared:
-    """Scaled training and test vectors with the names of their inputs."""
-
-    train: DataFrame
-    test: DataFrame
-    names: list[str]
-
-
-def prepare(matrix: DataFrame, split: DataFrame, label: str, columns: list[str], categorical: list[str], extra: DataFrame | None = None) -> Prepared:
-    """One-hot over the cohort, standardise on train, assemble: (hadm_id, label, weight, features).
-
-    ``extra`` is a per-case table (such as n-gram columns) joined before scaling.
-    """
-    chosen = matrix.select("hadm_id", F.col(label).cast("int").alias("label"), *[F.col(f"`{c}`") for c in columns])
-    hot = one_hot(chosen, categories(chosen, [c for c in columns if c in categorical]))
-    if extra is not None:
-        hot = hot.join(extra, "hadm_id", "left").fillna(0)
-    names = [c for c in hot.columns if c not in ("hadm_id", "label")]
-    plain = {c: f"x{i}" for i, c in enumerate(names)}
-    numbered = hot.select(
-        "hadm_id", "label", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(x) for c, x in plain.items()]
-    ).join(split.select("hadm_id", "part"), "hadm_id")
-    numbered = durable(numbered)
-    scaler = fit_scaler(numbered.filter("part = 'train'"), list(plain.values()))
-    vectors = VectorAssembler(inputCols=list(plain.values()), outputCol="features").transform(scaler.apply(numbered))
-    rows = vectors.select("hadm_id", "label", "part", "features")
-    train = with_weights(rows.filter("part = 'train'"), "label")
-    return Prepared(train.drop("part"), rows.filter("part = 'test'").drop("part"), names)
-
-
 def tensors(sequences: DataFrame, matrix: DataFrame, split: DataFrame, label: str, columns: list[str], categorical: list[str]) -> DataFrame:
     """Inputs for trainers outside Spark: id, part, label, padded sequence and scaled tabular array."""
     chosen = matrix.select("hadm_id", F.col(label).cast("int").alias("label"), *columns)

@@ -221,7 +221,12 @@ def _needs(text: str) -> set[str]:
     return {name for name in _CTE if name in words}
 
 
-def _sql(body: str) -> str:
+def add_cte(name: str, body: str) -> None:
+    """A further table expression for queries registered elsewhere."""
+    _CTE[name] = body
+
+
+def sql(body: str) -> str:
     """Prepend the common table expressions a query mentions, directly or through others, in order of need."""
     ordered: list[str] = []
 
@@ -481,7 +486,7 @@ _CTE["restricted_cases"] = """SELECT l.cohort, l.hadm_id, l.subject_id, l.left_l
     ON l.cohort = o.cohort AND l.hadm_id = o.hadm_id WHERE onward = 1"""
 _CTE["restricted_split"] = _grouped("restricted_cases")
 
-ORACLE = {name: _sql(body) for name, body in _BODIES.items()}
+ORACLE = {name: sql(body) for name, body in _BODIES.items()}
 # The hot variants are the same queries by another plan.
 HOT_VARIANTS = (
     "collapse", "dwell_sweep", "directly_follows", "uhr_count", "bmi_nearest", "bow_features", "auroc", "label_lat", "restricted_cohort", "sequences",

@@ -115,13 +115,6 @@ def matrix(t: Tables) -> DataFrame:
     return wide.select("cohort", "hadm_id", "subject_id", LABEL, *ft.FEATURES)
 
 
-def filled_matrix(t: Tables, cohort: str) -> DataFrame:
-    """The 42-column matrix of one cohort without NULLs, written down for the model runs."""
-    wide = matrix(t).filter(F.col("cohort") == cohort).drop("cohort")
-    numeric = [f for f in ft.FEATURES if f not in ft.CATEGORICAL]
-    return durable(ft.fill_unknown(wide, list(ft.CATEGORICAL)).fillna(0, subset=numeric))
-
-
 def split(t: Tables) -> DataFrame:
     """Grouped split of the cases that have at least one event before their prediction point."""
     keys = ["cohort", "hadm_id"]

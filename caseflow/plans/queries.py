@@ -16,7 +16,6 @@ from caseflow.operators import events as ev
 from caseflow.operators import features as ft
 from caseflow.operators import labels as lb
 from caseflow.operators import metrics as me
-from caseflow.operators import models as mo
 from caseflow.operators import ordered
 from caseflow.operators import neighbours as nb
 from caseflow.operators import prep as pr
@@ -629,54 +628,6 @@ def paired_interval(t):
     return an.paired_interval(m.result_rows(*t.at))
 
 
-# --- models (no SQL form) ---------------------------------------------------------------------------
-
-
-def _model(name: str, model: str, **options) -> None:
-    def build(t):
-        cells, split = pl.filled_matrix(t, "SW"), pl.cohort_split(t, "SW")
-        columns = ft.condition_columns(cells, "With Process", pl.LABEL)
-        data = pr.prepare(cells, split, pl.LABEL, columns, list(ft.CATEGORICAL))
-        return mo.run_row(model, "SW", "With Process", data, sp.split_digest(split).first()["split_id"], **options)
-
-    build.__name__ = name
-    keeping_query(build)
-
-
-_model("logreg", "LR")
-_model("random_forest", "RF", trees=50, depth=8)
-_model("gbt", "GB", rounds=20)
-_model("mlp", "MLP", rounds=50)
-_model("knn_matrix", "KNN")
-
-
-def _ablation(name: str, run) -> None:
-    def build(t):
-        return run(pl.filled_matrix(t, "SW"), pl.cohort_split(t, "SW"), pl.LABEL)
-
-    build.__name__ = name
-    keeping_query(build)
-
-
-_ablation("ablation_loo", mo.ablation_leave_one_out)
-_ablation("ablation_incremental", mo.ablation_incremental)
-_ablation("ablation_single", mo.ablation_single)
-_ablation("ablation_temporal", mo.ablation_temporal)
-
-
-@keeping_query
-def model_grid(t):
-    """No Process, With Process and With BoW for logistic regression on one cohort."""
-    cells, split = pl.filled_matrix(t, "ICU"), pl.cohort_split(t, "ICU")
-    own = pl.points(t).filter("cohort = 'ICU'").drop("cohort")
-    counts = durable(en.ngrams(pl.log(t), own))
-    bag = en.bag_matrix(cells.select("hadm_id"), counts, en.fit_vocabulary(counts, _train(split)))
-    plain, process = (ft.condition_columns(cells, c, pl.LABEL) for c in ("No Process", "With Process"))
-    conditions = {"No Process": (plain, None), "With Process": (process, None), "With BoW": (process, bag)}
-    split_id = sp.split_digest(split).first()["split_id"]
-    return mo.run_grid(cells, split, pl.LABEL, "ICU", split_id, conditions, ("LR",))
-
-
 # --- the plans of hot cases and subjects, on the whole tables ---------------------------------------
 
 #: A limit under which a large part of the cases and subjects of any test table are hot.

@@ -58,6 +58,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["cohort", "hadm_id", "label"]
 
 
-def test_model_row(spark):
-    row = entry.queries()["logreg"](spark, DATA).first().asDict()
-    assert 0 <= row["AUROC"] <= 1 and row["n_features"] > 39 and len(row["split_id"]) == 16
+def test_result_table(spark):
+    rows = entry.queries()["model_scores"](spark, DATA).collect()
+    assert len(rows) == 2 * 3 * 4 + 2 * 2
+    assert all(0 <= r["AUROC"] <= 1 and r["n_features"] > 32 and len(r["split_id"]) == 16 for r in rows)
