@@ -107,6 +107,37 @@ def bag_of_ngrams(counts: DataFrame, vocabulary: DataFrame, by: list[str] = [])
     return counts.join(vocabulary.select(*by, "ngram"), [*by, "ngram"], "left_semi")
 
 
+#: The boundaries of the leak audit and the counts they are made from.
+#: A: prefix including the point, fitted on all cases; B: strict prefix, all cases; C: strict prefix, training cases.
+BOUNDARIES = {"A": "n_upto", "B": "n_before", "C": "n_before"}
+
+
+def flagged_ngrams(log: DataFrame, points: DataFrame, longest: int = MAX_NGRAM, by: list[str] = []) -> DataFrame:
+    """(hadm_id, ngram, n_upto, n_before): counts up to and strictly before the point, from one pass over the events.
+
+    Events before the point come first in their case, so an n-gram lies before it if its last event does.
+    """
+    keys = ["hadm_id", *by]
+    word = F.lower(F.replace("activity", F.lit(" "), F.lit("_")))
+    upto = prefix(log, points, inclusive=True)
+    tokens = upto.select(F.col("case_id").alias("hadm_id"), *by, *ORDER, word.alias("w0"), (F.col("event_time") < F.col("prediction_point")).alias("b0"))
+    followers = {f"{c}{i}": (F.col(f"{c}0"), i) for i in range(1, longest) for c in "wb"}
+    linked = shifted(tokens, keys, ORDER, followers) if followers else tokens
+    grams = [F.when(F.col(f"w{n - 1}").isNotNull(), F.struct(F.concat(*_spaced([F.col(f"w{i}") for i in range(n)])).alias("ngram"), F.col(f"b{n - 1}").alias("before"))) for n in range(1, longest + 1)]
+    exploded = linked.select(*keys, F.explode(F.array_compact(F.array(*grams))).alias("g"))
+    return exploded.groupBy(*keys, F.col("g.ngram").alias("ngram")).agg(F.count(F.lit(1)).alias("n_upto"), F.count_if("g.before").alias("n_before"))
+
+
+def boundary_vocabularies(counts: DataFrame, train_ids: DataFrame, min_df: int = MIN_DF, by: list[str] = []) -> DataFrame:
+    """(ngram, A, B, C): which boundaries have the n-gram in their vocabulary, from one aggregation of ``flagged_ngrams``."""
+    trained = train_ids.select("hadm_id", *by).distinct().withColumn("__train", F.lit(True))
+    rows = counts.join(trained, ["hadm_id", *by], "left")
+    before = F.col("n_before") > 0
+    return rows.groupBy(*by, "ngram").agg(
+        (F.count(F.lit(1)) >= min_df).alias("A"), (F.count_if(before) >= min_df).alias("B"), (F.count_if(before & F.col("__train").isNotNull()) >= min_df).alias("C")
+    )
+
+
 def leak_audit(log: DataFrame, points: DataFrame, train_ids: DataFrame, min_df: int = MIN_DF, by: list[str] = []) -> DataFrame:
     """Vocabulary sizes under three boundaries, and how many n-grams each leaky one has on top.
 

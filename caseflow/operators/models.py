@@ -56,8 +56,8 @@ def fit(name: str, view: View, seed: int = 42, **options):
     return type(model).load(folder)
 
 
-def scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("hadm_id", "label", vector_to_array("probability")[1].alias("score"))
+def scored(model, rows: DataFrame, *keep: str) -> DataFrame:
+    return model.transform(rows).select("hadm_id", "label", *keep, vector_to_array("probability")[1].alias("score"))
 
 
 def fit_predict(name: str, view: View, seed: int = 42, **options) -> DataFrame:

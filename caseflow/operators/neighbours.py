@@ -1,24 +1,29 @@
-"""Exact k nearest neighbours without comparing everything with everything.
+"""k nearest neighbours by Euclidean distance: all pairs in blocks, or through an index.
 
-Training vectors are assigned to the nearest of a few pivots.  By the triangle inequality a query can
-skip every cell that lies further away than its k-th neighbour can be; the bound comes from the k
-vectors closest to each pivot (the pivot-partitioned join of Lu, Shen, Chen and Ooi, VLDB 2012).
-Cells are cut into blocks of bounded size on both sides, so a cell that holds most vectors, or draws
-most queries, is spread over many tasks.  Only k candidates per query and block leave a task.
+The exact form compares every query with every training vector, block by block, and says so.  The index
+assigns each training vector to the nearest of about sqrt(n) centres; a query looks into the cells of the
+nearest few centres only.  How few is measured: for a bounded sample of training vectors the true
+neighbours are found exactly, and the number of cells is the least that holds the wanted share of them.
+
+Both forms cut either side into blocks of bounded size, so a cell that holds most vectors, or draws most
+queries, is spread over many tasks.  Only k candidates per query and block leave a task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import durable
+
 NEIGHBOURS = 5
-MAX_PIVOTS = 256
 BLOCK_ROWS = 8192
 _CHUNK = 512
-_SLACK = 1e-9
+FOUND = "query_id BIGINT, neighbour_id BIGINT, distance DOUBLE"
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -30,95 +35,138 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
-def _block_of(key: str, rows: Column) -> Column:
-    """Which of ceil(rows / BLOCK_ROWS) blocks a row belongs to."""
-    return F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS))).cast("int")
+def _block_of(key: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, n_pivots: int | None = None) -> DataFrame:
-    """(query_id, neighbour_id, distance, rank) from ``train`` (id, vec) and ``queries`` (id, vec).
+def _blocks(rows: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS)).cast("int")
 
-    Distances are Euclidean; at equal distance the smaller id is nearer.
-    """
-    train, queries = train.select("id", "vec"), queries.select("id", "vec")
-    if n_pivots is None:
-        n_pivots = int(max(1, min(MAX_PIVOTS, train.count() ** 0.5 / 4)))
-    few = train.orderBy(F.xxhash64("id"), "id").limit(min(n_pivots, MAX_PIVOTS)).collect()
-    if not few:
-        schema = "query_id BIGINT, neighbour_id BIGINT, distance DOUBLE, rank INT"
-        return train.sparkSession.createDataFrame([], schema)
-    pivots = np.array([r["vec"] for r in few], dtype=np.float64)
 
-    def assign(batches):
-        for pdf in batches:
-            d = _distances(_stack(pdf["vec"]), pivots) if len(pdf) else np.zeros((0, len(pivots)))
-            yield pdf.assign(cell=d.argmin(1).astype("int32"), gap=d.min(1) if len(pdf) else [])
-
-    cells = train.mapInPandas(assign, "id BIGINT, vec ARRAY<DOUBLE>, cell INT, gap DOUBLE")
-    closest = Window.partitionBy("cell").orderBy("gap", "id")
-    near = cells.select("id", "cell", "gap").withColumn("r", F.row_number().over(closest)).filter(F.col("r") <= k)
-    # One row per cell reaches the driver, each with at most k numbers.
-    inner = {r["cell"]: sorted(r["gaps"]) for r in near.groupBy("cell").agg(F.collect_list("gap").alias("gaps")).collect()}
-    outer = {
-        r["cell"]: (r["radius"], r["n"])
-        for r in cells.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    }
-    held = np.array(sorted(outer))
-    radius = np.array([outer[c][0] for c in held])
-    bound_cell = np.concatenate([np.full(len(inner[c]), i) for i, c in enumerate(held)]).astype(int)
-    bound_gap = np.concatenate([inner[c] for c in held])
-
-    def route(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_stack(pdf["vec"]), pivots[held])
-            reach = np.sort(d[:, bound_cell] + bound_gap[None, :], axis=1)
-            reach = reach[:, k - 1] if reach.shape[1] >= k else np.full(len(pdf), np.inf)
-            row, col = np.nonzero(d - radius[None, :] <= (reach * (1 + _SLACK) + _SLACK)[:, None])
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": held[col].astype("int32")})
-
-    asked = queries.mapInPandas(route, "id BIGINT, vec ARRAY<DOUBLE>, cell INT")
-    sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def size_of(counts: dict[int, int]) -> Column:
-        pairs = [F.lit(x) for c in held for x in (int(c), int(counts.get(int(c), 0)))]
-        return F.element_at(F.create_map(*pairs), F.col("cell"))
-
-    n_train, n_asked = size_of({c: n for c, (_, n) in outer.items()}), size_of(sizes)
-    blocks = lambda rows: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(rows / BLOCK_ROWS) - 1).cast("int"))
-    left = asked.withColumns({"qb": _block_of("id", n_asked), "tb": F.explode(blocks(n_train))})
-    right = cells.drop("gap").withColumn("tb", _block_of("id", n_train)).withColumn("qb", F.explode(blocks(n_asked)))
-
-    def search(queries_pdf: pd.DataFrame, train_pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries_pdf) and len(train_pdf):
-            t, t_id = _stack(train_pdf["vec"]), train_pdf["id"].to_numpy()
-            q, q_id = _stack(queries_pdf["vec"]), queries_pdf["id"].to_numpy()
+def _search(k: int):
+    """The k nearest of one block of training vectors for each query of one block."""
+
+    def search(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        ids, near, far = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        if len(queries) and len(train):
+            t, t_id = _stack(train["vec"]), train["id"].to_numpy()
+            q, q_id = _stack(queries["vec"]), queries["id"].to_numpy()
             for i in range(0, len(q), _CHUNK):
                 rough = _distances(q[i : i + _CHUNK], t)
                 kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
                 for j, limit in enumerate(kth):
+                    # The product form is rounded; what it puts near the limit is measured again.
                     maybe = np.nonzero(rough[j] <= limit + 1e-6 * (1 + limit))[0]
                     exact = np.sqrt(((t[maybe] - q[i + j]) ** 2).sum(1))
                     keep = np.lexsort((t_id[maybe], exact))[:k]
-                    out.append((q_id[i + j], t_id[maybe][keep], exact[keep]))
-        return pd.DataFrame(
-            {
-                "query_id": np.concatenate([np.full(len(n), q) for q, n, _ in out]) if out else np.zeros(0, "int64"),
-                "neighbour_id": np.concatenate([n for _, n, _ in out]) if out else np.zeros(0, "int64"),
-                "distance": np.concatenate([d for _, _, d in out]) if out else np.zeros(0),
-            }
-        )
-
-    keys = ["cell", "tb", "qb"]
-    found = (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id BIGINT, neighbour_id BIGINT, distance DOUBLE")
-    )
+                    ids.append(np.full(len(keep), q_id[i + j]))
+                    near.append(t_id[maybe][keep])
+                    far.append(exact[keep])
+        return pd.DataFrame({"query_id": np.concatenate(ids), "neighbour_id": np.concatenate(near), "distance": np.concatenate(far)})
+
+    return search
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k), FOUND)
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Index:
+    """``cells``: (id, vec, cell) of every training vector, written down; ``probes``: how many cells a query looks into."""
+
+    cells: DataFrame
+    centres: np.ndarray
+    probes: int
+
+    def routed(self, queries: DataFrame) -> DataFrame:
+        """(id, vec, cell): each query once for every cell it looks into."""
+        centres, probes = self.centres, self.probes
+
+        def route(batches):
+            for pdf in batches:
+                if len(pdf):
+                    order = np.argsort(_distances(_stack(pdf["vec"]), centres), axis=1, kind="stable")[:, :probes]
+                    row = np.repeat(np.arange(len(pdf)), order.shape[1])
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": order.ravel().astype("int32")})
+
+        return queries.select("id", "vec").mapInPandas(route, "id BIGINT, vec ARRAY<DOUBLE>, cell INT")
+
+    def nearest(self, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+        """(query_id, neighbour_id, distance, rank) among the vectors of the cells looked into."""
+        asked = durable(self.routed(queries))
+        count = lambda df, n: df.groupBy("cell").agg(F.count(F.lit(1)).alias(n))
+        sizes = durable(count(self.cells, "n_train").join(count(asked, "n_asked"), "cell"))  # one row a cell
+        spread = lambda n: F.explode(F.sequence(F.lit(0), _blocks(F.col(n)) - 1))
+        left = asked.join(sizes, "cell").withColumns({"qb": _block_of("id", _blocks(F.col("n_asked"))), "tb": spread("n_train")})
+        right = self.cells.join(sizes, "cell").withColumn("tb", _block_of("id", _blocks(F.col("n_train")))).withColumn("qb", spread("n_asked"))
+        return _joined(left.select("id", "vec", "cell", "qb", "tb"), right.select("id", "vec", "cell", "qb", "tb"), ["cell", "qb", "tb"], k)
+
+    def pairs(self, queries: DataFrame) -> int:
+        """How many pairs of vectors the index compares for these queries."""
+        sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return self.routed(queries).select("cell").join(sizes, "cell").agg(F.sum("n")).first()[0] or 0
+
+
+def _cells(train: DataFrame, centres: np.ndarray) -> DataFrame:
+    def assign(batches):
+        for pdf in batches:
+            cell = _distances(_stack(pdf["vec"]), centres).argmin(1).astype("int32") if len(pdf) else np.zeros(0, "int32")
+            yield pdf.assign(cell=cell)
+
+    return durable(train.select("id", "vec").mapInPandas(assign, "id BIGINT, vec ARRAY<DOUBLE>, cell INT"))
+
+
+def fit_index(train: DataFrame, k: int = NEIGHBOURS, recall: float = 0.95, centres: int | None = None, sample: int = 512, seed: int = 42) -> Index:
+    """An index over every training vector (id, vec).
+
+    Fitted on two bounded samples drawn by hash: ``centres`` vectors (about sqrt(n); 4096 at most unless
+    given) and ``sample`` vectors whose true k neighbours are found exactly; ``probes`` is the least number of cells that
+    holds ``recall`` of these.
+    """
+    train = durable(train.select("id", "vec"))
+    n = train.count()
+    drawn = lambda size, salt: train.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(size)
+    some = drawn(centres or int(max(1, min(4096, n**0.5))), seed)
+    points = _stack(some.toPandas()["vec"])
+    cells = _cells(train, points)
+    if n <= 1:
+        return Index(cells, points, 1)
+    asked = durable(drawn(sample, seed + 1))
+    # One more neighbour than wanted, since a vector is its own nearest.
+    found = nearest(train, asked, k + 1).filter("query_id <> neighbour_id").join(cells.select(F.col("id").alias("neighbour_id"), "cell"), "neighbour_id")
+    hits = found.select("query_id", "cell").toPandas()  # at most sample * (k + 1) rows
+    vectors = asked.toPandas()
+    place = np.argsort(np.argsort(_distances(_stack(vectors["vec"]), points), axis=1, kind="stable"), axis=1)
+    row = {i: r for r, i in enumerate(vectors["id"])}
+    needed = np.sort(place[[row[i] for i in hits["query_id"]], hits["cell"]])
+    return Index(cells, points, int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1)
+
+
+def nearest(train: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, index: Index | None = None) -> DataFrame:
+    """(query_id, neighbour_id, distance, rank) from ``train`` (id, vec) and ``queries`` (id, vec).
+
+    At equal distance the smaller id is nearer.  Without an index the answer is exact and every pair is
+    compared; with one, only what lies in the cells looked into.
+    """
+    if index is not None:
+        return index.nearest(queries, k)
+    train, queries = train.select("id", "vec"), queries.select("id", "vec")
+    n_train, n_asked = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (train, queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumns({"qb": _block_of("id", F.lit(n_asked)), "tb": every(n_train)})
+    right = train.withColumns({"tb": _block_of("id", F.lit(n_train)), "qb": every(n_asked)})
+    return _joined(left, right, ["qb", "tb"], k)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the true neighbours among those found."""
+    keys = ["query_id", "neighbour_id"]
+    return found.select(*keys).join(exact.select(*keys), keys, "left_semi").count() / max(1, exact.count())
+
+
 def vote(found: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, score): share of positive labels among the neighbours; labels are (id, label)."""
     return (

@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,30 @@ class RunStore:
         return self.runs().drop("cell").join(at_half, keys, "left").join(ranked, keys, "left")
 
 
+class WrongSplit(ValueError):
+    """A stored model was fitted on another split than the one its reader works on."""
+
+
+@dataclass(frozen=True)
+class ModelStore:
+    """Fitted pipelines below one folder, each with the id of the split it was fitted on."""
+
+    spark: SparkSession
+    folder: str
+
+    def save(self, name: str, model, split_id: str) -> None:
+        """The model first, its split after it: a model without a split does not count."""
+        PipelineModel(stages=[model]).write().save(f"{self.folder}/{name}/model")
+        facts = self.spark.createDataFrame([(split_id,)], "split_id STRING")
+        facts.coalesce(1).write.mode("errorifexists").json(f"{self.folder}/{name}/facts")
+
+    def load(self, name: str, split_id: str) -> PipelineModel:
+        said = self.spark.read.schema("split_id STRING").json(f"{self.folder}/{name}/facts").first()
+        if said is None or said["split_id"] != split_id:
+            raise WrongSplit(f"{name} was fitted on split {said and said['split_id']}, asked for {split_id}")
+        return PipelineModel.load(f"{self.folder}/{name}/model")
+
+
 def run_cells(store: RunStore, cells: list[Cell], split_ids: dict[str, str], view: Callable[[str, str], View], fit: Callable[[str, View, int], DataFrame], at_once: int = AT_ONCE) -> int:
     """Fit the cells that are not in the store yet, several at a time in pools of their own; how many were fitted.
 

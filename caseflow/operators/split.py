@@ -110,6 +110,44 @@ def split_digest(split: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
+NODE_BITS = 10
+
+
+def digest_tree(ids: DataFrame, by: list[str] = [], key: str = "hadm_id", bits: int = NODE_BITS, levels: int | None = None) -> DataFrame:
+    """(by, level, node, n, digest): a hash tree over a set of ids, so that a difference can be traced to a range of ids.
+
+    A leaf is the range of ``2**bits`` ids that share their upper bits; its digest is sha256 over ``id:count`` in
+    ascending order, so a repeated id changes it.  A node above is sha256 over ``node=digest`` of its children.
+    The last level, node 0, is the root.  No list is longer than ``2**bits`` entries, however many ids there are;
+    an id more or less changes one leaf only.
+    """
+    counts = ids.groupBy(*by, F.col(key).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    if levels is None:
+        widest = counts.agg(F.max(F.greatest(F.abs("id"), F.lit(1)))).first()[0] or 1
+        levels = max(1, -(-int(widest).bit_length() // bits))
+    entry = F.concat_ws(":", F.col("id").cast("string"), F.col("c").cast("string"))
+    rows = counts.select(*by, F.shiftright("id", bits).alias("node"), F.col("id").alias("child"), entry.alias("entry"), F.col("c").alias("n"))
+    tree = None
+    for level in range(levels + 1):
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "entry"))), lambda x: x["entry"]), ",")
+        nodes = rows.groupBy(*by, "node").agg(F.sum("n").alias("n"), F.sha2(listed, 256).alias("digest"))
+        found = nodes.select(*by, F.lit(level).alias("level"), "node", "n", "digest")
+        tree = found if tree is None else tree.unionByName(found)
+        # Above the top level everything left is one root.
+        above = F.shiftright("node", bits) if level < levels - 1 else F.lit(0).cast("bigint")
+        rows = nodes.select(*by, above.alias("node"), F.col("node").alias("child"), F.concat_ws("=", F.col("node").cast("string"), "digest").alias("entry"), "n")
+    return tree
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, by: list[str] = [], bits: int = NODE_BITS) -> DataFrame:
+    """(by, first_id, last_id, n_left, n_right) of the leaves in which two trees differ; only digests are compared."""
+    keys = [*by, "node"]
+    leaves = lambda df, side: df.filter("level = 0").select(*keys, F.col("n").alias(f"n_{side}"), F.col("digest").alias(f"d_{side}"))
+    both = leaves(left, "left").join(leaves(right, "right"), keys, "full").filter(~F.col("d_left").eqNullSafe(F.col("d_right")))
+    first = F.shiftleft("node", bits)
+    return both.select(*by, first.alias("first_id"), (first + F.lit(2**bits - 1)).alias("last_id"), *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in ("left", "right")])
+
+
 def manifest(split: DataFrame, cohort: str, variant: str, stratified_on: str, seed: int = SEED) -> DataFrame:
     """The one-row description stored next to the (id, part) table."""
     return split_digest(split).select(
@@ -124,12 +162,16 @@ def manifest(split: DataFrame, cohort: str, variant: str, stratified_on: str, se
 
 
 def write_split(split: DataFrame, described: DataFrame, folder: str) -> None:
+    """The parts, the hash tree of their ids, and the manifest last."""
     split.select("hadm_id", "subject_id", "part").write.mode("errorifexists").parquet(f"{folder}/parts")
+    digest_tree(split, ["part"]).write.mode("errorifexists").parquet(f"{folder}/tree")
     described.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
 
 
 def read_split(spark, folder: str, stratified_on: str = "lat") -> DataFrame:
-    """Read a stored split; refuse it unless grouping, stratification and digest are as expected."""
+    """Read a stored split; refuse it unless grouping, stratification, digest and hash tree are as expected.
+
+    A refusal names (at most 20 of) the id ranges that differ from what was written."""
     parts = spark.read.parquet(f"{folder}/parts")
     said = spark.read.json(f"{folder}/manifest").first()
     found = split_digest(parts).first()
@@ -143,11 +185,18 @@ def read_split(spark, folder: str, stratified_on: str = "lat") -> DataFrame:
         }.items()
         if bad
     ]
+    for r in split_differences(spark, folder).limit(20).collect():
+        wrong.append(f"ids {r['first_id']} to {r['last_id']} of part {r['part']}: {r['n_left']} written, {r['n_right']} found")
     if wrong:
         raise ValueError(f"split in {folder} fails verification: {', '.join(wrong)}")
     return parts
 
 
+def split_differences(spark, folder: str) -> DataFrame:
+    """The id ranges in which the rows of a stored split differ from the tree stored with them."""
+    return differing_ranges(spark.read.parquet(f"{folder}/tree"), digest_tree(spark.read.parquet(f"{folder}/parts"), ["part"]), ["part"])
+
+
 def set_overlap(left: DataFrame, right: DataFrame, by: list[str] = [], key: str = "hadm_id") -> DataFrame:
     """Sizes, shared and one-sided counts and Jaccard of two id sets."""
     a = left.select(*by, key).distinct().withColumn("a", F.lit(1))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from caseflow.operators import design as de
 from caseflow.operators import encode as en
 from caseflow.operators import features as ft
+from caseflow.operators import analysis as an
+from caseflow.operators import metrics as me
 from caseflow.operators import models as mo
+from caseflow.operators import neighbours as nb
 from caseflow.operators.runs import CELL
 from caseflow.plans import oracle
 from caseflow.plans import pipeline as pl
 from caseflow.plans.queries import BY, QUERIES, keeping_query, query
 from caseflow.plans.study import COHORTS, SEEDS, study
+from caseflow.session import durable
 from caseflow.sources import mapping as m
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -126,6 +130,132 @@ def ridge_optimum(t):
 ORACLE["ridge_optimum"] = oracle.sql("SELECT cohort, n_features, true AS at_optimum FROM condition_sizes WHERE Condition = 'With Process'")
 
 
+# --- neighbours through an index ------------------------------------------------------------------------------------
+
+
+@query
+def knn_index(t):
+    """What the index found on the test vectors, measured against the exact neighbours of all of them."""
+    rows = durable(m.vectors(*t.at))
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    index = nb.fit_index(train)
+    found, exact = durable(nb.nearest(train, test, index=index)), nb.nearest(train, test)
+    counts = rows.agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"))
+    return counts.select(
+        "n_train", "n_test", F.lit(found.count()).alias("n_found"), F.lit(nb.recall_of(found, exact) >= 0.9).alias("recall_reached"),
+        (F.lit(index.pairs(test)) < F.col("n_train") * F.col("n_test")).alias("fewer_pairs"),
+    )
+
+
+ORACLE["knn_index"] = oracle.sql("""SELECT *, 5 * n_test AS n_found, true AS recall_reached, true AS fewer_pairs FROM (
+    SELECT count(*) FILTER (d <> 0) AS n_train, count(*) FILTER (d = 0) AS n_test FROM (SELECT CAST('0x' || substring(md5(vec_id::VARCHAR), 1, 4) AS INT) % 5 AS d FROM embeddings))""")
+
+
+@query
+def knn_index_report(t):
+    """Vectors, cells, probes, share of pairs compared and recall of the index on the test vectors."""
+    rows = durable(m.vectors(*t.at))
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    index = nb.fit_index(train)
+    recall = nb.recall_of(nb.nearest(train, test, index=index), nb.nearest(train, test))
+    n, asked = train.count(), test.count()
+    row = (n, asked, len(index.centres), index.probes, round(index.pairs(test) / max(1, n * asked), 4), round(recall, 4))
+    return t.spark.createDataFrame([row], "n_train BIGINT, n_test BIGINT, cells INT, probes INT, share DOUBLE, recall DOUBLE")
+
+
+# --- error analysis of a stored forest --------------------------------------------------------------------------------
+
+_NUMBERS = [f for f in ft.FEATURES if f not in ft.CATEGORICAL]
+_PROFILED = ["age_band", "gender", "insurance", "admission_type", "bmi_category", "ethnicity"]
+
+
+@keeping_query
+def forest_error_meta(t):
+    s = study(t)
+    s.tagged
+    return me.tuned_report(s.forest_scores, BY)
+
+
+@keeping_query
+def forest_tags(t):
+    return study(t).tagged.select("cohort", "hadm_id", "label", "score", "pred", "tag")
+
+
+@keeping_query
+def forest_group_means(t):
+    return an.group_means(study(t).tagged, _NUMBERS, BY)
+
+
+@keeping_query
+def forest_fn_vs_tp(t):
+    return an.largest_first(an.fn_vs_tp(study(t).tagged, _NUMBERS, BY))
+
+
+@keeping_query
+def forest_miss_rate(t):
+    return an.miss_rates(study(t).tagged, _PROFILED, BY)
+
+
+@keeping_query
+def forest_reconciled(t):
+    """The error analysis put together again: its classes must add up to the test rows of the tables.
+
+    Confusion counts give test rows, positives and negatives; class means times class sizes give the
+    total of each of the 31 numeric features; miss rates give the positives of each category value."""
+    tagged = study(t).tagged
+    sizes = durable(me.tag_counts(tagged, BY))
+    counts = {"n_test": F.col("n"), "n_pos": F.col("TP") + F.col("FN"), "n_neg": F.col("FP") + F.col("TN")}
+    whole = sizes.select("cohort", *[c.cast("double").alias(n) for n, c in counts.items()]).unpivot(BY, list(counts), "fact", "value")
+    total = sum((F.col(f"n_{g}") * F.coalesce(g, F.lit(0.0)) for g in me.TAGS), F.lit(0.0))
+    means = an.group_means(tagged, _NUMBERS, BY).join(sizes.select("cohort", *[F.col(g).alias(f"n_{g}") for g in me.TAGS]), "cohort")
+    features = means.select("cohort", F.concat(F.lit("total "), "feature").alias("fact"), F.round(total, 1).alias("value"))
+    rates = an.miss_rates(tagged, _PROFILED, BY).filter(F.col("miss_rate").between(0, 1))
+    values = rates.select("cohort", F.concat_ws(" ", F.lit("positives"), "feature", "value").alias("fact"), F.col("n_positives").cast("double").alias("value"))
+    return whole.unionByName(features).unionByName(values)
+
+
+oracle.add_cte("test_rows", "SELECT m.* FROM matrix m JOIN split s ON m.cohort = s.cohort AND m.hadm_id = s.hadm_id WHERE part = 'test'")
+ORACLE["forest_reconciled"] = oracle.sql(" UNION ALL ".join(
+    [f"SELECT cohort, '{fact}' AS fact, {n}::DOUBLE AS value FROM split_sizes" for fact, n in {"n_test": "n_test", "n_pos": "n_pos", "n_neg": "n_test - n_pos"}.items()]
+    + [f"SELECT cohort, 'total {f}', round(coalesce(sum({f}), 0)::DOUBLE, 1) FROM test_rows GROUP BY cohort" for f in _NUMBERS]
+    + [f"SELECT cohort, 'positives {c} ' || coalesce({c}, 'UNKNOWN'), count(*)::DOUBLE FROM test_rows WHERE left_shift = 1 GROUP BY ALL" for c in _PROFILED]
+))
+
+
+# --- leak audit with scores ---------------------------------------------------------------------------------------------
+
+
+@keeping_query
+def leak_scores(t):
+    """LR and RF under the three boundaries: what a leaking vocabulary or prefix is worth."""
+    s = study(t)
+    s.audit()
+    rows = s.store.results().filter("Condition LIKE 'BoW %'")
+    return rows.select(F.substring("Condition", 5, 1).alias("Setting"), "Model", "Cohort", "n_features", "AUROC", "AUPRC", "F1", "Precision", "Recall", "Train_Time_s")
+
+
+@keeping_query
+def leak_runs(t):
+    """Vocabulary, inputs and scored rows of every run of the audit."""
+    s = study(t)
+    s.audit()
+    words = s.flagged[1].groupBy("cohort").agg(*[F.count_if(F.col(b)).alias(b) for b in en.BOUNDARIES])
+    vocab = words.unpivot(["cohort"], list(en.BOUNDARIES), "Setting", "Vocab").withColumnRenamed("cohort", "Cohort")
+    cells = _sizes(s.store.runs(), s.store.scores()).filter("Condition LIKE 'BoW %'").withColumn("Setting", F.substring("Condition", 5, 1))
+    return cells.join(vocab, ["Cohort", "Setting"]).select("Setting", "Model", "Cohort", "Vocab", "n_features", "n_test", "n_pos", "in_range")
+
+
+oracle.add_cte("upto", "SELECT p.cohort, l.* FROM log l JOIN points p ON l.case_id = p.hadm_id WHERE l.event_time <= p.prediction_point")
+oracle.add_cte("grams_upto", """SELECT cohort, hadm_id, unnest([w0, w0 || ' ' || w1, w0 || ' ' || w1 || ' ' || w2]) AS ngram FROM (SELECT cohort, case_id AS hadm_id,
+    w AS w0, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM (SELECT *, lower(replace(activity,' ','_')) AS w FROM upto)
+    WINDOW o AS (PARTITION BY cohort, case_id ORDER BY event_time, tie))""")
+oracle.add_cte("vocab_sizes", """SELECT 'A' AS Setting, cohort, count(*) AS Vocab FROM (SELECT cohort, ngram FROM grams_upto WHERE ngram IS NOT NULL GROUP BY ALL
+    HAVING count(DISTINCT hadm_id) >= 2) GROUP BY cohort UNION ALL SELECT 'B', cohort, count(*) FROM (SELECT cohort, ngram FROM counts GROUP BY ALL
+    HAVING count(*) >= 2) GROUP BY cohort UNION ALL SELECT 'C', cohort, count(*) FROM vocab GROUP BY cohort""")
+ORACLE["leak_runs"] = oracle.sql("""SELECT Setting, Model, v.cohort AS Cohort, Vocab, (Vocab + n_features)::INTEGER AS n_features, n_test, n_pos, true AS in_range
+    FROM vocab_sizes v JOIN condition_sizes c ON v.cohort = c.cohort AND c.Condition = 'With Process' JOIN split_sizes s ON v.cohort = s.cohort, (VALUES ('LR'), ('RF')) x(Model)""")
+
+
 # --- ablations ------------------------------------------------------------------------------------------------------
 
 

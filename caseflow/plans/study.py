@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from caseflow.operators import encode as en
 from caseflow.operators import features as ft
 from caseflow.operators import gate
+from caseflow.operators import metrics as me
 from caseflow.operators import models as mo
 from caseflow.operators import split as sp
 from caseflow.operators.design import Design, View, design
-from caseflow.operators.runs import Cell, RunStore, run_cells
+from caseflow.operators.runs import Cell, ModelStore, RunStore, run_cells
 from caseflow.plans import pipeline as pl
 from caseflow.session import durable, shared_folder
 from caseflow.sources import mapping as m
@@ -32,6 +33,7 @@ class Study:
         self.t = pl.Tables(spark, tables, keep=True)
         self.folder = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
         self.store = RunStore(spark, f"{self.folder}/runs")
+        self.models = ModelStore(spark, f"{self.folder}/models")
         self._designs: dict[str, Design] = {}
 
     @cached_property
@@ -71,6 +73,47 @@ class Study:
         columns = mo.CONDITIONS[condition] if condition in mo.CONDITIONS else [f for g in condition.split("+") for f in ft.GROUPS[g]]
         return self.design(cohort).view(columns)
 
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Test rows of both cohorts by the stored, tuned forest: cohort, hadm_id, label, score, pred, tag and all features.
+
+        The forest is fitted on the training rows, its threshold tuned on the validation rows."""
+        parts = []
+        for cohort in COHORTS:
+            view, split_id, name = self.view(cohort, "With Process"), self.split_ids[cohort], f"forest-{cohort}"
+            self.models.save(name, mo.fit("RF-tuned", view), split_id)
+            rows = mo.scored(self.models.load(name, split_id), view.rows.filter("part <> 'train'"), "part")
+            parts.append(rows.withColumn("cohort", F.lit(cohort)))
+        self.forest_scores = durable(reduce(lambda a, b: a.unionByName(b), parts))
+        tuned = me.best_threshold(self.forest_scores.filter("part = 'val'"), ["cohort"]).select("cohort", "threshold")
+        test = self.forest_scores.filter("part = 'test'").drop("part").join(tuned, "cohort")
+        tags = me.confusion_tags(test, F.col("threshold"))
+        return durable(tags.join(self.matrix.select("cohort", "hadm_id", *ft.FEATURES), ["cohort", "hadm_id"]))
+
+    def leak_view(self, cohort: str, setting: str) -> View:
+        """All features with n-grams under one boundary of the audit."""
+        key = f"{cohort}/{setting}"
+        if key not in self._designs:
+            counts, words = self.flagged
+            own = self.of(counts, cohort).select("hadm_id", "ngram", F.col(en.BOUNDARIES[setting]).alias("n")).filter("n > 0")
+            fitted = self.of(words, cohort).filter(F.col(setting)).select("ngram")
+            self._designs[key] = design(self.of(self.matrix, cohort), self.of(self.split, cohort), pl.LABEL, list(mo.EVERY), list(ft.CATEGORICAL), (own, fitted))
+        return self._designs[key].view(mo.CONDITIONS["With BoW"])
+
+    @cached_property
+    def flagged(self) -> tuple[DataFrame, DataFrame]:
+        """N-gram counts on both sides of the point, and the vocabularies of the three boundaries, from one pass over the log."""
+        counts = durable(en.flagged_ngrams(pl.log(self.t), pl.points(self.t), by=["cohort"]))
+        return counts, durable(en.boundary_vocabularies(counts, self.split.filter("part = 'train'"), by=["cohort"]))
+
+    def audit(self) -> int:
+        """Fit the models of the leak audit; condition ``BoW A`` is boundary A."""
+        cells: list[Cell] = [(c, f"BoW {b}", n, 42) for c in COHORTS for b in en.BOUNDARIES for n in ("LR", "RF")]
+        for c in COHORTS:
+            for b in en.BOUNDARIES:
+                self.leak_view(c, b)
+        return run_cells(self.store, cells, self.split_ids, lambda c, k: self.leak_view(c, k.removeprefix("BoW ")), mo.fit_predict)
+
     def run(self, conditions, models, seeds=SEEDS, cohorts=COHORTS) -> int:
         """Fit what the store lacks; how many cells that were."""
         cells: list[Cell] = [(c, k, n, s) for c in cohorts for k in conditions for n in models for s in seeds]

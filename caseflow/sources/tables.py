@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,39 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
+@dataclass(frozen=True)
+class Checked:
+    """``good``: typed rows with their times parsed; ``rejects``: (source_file, reason, line) of every other row."""
+
+    good: DataFrame
+    rejects: DataFrame
+
+
+_BROKEN = "__broken"
+
+
+def read_csv_checked(spark: SparkSession, path: str | list[str], schema: T.StructType, times: tuple[str, ...], formats: tuple[str, ...] = (TIMESTAMP_FORMAT,)) -> Checked:
+    """CSV with text times, split into rows that can be used and rows that cannot, with the reason.
+
+    Rows the reader cannot bring into ``schema`` (a wrong number of fields, a word for a number) are ``malformed``; then a time that is not
+    there is ``missing <column>``, and one that fits none of ``formats`` ``bad <column>``.  The first reason counts.  The
+    columns in ``times`` are TIMESTAMP_NTZ in the result.  All files have the columns of ``schema`` in its order, under a header.
+    """
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in times else f.dataType) for f in schema] + [T.StructField(_BROKEN, T.StringType())])
+    rows = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    rows = rows.withColumn(FILE, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+    # Formats are tried in turn; the strict parser returns NULL instead of guessing.
+    parsed = {c: F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats]).cast("timestamp_ntz") for c in times}
+    line = F.coalesce(F.col(_BROKEN), F.concat_ws(",", *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in schema]))
+    # The reader only notices what is wrong in the columns it is asked for: the length asks for all of them.
+    reason = F.when(F.col(_BROKEN).isNotNull() | (F.length(line) < 0), "malformed")
+    for c in times:
+        reason = reason.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing {c}").when(parsed[c].isNull(), f"bad {c}")
+    told = rows.withColumn("reason", reason)
+    good = told.filter("reason IS NULL").withColumns(parsed).select(*schema.names)
+    return Checked(good, told.filter("reason IS NOT NULL").select(F.col(FILE).alias("source_file"), "reason", line.alias("line")))
+
+
 def read_gzip_folder(spark: SparkSession, folder: str, schema: T.StructType, partitions: int | None = None) -> DataFrame:
     """All ``*.csv.gz`` files of a folder.  gzip cannot be split, so the rows are spread afterwards."""
     rows = read_csv(spark, f"{folder}/*.csv.gz", schema)

@@ -111,3 +111,16 @@ def test_unknown_activities_stop_the_encoder(spark):
     with pytest.raises(Exception, match="activity without a token: Somewhere else"):
         en.encode_sequences(log, points).collect()
     assert en.encode_sequences(log, points_of(spark, {1: 2})).count() == 1  # the prefix ends before it
+
+
+@pytest.mark.parametrize("point", [0, 3, 50])
+def test_one_pass_has_both_sides_of_the_point(spark, point):
+    log, points = log_of(spark, CASES), points_of(spark, {c: point for c in CASES})
+    both = en.flagged_ngrams(log, points)
+    assert rows(both.filter("n_before > 0"), "hadm_id", "ngram", "n_before") == rows(en.ngrams(log, points), "hadm_id", "ngram", "n")
+    assert rows(both, "hadm_id", "ngram", "n_upto") == rows(en.ngrams(log, points, inclusive=True), "hadm_id", "ngram", "n")
+    train = spark.createDataFrame([(1,), (2,)], "hadm_id BIGINT")
+    words = en.boundary_vocabularies(both, train)
+    strict = en.ngrams(log, points)
+    for setting, want in {"A": en.fit_vocabulary(en.ngrams(log, points, inclusive=True), None), "B": en.fit_vocabulary(strict, None), "C": en.fit_vocabulary(strict, train)}.items():
+        assert rows(words.filter(setting), "ngram") == rows(want, "ngram")

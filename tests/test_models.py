@@ -176,6 +176,17 @@ def test_ablation_blames_the_process_group(spark, view, data, tmp_path):
     assert len(of("single_group")) == 6 and of("temporal_validity")["minus 20 discharge-assigned features"]["n_features"] == 27
 
 
+def test_stored_forest_belongs_to_its_split(spark, view, tmp_path):
+    store = rn.ModelStore(spark, str(tmp_path / "models"))
+    model = mo.fit("RF-tuned", view, trees=5)
+    store.save("forest", model, "a" * 16)
+    again = store.load("forest", "a" * 16)
+    scores = lambda x: sorted(map(tuple, mo.scored(x, view.test).collect()))
+    assert scores(again) == scores(model)
+    with pytest.raises(rn.WrongSplit, match="b" * 16):
+        store.load("forest", "b" * 16)
+
+
 def test_gate(spark, cells, tmp_path):
     write = lambda df, name: gate.write_checked(df, str(tmp_path / name), "left_shift")
     assert write(cells, "good") == [] and gate.read_checked(spark, str(tmp_path / "good")).count() == 240

@@ -12,25 +12,59 @@ def brute(train, queries, k):
     return out
 
 
-@pytest.mark.parametrize("pivots, block, k", [(1, 8192, 5), (8, 8192, 5), (8, 7, 3), (30, 5, 5)])
-def test_exact(spark, monkeypatch, pivots, block, k):
-    monkeypatch.setattr(nb, "BLOCK_ROWS", block)
+def frame(spark, d):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in d.items()], "id BIGINT, vec ARRAY<DOUBLE>")
+
+
+def clustered():
     rng = np.random.default_rng(0)
     # A third of the training vectors are copies of one point; another part forms two clusters.
     train = {i: [1.0, 1.0, 1.0] for i in range(30)}
     train |= {i: list(rng.normal(c, 0.3, 3)) for c in (0, 5) for i in range(100 + 10 * c, 130 + 10 * c)}
-    queries = {1000 + i: list(rng.normal(2, 2, 3)) for i in range(25)} | {2000: [1.0, 1.0, 1.0]}
-    frame = lambda d: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in d.items()], "id BIGINT, vec ARRAY<DOUBLE>")
-    found = {}
-    for r in nb.nearest(frame(train), frame(queries), k, pivots).orderBy("query_id", "rank").collect():
-        found.setdefault(r["query_id"], []).append(r["neighbour_id"])
-    assert found == brute(train, queries, k)
+    return train, {1000 + i: list(rng.normal(2, 2, 3)) for i in range(25)} | {2000: [1.0, 1.0, 1.0]}
+
+
+def lists(found):
+    out = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["neighbour_id"])
+    return out
+
+
+@pytest.mark.parametrize("block, k", [(8192, 5), (7, 3), (5, 5)])
+def test_exact(spark, monkeypatch, block, k):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", block)
+    train, queries = clustered()
+    assert lists(nb.nearest(frame(spark, train), frame(spark, queries), k)) == brute(train, queries, k)
+
+
+@pytest.mark.parametrize("block", [8192, 6])
+def test_index_with_all_probes_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", block)
+    train, queries = clustered()
+    index = nb.fit_index(frame(spark, train), 5, recall=1.0, centres=6, sample=90)
+    assert index.cells.count() == len(train)
+    every = nb.Index(index.cells, index.centres, len(index.centres))
+    assert lists(nb.nearest(frame(spark, train), frame(spark, queries), 5, every)) == brute(train, queries, 5)
+    assert every.pairs(frame(spark, queries)) == len(train) * len(queries)
+
+
+def test_index_finds_most_in_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 4, (40, 8))
+    make = lambda n, at: {at + i: list(centres[rng.integers(40)] + rng.normal(0, 1, 8)) for i in range(n)}
+    train, queries = make(3000, 0), make(300, 10_000)
+    left, right = frame(spark, train), frame(spark, queries)
+    index = nb.fit_index(left, 5, sample=200)
+    recall = nb.recall_of(nb.nearest(left, right, 5, index), nb.nearest(left, right, 5))
+    assert recall >= 0.9 and index.pairs(right) < 0.35 * len(train) * len(queries)
 
 
 def test_fewer_vectors_than_neighbours(spark):
-    frame = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id BIGINT, vec ARRAY<DOUBLE>")
-    found = nb.nearest(frame, frame, 5)
+    few = frame(spark, {1: [0.0], 2: [1.0]})
+    found = nb.nearest(few, few, 5)
     assert found.count() == 4
     labels = spark.createDataFrame([(1, 1), (2, 0)], "id BIGINT, label INT")
     assert {r["score"] for r in nb.vote(found, labels).collect()} == {0.5}
-    assert nb.nearest(frame.limit(0), frame).count() == 0
+    assert nb.nearest(few.limit(0), few).count() == 0
+    assert nb.nearest(few, few, 5, nb.fit_index(few)).count() in (2, 4)

@@ -78,3 +78,16 @@ def test_collecting_refuses_mixed_partitions(spark):
     assert an.collect_results([one, one.drop("F1")]).first()["AUROC_count"] == 2
     with pytest.raises(ValueError):
         an.collect_results([one, one.withColumn("split_id", one.Model)])
+
+
+def test_rejected_rows(spark, tmp_path):
+    """Every line ends up in one of the two tables, with its first reason and its file."""
+    (tmp_path / "a.csv").write_text("id,at,n\n1,2024-01-01 10:00:00,5\nx,2024-01-01 10:00:00,5\n2,,5\n3,tomorrow,5\n4,2024-13-01 10:00:00,5\n")
+    (tmp_path / "b.csv").write_text("id,at,n\n5,01.02.2024 11:30,6\n6,2024-01-01 10:00:00\n7,2024-01-01 10:00:00,5,9\n8, ,many\n")
+    schema = tb.schema_of("id BIGINT, at TIMESTAMP_NTZ, n INT")
+    read = tb.read_csv_checked(spark, str(tmp_path / "*.csv"), schema, ("at",), (tb.TIMESTAMP_FORMAT, "dd.MM.yyyy HH:mm"))
+    assert sorted((r["id"], str(r["at"]), r["n"]) for r in read.good.collect()) == [(1, "2024-01-01 10:00:00", 5), (5, "2024-02-01 11:30:00", 6)]
+    want = [("a.csv", "bad at"), ("a.csv", "bad at"), ("a.csv", "malformed"), ("a.csv", "missing at"), ("b.csv", "malformed"), ("b.csv", "malformed"), ("b.csv", "malformed")]
+    assert sorted((r["source_file"], r["reason"]) for r in read.rejects.collect()) == want
+    assert {r["reason"]: r["count"] for r in read.rejects.groupBy("reason").count().collect()} == {"bad at": 2, "malformed": 4, "missing at": 1}
+    assert "x,2024-01-01 10:00:00,5" in {r["line"] for r in read.rejects.collect()}

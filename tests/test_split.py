@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import pytest
 
 from caseflow.operators import split as sp
@@ -73,3 +76,42 @@ def test_overlap_and_provenance(spark):
     with pytest.raises(ValueError, match="SW/lat"):
         sp.require_one_split(results)
     assert sp.require_one_split(results.filter("Cohort = 'ICU'")).count() == 2
+
+
+def tree_by_hand(ids, bits, levels):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    nodes = {}
+    for i, c in sorted(Counter(ids).items()):
+        nodes.setdefault(i >> bits, []).append((c, f"{i}:{c}"))
+    out = []
+    for level in range(levels + 1):
+        made = {n: (sum(c for c, _ in own), sha(",".join(e for _, e in own))) for n, own in nodes.items()}
+        out += [(level, n, c, d) for n, (c, d) in made.items()]
+        nodes = {}
+        for n, (c, d) in sorted(made.items()):
+            nodes.setdefault(n >> bits if level < levels - 1 else 0, []).append((c, f"{n}={d}"))
+    return sorted(out)
+
+
+def test_digest_tree(spark):
+    ids = [*range(0, 90, 3), 7, 7, 4000, 4001, -5, 70_000]
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "hadm_id BIGINT")
+    tree = sp.digest_tree(frame(ids), bits=4)
+    assert sorted(tuple(r) for r in tree.collect()) == tree_by_hand(ids, 4, 5)
+    assert sp.digest_tree(frame([]), bits=4).count() == 0
+    # Two equal ids cancel in a XOR; here they show.  An id less and an id more are found where they are.
+    other = [i for i in ids if i != 7] + [4002]
+    found = sp.differing_ranges(tree, sp.digest_tree(frame(other), bits=4), bits=4).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 15, 8, 6), (4000, 4015, 2, 3)]
+
+
+def test_a_changed_split_names_the_range(labels, spark, tmp_path):
+    split = sp.grouped_split(labels, "y")
+    folder = str(tmp_path / "split")
+    sp.write_split(split, sp.manifest(split, "SW", "canonical", "lat"), folder)
+    assert sp.split_differences(spark, folder).count() == 0
+    extra = split.filter("part = 'train'").limit(1)
+    case = extra.first()["hadm_id"]
+    extra.select("hadm_id", "subject_id", "part").write.mode("append").parquet(f"{folder}/parts")
+    with pytest.raises(ValueError, match=f"ids {case >> 10 << 10} to .* of part train"):
+        sp.read_split(spark, folder)
