@@ -106,28 +106,25 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hu
                 for chunk, n, at in zip(texts(batch, "chunk"), batch.column("n_bytes").to_pylist(), batch.column("at").to_pylist())
             ]
             yield record_batch(
-                {k: batch.column(k) for k in ("doc_id", "n_bytes", "at")}
+                {k: batch.column(k) for k in ("text_sha256", "n_bytes", "at")}
                 | {"h0": pa.array([s[0] for s in sums], pa.int64()), "h1": pa.array([s[1] for s in sums], pa.int64())}
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = rows.mapInArrow(inline, "doc_id long, n_bytes long, print long, text_sha256 string")
-    raw = F.encode("text", "UTF-8")
+    # A text's hash belongs to the text, not to the id of its row: shares are gathered under the digest.
+    digest = F.sha2(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256).alias("text_sha256")
     huge = rows.filter(F.octet_length("text") >= huge_bytes).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), raw.alias("raw"),
+        digest, F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "UTF-8").alias("raw"),
         F.explode(F.expr(f"sequence(0L, octet_length(text) - 1L, {CHUNK_BYTES}L)")).alias("at"),
     )
-    chunks = huge.select("doc_id", "n_bytes", "at", F.substring("raw", F.col("at").cast("int") + 1, F.lit(CHUNK_BYTES)).alias("chunk"))
-    chunks = chunks.repartition("doc_id", "at").mapInArrow(hashed, "doc_id long, n_bytes long, at long, h0 long, h1 long")
-    # A row that is there twice brings every chunk twice; a document's shares count once.
-    shares = chunks.groupBy("doc_id", "n_bytes", "at").agg(F.min("h0").alias("h0"), F.min("h1").alias("h1"))
-    composed = shares.groupBy("doc_id", "n_bytes").agg(
-        (F.shiftleft(F.sum("h0") % PRIMES[0], 31) + F.sum("h1") % PRIMES[1]).alias("composed")
-    )
-    big = known.filter("print IS NULL").alias("k").join(composed.alias("c"), F.expr("k.doc_id <=> c.doc_id AND k.n_bytes = c.n_bytes"))
-    return known.filter("print IS NOT NULL").unionByName(
-        big.select("k.doc_id", "k.n_bytes", F.col("c.composed").alias("print"), "k.text_sha256")
-    )
+    chunks = huge.select("text_sha256", "n_bytes", "at", F.substring("raw", F.col("at").cast("int") + 1, F.lit(CHUNK_BYTES)).alias("chunk"))
+    chunks = chunks.repartition("text_sha256", "at").mapInArrow(hashed, "text_sha256 string, n_bytes long, at long, h0 long, h1 long")
+    # Equal texts bring every chunk once each; a text's shares count once.
+    shares = chunks.groupBy("text_sha256", "at").agg(F.min("h0").alias("h0"), F.min("h1").alias("h1"))
+    composed = shares.groupBy("text_sha256").agg((F.shiftleft(F.sum("h0") % PRIMES[0], 31) + F.sum("h1") % PRIMES[1]).alias("composed"))
+    big = known.filter("print IS NULL").join(composed, "text_sha256")
+    return known.filter("print IS NOT NULL").unionByName(big.select("doc_id", "n_bytes", F.col("composed").alias("print"), "text_sha256"))
 
 
 def collisions(docs: DataFrame, prints: DataFrame, text: str, bits: int = FILTER_BITS, salts: int = SALTS) -> DataFrame:
@@ -200,7 +197,11 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one row for each group of equal texts, all columns kept."""
+    """The documents that stay, one row for each group of equal texts, all columns kept.
+
+    NULL counts as the empty text.  Of rows that agree in id and text one stays, also where the id is NULL; an
+    empty table gives none.  Columns of any name pass through.
+    """
     stays = exact_classes(docs, doc_id, text).filter("kept").select("keep_id", "text_sha256").distinct()
     value = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.sha2(value, 256).alias("digest"))

@@ -42,6 +42,18 @@ def test_huge_documents_are_cut_over_the_cluster(docs, odd):
     assert whole == cut
 
 
+def test_huge_texts_that_share_an_id(docs, odd):
+    """Texts of one length under one id, or under none, are as different as they are."""
+    rows = [(1, "a" * 500), (1, "b" * 500), (None, "c" * 500), (None, "d" * 500), (None, "D" * 500), (3, "A" * 500), (3, "A" * 500), (4, "short"), *odd]
+    found = sorted((tuple(r) for r in exact.exact_classes(docs(rows), huge_bytes=100).collect()), key=str)
+    least = lambda i: -1 if i is None else i
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").encode().lower(), []).append(i)
+    want = [(i, max(g, key=least), len(g), i == max(g, key=least), hashlib.sha256(k).hexdigest()) for k, g in groups.items() for i in g]
+    assert found == sorted(want, key=str)
+
+
 def test_equal_fingerprints_of_different_texts(docs, monkeypatch):
     monkeypatch.setattr(exact, "fingerprints", lambda d, *a: _constant(d))
     monkeypatch.setattr(exact, "collisions", lambda d, p, t: p.select("print", "n_bytes").distinct())
