@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.common import bit_filter, durable, has_bit, record_batch, texts
 from caseflow.llm.shingles import mix, word_hashes
+from caseflow.operators.ordered import attach
 
 #: Bytes of text that are hashed together.
 TOGETHER = 1 << 18
@@ -190,16 +191,25 @@ def one_word_apart(a: list[bytes], b: list[bytes]) -> bool:
     return len(b) - head - tail <= 1
 
 
-def line_decisions(docs: DataFrame, settings: Lines = Lines(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, kept, near): every line with a word.
+def _keyed(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows with ``key``, which is one for rows of one id and text, and grows with the id (NULL last), then the text's hash.
 
-    Lines are what newlines separate, numbered from 0; words are separated by white space and compared
-    with A-Z lower-cased.  A line goes when an earlier line (smaller doc_id, then smaller number) of any
-    document, dropped or not, is equal to it or, from ``least_words`` words on, one word apart (``near``).
-    NULL and empty texts have no lines; lines without words are never touched.  Rows with equal ids are
-    one document: their equal lines in the same place stay together.  Rows with a NULL id are left out.
+    Where no id is NULL or there twice, the id is the key, and nothing but ids is looked at to know that.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return rows.withColumn("key", F.col("doc_id")), False
+    last = F.col("doc_id").isNull()
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    in_order = hashed.repartitionByRange(last, "doc_id", "hash").sortWithinPartitions(last, "doc_id", "hash")
+    # Partitions are numbered in order, rows within them too, so this number grows with the order; it is written down.
+    numbered = durable(in_order.withColumn("number", F.monotonically_increasing_id()))
+    first = numbered.groupBy("doc_id", "hash").agg(F.min("number").alias("key"))
+    return durable(attach(numbered, first, ["doc_id", "hash"]).select(*rows.columns, "key")), True
+
+
+def _decided(rows: DataFrame, settings: Lines) -> DataFrame:
+    """(doc_id, line_no, kept, near) of rows (doc_id, text) whose ids are keys."""
     table = durable(line_table(rows))
     close = close_lines(rows, settings)
     first = table.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -210,12 +220,32 @@ def line_decisions(docs: DataFrame, settings: Lines = Lines(), doc_id: str = "do
     return joined.select("doc_id", "line_no", (own & ~near).alias("kept"), near.alias("near"))
 
 
+def line_decisions(docs: DataFrame, settings: Lines = Lines(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line_no, kept, near): every line with a word.
+
+    Lines are what newlines separate, numbered from 0; words are separated by white space and compared
+    with A-Z lower-cased.  A line goes when an earlier line of any document, dropped or not, is equal to it or, from
+    ``least_words`` words on, one word apart (``near``).  Earlier is a smaller doc_id (NULL is the largest), of rows with
+    one id the text with the smaller hash, then the smaller number.  NULL and empty texts have no lines; lines
+    without words are never touched.  A row that is there twice (id and text) counts once here; both rows get the same decisions.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    keyed, renamed = _keyed(rows)
+    if not renamed:
+        return _decided(rows, settings)
+    once = durable(keyed.dropDuplicates(["key"]))
+    found = _decided(once.select(F.col("key").alias("doc_id"), "text"), settings).withColumnRenamed("doc_id", "key")
+    return found.join(once.select("key", "doc_id"), "key").select("doc_id", "line_no", "kept", "near")
+
+
 def without_repeated_lines(docs: DataFrame, settings: Lines = Lines(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, the text without its dropped lines."""
-    dropped = line_decisions(docs, settings, doc_id, text).filter("NOT kept").distinct()
-    gone = durable(dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(gone, docs[doc_id] == gone["__id"], "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i.cast("long")))
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text, cleaned).select(*docs.columns)
+    """All rows and columns, each text without its dropped lines; odd rows as in ``line_decisions``."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    keyed, renamed = _keyed(packed)
+    once = keyed.dropDuplicates(["key"]) if renamed else keyed
+    dropped = _decided(once.select(F.col("key").alias("doc_id"), "text"), settings).filter("NOT kept")
+    gone = durable(dropped.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("line_no", F.lit(True)))).alias("gone")).withColumnRenamed("doc_id", "key"))
+    joined = keyed.join(gone, "key", "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: F.element_at("gone", i.cast("long")).isNull())
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select("row", cleaned.alias("cleaned")).select(*[F.col("cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import conversations, exact, lines, mixing, near, negatives, packing, pii, quality, repeats, rules, topk, urls
 from caseflow.llm.common import table
+from caseflow.operators.ordered import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,7 +129,7 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
     ids = table(spark, folder, "documents").select("doc_id").distinct()
     none = {"n_lines": 0, "n_removed": 0, "n_near": 0, "removed": ""}
-    return ids.join(counted, "doc_id", "left").fillna(none)
+    return attach(ids, counted, ["doc_id"]).fillna(none, list(none))
 
 
 @query

@@ -79,3 +79,21 @@ def test_rows_in_any_order(docs):
         rows = corpus()
         random.Random(seed).shuffle(rows)
         assert gone(lines.line_decisions(docs(rows).coalesce(1))) == brute(rows, 8)
+
+
+def test_ids_that_are_null_or_shared(docs):
+    line = "one two three four five six seven eight nine"
+    rows = [(None, line + "\nonly here"), (None, "only there\n" + line), (None, None), (4, line), (7, "unique line of the first text"), (7, line + "\nunique line of the other text"), (7, line + "\nunique line of the other text"), (8, "unique line of the first text\nlast")]
+    table = docs(rows)
+    out = sorted(((r.doc_id, r.text) for r in lines.without_repeated_lines(table).collect()), key=str)
+    want = [(None, "only here"), (None, "only there"), (None, None), (4, line), (7, "unique line of the first text"), (7, "unique line of the other text"), (7, "unique line of the other text"), (8, "last")]
+    assert out == sorted(want, key=str)
+    decided = lines.line_decisions(table).collect()
+    assert len(decided) == 2 + 2 + 1 + 1 + 2 + 2
+    assert sorted((str(r.doc_id), r.line_no) for r in decided if not r.kept) == [("7", 0), ("8", 0), ("None", 0), ("None", 1)]
+
+
+def test_shared_ids_change_nothing_for_the_others(docs):
+    rows = corpus()
+    more = rows + [(100, "something else entirely"), (100, "and another one"), (None, "no id at all")]
+    assert {g for g in gone(lines.line_decisions(docs(more))) if g[0] is not None and g[0] < 100} == brute(rows, 8)
