@@ -258,6 +258,32 @@ def chronic_counts(diagnoses: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
+def diagnosis_features(diagnoses: DataFrame, mapping: DataFrame, chronic: DataFrame) -> DataFrame:
+    """(hadm_id, icd_ch*, charlson_score, chronic_disease_count): all code features from one aggregation on the case.
+
+    What a code means is looked up once per distinct code: its chapter, the conditions its leading texts
+    name, whether it is in the chronic list.  Diagnosis rows then meet that table by equality and are reduced map side
+    first.  A case's conditions are a set no larger than the mapping.
+    """
+    key = ["icd_version", "icd_code"]
+    rows = diagnoses.filter(F.col(KEY).isNotNull()).select(KEY, *key)
+    codes = rows.select(*key).distinct()
+    leading = F.transform(F.sequence(F.lit(1), F.length("icd_code")), lambda n: F.left(F.col("icd_code"), n))
+    named = (
+        codes.filter(F.length("icd_code") > 0)
+        .withColumn("prefix", F.explode(leading))
+        .join(mapping.withColumnRenamed("icd_code", "prefix"), ["icd_version", "prefix"])
+        .groupBy(*key)
+        .agg(F.collect_set(F.struct("condition", "weight")).alias("conditions"))
+    )
+    listed = chronic.select(*key).distinct().withColumn("chronic", F.lit(1))
+    meaning = codes.withColumn("chapter", recode.icd_chapter(F.col("icd_version"), F.col("icd_code"))).join(named, key, "left").join(listed, key, "left")
+    counts = [F.count_if(F.col("chapter") == i).alias(c) for i, c in enumerate(recode.CHAPTER_COLUMNS, start=1)]
+    met = attach(rows, meaning, key).groupBy(KEY).agg(*counts, F.collect_set("conditions").alias("__met"), F.count("chronic").alias("chronic_disease_count"))
+    score = F.aggregate(F.array_distinct(F.flatten("__met")), F.lit(0).cast("bigint"), lambda total, c: total + c["weight"])
+    return met.select(KEY, *recode.CHAPTER_COLUMNS, score.alias("charlson_score"), "chronic_disease_count")
+
+
 def ed_flags(log: DataFrame, activities: tuple[str, ...]) -> DataFrame:
     """Cases with at least one of the activities, flag 1."""
     hits = log.filter(F.col("activity").isin(*activities)).select(F.col("case_id").alias(KEY)).distinct()

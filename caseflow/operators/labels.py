@@ -137,15 +137,18 @@ def route_table(frame: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def onward_cases(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
-    """Every case of the tier with ``onward``: did it go on outside the tier after its first block there?
+def cohort_onward(transfers: DataFrame, tiers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(cohort, hadm_id, t0, onward) of every case of each tier: did it go on outside the tier after its first block there?
 
-    Cases that did not can never come back; they are the structural negatives.
+    Cases that did not can never come back; they are the structural negatives.  All tiers are looked
+    at in one scan, one exchange on the case and one sort.
     """
-    inside = in_units("careunit", tier)
+    keys = ["hadm_id", "cohort"]
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("cohort"), in_units("careunit", tier).alias("in_tier")) for name, tier in tiers.items()]))
+    rows = transfers.withColumn("__c", named).select(*transfers.columns, "__c.cohort", "__c.in_tier")
     blocks = (
-        islands(transfers.withColumn("in_tier", inside), ["hadm_id"], ORDER, "in_tier")
-        .groupBy("hadm_id", "island")
+        islands(rows, keys, ORDER, "in_tier")
+        .groupBy(*keys, "island")
         .agg(
             F.bool_or("in_tier").alias("in_tier"),
             F.min("intime").alias("intime"),
@@ -157,22 +160,35 @@ def onward_cases(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
         first_end = {"t0": F.min(F.when(F.col("in_tier"), F.col("outtime")))}
         went_on = ~F.col("in_tier") & (F.col("intime") >= F.col("t0"))
         return (
-            group_values(rows, ["hadm_id"], first_end, hot)
-            .groupBy("hadm_id")
+            group_values(rows, keys, first_end, hot)
+            .groupBy(*keys)
             .agg(
                 F.min("t0").alias("t0"),
                 F.coalesce(F.bool_or(went_on), F.lit(False)).cast("int").alias("onward"),
                 F.bool_or("in_tier").alias("in_cohort"),
             )
             .filter("in_cohort")
-            .drop("in_cohort")
+            .select("cohort", "hadm_id", "t0", "onward")
         )
 
-    cold, hot, _ = split_hot(blocks, ["hadm_id"])
+    cold, hot, _ = split_hot(blocks, keys)
     cases = flag(cold, False)
     return cases if hot is None else cases.unionByName(flag(hot, True))
 
 
+def onward_cases(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
+    """``cohort_onward`` of one tier, without the cohort."""
+    return cohort_onward(transfers, {"": tier}).drop("cohort")
+
+
+def cohort_restricted(transfers: DataFrame, tiers: dict[str, tuple[str, ...]]) -> DataFrame:
+    return cohort_onward(transfers, tiers).filter("onward = 1").select("cohort", "hadm_id", "t0")
+
+
+def cohort_negatives(transfers: DataFrame, tiers: dict[str, tuple[str, ...]]) -> DataFrame:
+    return cohort_onward(transfers, tiers).filter("onward = 0").select("cohort", "hadm_id")
+
+
 def restricted(transfers: DataFrame, tier: tuple[str, ...]) -> DataFrame:
     return onward_cases(transfers, tier).filter("onward = 1").select("hadm_id", "t0")
 

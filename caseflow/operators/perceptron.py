@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators import metrics
+from caseflow.operators import metrics, ordered
 from caseflow.operators.design import View
 from caseflow.session import durable
 
@@ -169,18 +169,20 @@ def fit_perceptron(view: View, settings: Perceptron = Perceptron()) -> Fitted:
     m, v, steps = np.zeros_like(flat), np.zeros_like(flat), 0
     best, best_flat, best_round, curve = -1.0, flat, 0, []
 
-    for epoch in range(1, settings.epochs + 1):
-        learn = _learner((flat, m, v, steps), mean, sizes, pos_weight, settings, epoch)
-        found = _summed(train.groupBy("p").applyInPandas(learn, "p INT, n BIGINT, steps BIGINT, sums BINARY"))
-        flat, m, v = np.split(np.frombuffer(found["sums"]) / found["n"], 3)
-        steps = int(found["steps"])
-        row = metrics.rank_metrics(Fitted(flat, sizes, mean, epoch).scored(val).withColumn("run", F.lit(1)), ["run"], 6).first()
-        auroc = row["AUROC"] if row else None
-        curve.append((epoch, auroc))
-        if auroc is not None and auroc > best + 1e-6:
-            best, best_flat, best_round = auroc, flat, epoch
-        elif epoch - best_round >= settings.patience:
-            break
+    # Whether the validation rows are many enough to be ordered in segments is found out once.
+    with ordered.known_hot(run=lambda: val.select(F.lit(1).alias("run"))):
+        for epoch in range(1, settings.epochs + 1):
+            learn = _learner((flat, m, v, steps), mean, sizes, pos_weight, settings, epoch)
+            found = _summed(train.groupBy("p").applyInPandas(learn, "p INT, n BIGINT, steps BIGINT, sums BINARY"))
+            flat, m, v = np.split(np.frombuffer(found["sums"]) / found["n"], 3)
+            steps = int(found["steps"])
+            row = metrics.rank_metrics(Fitted(flat, sizes, mean, epoch).scored(val).withColumn("run", F.lit(1)), ["run"], 6).first()
+            auroc = row["AUROC"] if row else None
+            curve.append((epoch, auroc))
+            if auroc is not None and auroc > best + 1e-6:
+                best, best_flat, best_round = auroc, flat, epoch
+            elif epoch - best_round >= settings.patience:
+                break
     return Fitted(best_flat if best_round else flat, sizes, mean, best_round, curve)
 
 

@@ -41,12 +41,6 @@ class Tables:
         return durable(rows) if self.keep else rows
 
 
-def per_cohort(build) -> DataFrame:
-    """Union of ``build(cohort, tier)`` over the cohorts, with a cohort column."""
-    parts = [build(name, tier).withColumn("cohort", F.lit(name)) for name, tier in m.COHORTS.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def moves(t: Tables) -> DataFrame:
     return t.moves
 
@@ -92,10 +86,9 @@ def matrix(t: Tables) -> DataFrame:
     base = durable(labels(t).select("cohort", "hadm_id", "subject_id", F.col("left_lat").alias(LABEL)))
     adm = m.admissions(*t.at)
     stays = m.order_admissions(*t.at)
-    diagnoses = m.diagnoses(*t.at)
-    clinical = ft.clinical_features(
-        stays, m.labevents(*t.at), diagnoses, m.prescriptions(*t.at), base
-    ).select("hadm_id", "pct_abnormal_labs", "num_medications", "polypharmacy")
+    cases = ft.of_cohort(stays.select("hadm_id"), base)
+    clinical = reduce(ft.with_counts, [ft.lab_counts(m.labevents(*t.at)), ft.drug_counts(m.prescriptions(*t.at))], cases)
+    clinical = clinical.select("hadm_id", "pct_abnormal_labs", "num_medications", "polypharmacy")
     process = ft.process_features(moves(t), points(t), m.TIER_A, m.TIER_B, ["cohort"])
     parts = [
         ft.demographics(adm, m.patients(*t.at), base, m.INSURANCE_KEPT, m.ETHNICITY_PATTERNS),
@@ -107,9 +100,7 @@ def matrix(t: Tables) -> DataFrame:
     ]
     counted = [
         ft.ed_flags(log(t), ("Admission to Medical Ward",)),
-        ft.chapter_counts(diagnoses),
-        ft.charlson_scores(diagnoses, m.charlson_map(t.spark)),
-        ft.chronic_counts(diagnoses, m.chronic_codes(t.spark)),
+        ft.diagnosis_features(m.diagnoses(*t.at), m.charlson_map(t.spark), m.chronic_codes(t.spark)),
     ]
     wide = reduce(ft.with_counts, counted, ft.feature_matrix(base, parts, by=["cohort"]))
     return wide.select("cohort", "hadm_id", "subject_id", LABEL, *ft.FEATURES)

@@ -221,12 +221,12 @@ def dwell_sweep(t):
 
 @query
 def restricted_cohort(t):
-    return pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier))
+    return lb.cohort_restricted(pl.usable_moves(t), m.COHORTS)
 
 
 @query
 def structural_negatives(t):
-    return pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
+    return lb.cohort_negatives(pl.usable_moves(t), m.COHORTS)
 
 
 @keeping_query
@@ -351,13 +351,13 @@ def matrix_null_audit(t):
 @keeping_query
 def cohort_exclusion(t):
     """Cases of the cohort that went on somewhere: the structural negatives are excluded."""
-    negatives = pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
+    negatives = lb.cohort_negatives(pl.usable_moves(t), m.COHORTS)
     return ft.exclude(pl.frames(t).select("cohort", "hadm_id", F.col("left_old").alias("label")), negatives, BY)
 
 
 @keeping_query
 def exclusion_report(t):
-    negatives = pl.per_cohort(lambda _, tier: lb.structural_negatives(pl.usable_moves(t), tier))
+    negatives = lb.cohort_negatives(pl.usable_moves(t), m.COHORTS)
     return lb.exclusion_report(pl.frames(t), negatives, "left_lat", BY)
 
 
@@ -371,7 +371,7 @@ def split_canonical(t):
 
 @keeping_query
 def split_restricted(t):
-    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier)).select("cohort", "hadm_id")
+    onward = lb.cohort_restricted(pl.usable_moves(t), m.COHORTS).select("cohort", "hadm_id")
     cases = pl.labels(t).select("cohort", "hadm_id", "subject_id", "left_lat")
     return sp.grouped_split(cases.join(onward, ["cohort", "hadm_id"], "left_semi"), "left_lat", by=BY)
 
@@ -578,7 +578,7 @@ def run_inventory(t):
 def prevalence_table(t):
     keys = ["cohort", "hadm_id"]
     flat = pl.flat_frames(t).select(*keys, F.col("left_corr").alias("left_collapse"))
-    onward = pl.per_cohort(lambda _, tier: lb.restricted(pl.usable_moves(t), tier)).select(*keys, F.lit(1).alias("onward"))
+    onward = lb.cohort_restricted(pl.usable_moves(t), m.COHORTS).select(*keys, F.lit(1).alias("onward"))
     joined = pl.frames(t).join(flat, keys, "left").join(onward, keys, "left")
     variants = {v: f"left_{v}" for v in ("lat", "old", "corr", "corrpacu", "collapse", "restricted")}
     return an.prevalence(joined.withColumn("left_restricted", F.when(F.col("onward") == 1, F.col("left_lat"))), variants)

@@ -132,6 +132,11 @@ def test_charlson_and_chronic(spark):
     assert rows(ft.charlson_scores(codes, mapping)) == [(1, 9), (2, 1)]  # mild and severe forms both count, once each
     listed = spark.createDataFrame([(9, "V10"), (10, "410")], "icd_version INT, icd_code STRING")
     assert rows(ft.chronic_counts(codes, listed)) == [(3, 2), (4, 1)]
+    odd = codes.unionByName(spark.createDataFrame([(None, 9, "412"), (5, None, None), (6, 9, "")], codes.schema))
+    one = ft.diagnosis_features(odd, mapping, listed)
+    assert rows(one, "hadm_id", "charlson_score", "chronic_disease_count") == [(1, 9, 0), (2, 1, 0), (3, 0, 2), (4, 0, 1), (5, 0, 0), (6, 0, 0)]
+    chapters = [c for c in one.columns if c.startswith("icd_ch")]
+    assert rows(one, "hadm_id", *chapters) == rows(ft.chapter_counts(odd), "hadm_id", *chapters)
 
 
 def test_process_features_cap_at_the_point(spark, moves):
