@@ -37,6 +37,10 @@ class Mix:
     seed: int = 17
 
 
+#: What tells one row from another: rows that agree in it have the same text.
+UNIT = ["doc_id", "source", "size", "hash"]
+
+
 def _draw(mix: Mix, *parts: Column) -> Column:
     """A number in [0, 1) fixed by the seed and ``parts``."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), *parts), 11) / float(1 << 53)
@@ -110,25 +114,25 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str =
     """(documents, pieces) of the mix.
 
     documents: one row per input row with doc_id, size, source_size, target, taken.
-    pieces: one row per use of a document with doc_id, source, pass, words (how many of its leading
+    pieces: one row per use of a document with doc_id, source, size, hash (of its text), pass, words (how many of its leading
     words are used), shard, place (order within the shard).
 
     A source with target t and size s gives t // s whole passes and, of one more pass, permuted blocks
     until t is met; of the block in which it is met, documents in hash order; of the last document as
     many leading words as are still missing, so that a source's words are its target, rounded.  A
     document is thus used at most ``repeats`` times.  NULL text has no words and is in no piece; NULL
-    is a source of its own.  Rows with equal ids are told apart by their text's hash and their order
-    where texts differ, else they share one decision.  No rows, or no words at all, give no pieces.
+    is a source of its own.  Rows with equal ids are told apart by their text's hash; rows that agree in that
+    too are drawn together.  No rows, or no words at all, give no pieces.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-        F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(text).cast("string")).alias("hash"),
     )
-    # Equal ids may be several rows; the number of their copies keeps them one unit of the draw.
+    # Equal rows may be several; the number of their copies keeps them one unit of the draw.
     rows = durable(rows)
     aims = durable(targets(rows, mix))
     keys = ["source"]
-    units = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+    units = rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("copies"))
     key = F.xxhash64(F.lit(mix.seed), F.lit("block"), "doc_id", "size")
     units = units.withColumns({"block": F.pmod(key, F.lit(mix.blocks)).cast("int"), "order": F.xxhash64(F.lit(mix.seed), F.lit("order"), "doc_id", "size")})
     units = durable(units.filter("size > 0"))
@@ -157,20 +161,20 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str =
         )
     )
     used = units.join(placed, same(units, placed, ["source", "block"])).select(units["*"], "pass", "shard", "budget")
-    within = Window.partitionBy("source", "block", "pass").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "block", "pass").orderBy("order", "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     used = used.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
     used = used.select("*", copy.alias("copy"))
     words = F.least("size", F.greatest(F.col("budget") - F.col("before") - (F.col("copy") - 1) * F.col("size"), F.lit(0)))
     pieces = used.withColumn("words", words).filter("words > 0").select(
-        "doc_id", "source", "size", "copy", "pass", "words", "shard",
+        *UNIT, "copy", "pass", "words", "shard",
         F.xxhash64(F.lit(mix.seed), F.lit("place"), "shard", "doc_id", "copy", "pass").alias("place"),
     )
     pieces = durable(pieces)
-    taken = pieces.groupBy("doc_id", "source", "size", "copy").agg(F.sum("words").alias("taken"))
-    # Rows with equal id, source and size are numbered; each has its own copies' words.
-    numbered = durable(rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))))
-    with_taken = numbered.join(taken, same(numbered, taken, ["doc_id", "source", "size", "copy"]), "left").select(numbered["*"], "taken")
+    taken = pieces.groupBy(*UNIT, "copy").agg(F.sum("words").alias("taken"))
+    # Rows that agree in everything are numbered; which of them has which number is all one.
+    numbered = durable(rows.withColumn("copy", F.row_number().over(Window.partitionBy(*UNIT).orderBy("doc_id"))))
+    with_taken = numbered.join(taken, same(numbered, taken, [*UNIT, "copy"]), "left").select(numbered["*"], "taken")
     documents = with_taken.join(aims, same(with_taken, aims, keys)).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
@@ -184,9 +188,9 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str
     """
     pieces = mixed(docs, mix, doc_id, text, source)[1]
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))))
-    joined = rows.join(pieces, same(rows, pieces, ["doc_id", "source", "size", "copy"])).select("row", rows["size"], "words", "shard", "place")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*UNIT).orderBy("doc_id")))
+    joined = rows.join(pieces, same(rows, pieces, [*UNIT, "copy"])).select("row", rows["size"], "words", "shard", "place")
     whole = F.col(f"row.{text}")
     # Possessive, so that many words need no deep stack.
     pattern = F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.col("words").cast("string"), F.lit("}+"))

@@ -81,3 +81,14 @@ def test_mixture_has_the_words_taken(docs):
     for r in out.collect():
         taken[r.doc_id] += len(r.text.split())
     assert {r.doc_id: r.taken for r in mixing.mixed(docs(rows), mix)[0].collect() if r.taken} == dict(taken)
+
+
+def test_texts_of_one_id_and_size(docs):
+    """Ids that are shared or missing: each text is drawn by itself, and reruns in another order agree."""
+    rows = [(7 if i % 3 else None, f"text number {i} of one size", "st"[i % 2]) for i in range(40)] + [(7, "text number 1 of one size", "t")] * 2
+    mix = Mix(blocks=4, depth=1, weights=(1, 3))
+    use = lambda rows: sorted((str(r.doc_id), r.text) for r in mixing.mixture(docs(rows), mix).collect())
+    first = use(rows)
+    assert first == use(rows[::-1]) == use(sorted(rows, key=str))
+    documents = mixing.mixed(docs(rows), mix)[0].collect()
+    assert sum(r.taken for r in documents) == sum(len(t.split()) for _, t in first) and len(documents) == 42
