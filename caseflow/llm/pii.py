@@ -41,8 +41,10 @@ PHONE = Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", ("phone", "tel", "call
 # Added by the method: account numbers that pass the mod-97 check.  A match is the first four signs only, its group the longest
 # rest that ends before a fence; the number may end at an earlier space, and another may begin inside the rest.
 IBAN = Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", ("iban", "account", "bank", "konto"), 0.8, 0.2, 0.5)
+# Added by the method: bare numbers of 8 to 12 digits are of no one unless a word nearby says whose: without support they go.
+NUMBER = Kind("number", "", r"(?<![A-Za-z0-9+.-])[0-9]{8,12}(?![A-Za-z0-9]|[.-][0-9])", ("account", "bank", "konto", "compte", "cuenta", "passport", "ssn", "customer", "client"), 0.3, 0.5, 0.5)
 BASE = (EMAIL, IP, CARD, PHONE)
-KINDS = (*BASE, IBAN)
+KINDS = (*BASE, IBAN, NUMBER)
 REACH = 40
 #: Signs of the shortest account number.
 LEAST_SIGNS = 15
@@ -97,8 +99,13 @@ def apart(found: Column) -> Column:
     return F.when(overlaps, F.aggregate(found, first, add, lambda state: state["out"])).otherwise(found)
 
 
+def context(kind: Kind) -> str:
+    """One of the kind's words, at the begin of a word or of what is looked at."""
+    return rf"(?i)(?:^|[^A-Za-z0-9])(?:{'|'.join(kind.words)})"
+
+
 def score(kind: Kind, before: Column) -> Column:
-    near = before.rlike(rf"(?i)\b(?:{'|'.join(kind.words)})")
+    near = before.rlike(context(kind))
     return F.lit(kind.prior) + F.when(near, kind.support).otherwise(0.0)
 
 
@@ -191,11 +198,12 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digest of the base kinds, and all spans as text, from the rows of ``find``."""
+    """Counts and digest of the base kinds, all spans and their scores (kind:start:percent) as text, from the rows of ``find``."""
     of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
     return found.select(
         "doc_id",
         *[F.size(of(k.name)).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(joined(of(*[k.name for k in BASE])), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], F.round(s["score"] * 100).cast("int"))), ",").alias("scores"),
     )

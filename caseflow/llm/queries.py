@@ -47,21 +47,28 @@ def _pii_oracle() -> str:
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
         "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda r, v: (r * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1"),
     }
+    # Bare numbers: whole runs of digits; what stands around them is looked up in the text.
+    around = "substr(x, s::INT, CASE WHEN s > 0 THEN 1 ELSE 0 END) NOT SIMILAR TO '[A-Za-z0-9+.-]' AND substr(x, (s + length(m) + 1)::INT, 1) NOT SIMILAR TO '[A-Za-z0-9]' AND substr(x, (s + length(m) + 1)::INT, 2) NOT SIMILAR TO '[.-][0-9]'"
+    kinds["number"] = ("[0-9]+", f"length(m) BETWEEN 8 AND 12 AND {around}")
     parts, names = [], list(kinds)
     for k, (name, (pattern, test)) in enumerate(kinds.items()):
+        kind = pii.KINDS[k]
         test = re.sub(r"z\(d, i\)", "(ascii(substr(d, length(d) - i::INT, 1)) - 48)", test)
+        before = f"substr(x, greatest(s - {pii.REACH}, 0)::INT + 1, least(s, {pii.REACH})::INT)"
+        points = f"{round(kind.prior * 100)} + CASE WHEN regexp_matches({before}, '{pii.context(kind)}') THEN {round(kind.support * 100)} ELSE 0 END"
         parts.append(f"""
-{name}_cut AS (SELECT doc_id, n, regexp_extract_all(x, '{pattern}') AS ms, string_split_regex(x, '{pattern}') AS ps FROM t WHERE regexp_matches(x, '{pattern}')),
-{name}_at AS (SELECT doc_id, n, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM {name}_cut),
-{name}_span AS (SELECT doc_id, n, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+{name}_cut AS (SELECT doc_id, n, x, regexp_extract_all(x, '{pattern}') AS ms, string_split_regex(x, '{pattern}') AS ps FROM t WHERE regexp_matches(x, '{pattern}')),
+{name}_at AS (SELECT doc_id, n, x, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM {name}_cut),
+{name}_span AS (SELECT doc_id, n, x, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
   (coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0))::BIGINT AS s FROM {name}_at),
-{name}_ok AS (SELECT n, {k} AS k, '{name}' AS kind, s, s + length(m) AS e FROM {name}_span WHERE {test})""")
+{name}_ok AS (SELECT * FROM (SELECT n, {k} AS k, '{name}' AS kind, s, s + length(m) AS e, {points} AS percent FROM {name}_span WHERE {test}) WHERE percent >= {round(kind.least * 100)})""")
     listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
     counts = ", ".join(f"coalesce(sum(CASE WHEN kind = '{n}' THEN 1 ELSE 0 END), 0)::BIGINT AS n_{n}" for n in names[:4])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x FROM documents),{",".join(parts)},
 found AS ({" UNION ALL ".join(f"SELECT * FROM {n}_ok" for n in names)})
-SELECT any_value(t.doc_id) AS doc_id, {counts}, sha256(coalesce({listed} FILTER (WHERE k < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
+SELECT any_value(t.doc_id) AS doc_id, {counts}, sha256(coalesce({listed} FILTER (WHERE k < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans,
+  coalesce(string_agg(kind || ':' || s || ':' || percent, ',' ORDER BY k, s), '') AS scores
 FROM t LEFT JOIN found USING (n) GROUP BY t.n
 """
 
