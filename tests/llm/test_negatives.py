@@ -38,8 +38,10 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("mining", [Mining(), Mining(positives=3, negatives=2, low=60, high=95, anchor_block=4, block=9)])
+SMALL = Mining(positives=3, negatives=2, low=60, high=95, anchor_block=4, block=9)
+
+
+@pytest.mark.parametrize("name, mining", [("plain", Mining()), ("odd", Mining()), *[(name, SMALL) for name in CASES]])
 def test_against_brute_force(spark, name, mining):
     rows = spark.createDataFrame([(*r, "x", 1.0) for r in CASES[name]], "vec_id long, embedding array<double>, label int, dim string, score double")
     found = negatives.hard_negatives(rows, F.col("vec_id") % 10 == 0, mining).collect()
