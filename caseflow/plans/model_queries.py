@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.operators import analysis as an
 from caseflow.operators import design as de
 from caseflow.operators import encode as en
 from caseflow.operators import features as ft
-from caseflow.operators import analysis as an
 from caseflow.operators import metrics as me
 from caseflow.operators import models as mo
 from caseflow.operators import neighbours as nb
+from caseflow.operators import perceptron as pc
 from caseflow.operators.runs import CELL
 from caseflow.plans import oracle
 from caseflow.plans import pipeline as pl
 from caseflow.plans.queries import BY, QUERIES, keeping_query, query
-from caseflow.plans.study import COHORTS, SEEDS, study
+from caseflow.plans.study import COHORTS, study
 from caseflow.session import durable
 from caseflow.sources import mapping as m
 
@@ -130,6 +133,36 @@ def ridge_optimum(t):
 ORACLE["ridge_optimum"] = oracle.sql("SELECT cohort, n_features, true AS at_optimum FROM condition_sizes WHERE Condition = 'With Process'")
 
 
+def _curves(t) -> DataFrame:
+    """(cohort, n_features, epoch, AUROC, best_round): the validation curve of the perceptron of each cohort."""
+    s, parts = study(t), []
+    for cohort in COHORTS:
+        view = s.view(cohort, "With Process")
+        fitted = pc.fit_perceptron(view)
+        facts = {"cohort": F.lit(cohort), "n_features": F.lit(view.size), "best_round": F.lit(fitted.best_round)}
+        parts.append(fitted.curve_table(t.spark).withColumns(facts))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@keeping_query
+def mlp_curve(t):
+    """Validation AUROC after each epoch, and which epoch's weights are kept."""
+    return _curves(t).select("cohort", "epoch", "AUROC", (F.col("epoch") == F.col("best_round")).alias("kept"))
+
+
+@keeping_query
+def mlp_training(t):
+    """Are the best epoch's weights kept, and did training stop where its patience ended?"""
+    settings = pc.Perceptron()
+    curve = _curves(t).groupBy("cohort", "n_features", "best_round").agg(F.max("epoch").alias("last"), F.max("AUROC").alias("top"), F.max(F.when(F.col("epoch") == F.col("best_round"), F.col("AUROC"))).alias("kept"))
+    stopped = (F.col("last") == settings.epochs) | (F.col("last") - F.col("best_round") == settings.patience)
+    # An epoch must be better by more than 1e-6 to count as better.
+    return curve.select("cohort", "n_features", (F.col("top") - F.col("kept") <= 1e-5).alias("best_kept"), stopped.alias("stopped_in_time"))
+
+
+ORACLE["mlp_training"] = oracle.sql("SELECT cohort, n_features, true AS best_kept, true AS stopped_in_time FROM condition_sizes WHERE Condition = 'With Process'")
+
+
 # --- neighbours through an index ------------------------------------------------------------------------------------
 
 
