@@ -32,7 +32,8 @@ def logistic(n_train: int, seed: int, rounds: int = 1000):
 
 def forest(n_train: int, seed: int, trees: int = 100, depth: int = DEEPEST, leaf: int = 1):
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxMemoryInMB=1024
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxMemoryInMB=1024,
+        cacheNodeIds=True,  # deep trees are then not sent along with every level
     )
 
 
