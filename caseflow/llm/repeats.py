@@ -13,10 +13,14 @@
 
 Seeds that very many documents share are handled by a table of window hashes instead, so that no
 part ever holds an unbounded group.
+
+Runs of a short period (blanks, dashes) hold one seed over and over.  Of these places the first and the last ones
+are kept, which every string that crosses the run's border holds; the strings inside it are one range each.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,33 +74,59 @@ def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 class Sampled:
     """A text's seeds: places, hashes, and the running sums from which any substring's hash follows."""
 
-    def __init__(self, text: bytes, length: int) -> None:
-        self.n, self.length = len(text), length
+    def __init__(self, text: bytes, length: int, seed: int = SEED) -> None:
+        self.n, self.length, self.seed = len(text), length, seed
         data = np.frombuffer(text, np.uint8)
         up, self.down = _powers(self.n)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * up[: self.n])])
-        hashes = mix((self.sums[SEED:] - self.sums[:-SEED]) * self.down[: self.n - SEED + 1])
+        hashes = mix((self.sums[seed:] - self.sums[:-seed]) * self.down[: self.n - seed + 1])
         short = (hashes >> np.uint64(32)).astype(np.uint32)
-        width = length - SEED + 1
+        width = length - seed + 1
         least = np.pad(_slide(short, width, np.minimum), width - 1)
         # A place is marked where it is the smallest of some window that holds it.
-        self.places = np.flatnonzero(_slide(least, width, np.maximum) == short)
-        self.seeds = hashes[self.places]
+        marked = np.flatnonzero(_slide(least, width, np.maximum) == short)
+        own, inside = hashes[marked], np.zeros(len(marked), bool)
+        for period in range(1, periods(length) + 1):
+            before, after = np.maximum(marked - period, 0), np.minimum(marked + period, len(hashes) - 1)
+            inside |= (hashes[before] == own) & (hashes[after] == own) & (after - before == 2 * period)
+        self.places = marked[~inside]
+        self.seeds = own[~inside]
 
     def contexts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes before the seed, bytes from it on, and the context's hash."""
         at = self.places[rows]
-        before, behind = np.minimum(at, self.length - SEED), np.minimum(self.n - at, self.length)
+        before, behind = np.minimum(at, self.length - self.seed), np.minimum(self.n - at, self.length)
         span = (self.sums[at + behind] - self.sums[at - before]) * self.down[at - before]
         return before, behind, mix(span ^ mix(before.astype(np.uint64) * _TAGS[0] + behind.astype(np.uint64) * _TAGS[1]))
 
     def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every string of ``length`` bytes that holds one of some seeds."""
-        starts = np.unique((self.places[rows][:, None] - np.arange(self.length - SEED + 1)[None, :]).ravel())
+        starts = np.unique((self.places[rows][:, None] - np.arange(self.length - self.seed + 1)[None, :]).ravel())
         starts = starts[(starts >= 0) & (starts + self.length <= self.n)]
         return starts, mix((self.sums[starts + self.length] - self.sums[starts]) * self.down[starts])
 
 
+def periods(length: int) -> int:
+    """The longest period that counts as a run: half the seeds of ``length`` bytes, at most 15."""
+    return min((length - SEED + 1) // 2, 15)
+
+
+def runs(text: bytes, length: int) -> Iterator[tuple[int, int, int]]:
+    """(first, stop, period) of the maximal stretches of at least ``length`` bytes that have a short period, the smallest one."""
+    data = np.frombuffer(text, np.uint8)
+    for period in range(1, periods(length) + 1):
+        equal = data[:-period] == data[period:]
+        # A stretch of equal signs that is long enough fills one of these blocks of eight.
+        if not (equal[: len(equal) // 8 * 8].view("<u8") == 0x0101010101010101).any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
+        for first, last in edges.reshape(-1, 2)[(edges[1::2] - edges[::2]) >= length - period].tolist():
+            stop = last + period
+            shorter = (d for d in range(1, period) if period % d == 0)
+            if not any(np.array_equal(data[first : stop - d], data[first + d : stop]) for d in shorter):
+                yield first, stop, period
+
+
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
     """(depth, first, last) of every interval of the common prefix tree; common[i] belongs to neighbours i - 1 and i."""
     stack: list[tuple[int, int]] = []
@@ -125,7 +155,7 @@ def _sorted(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarr
     return np.lexsort((sizes, rank, groups))
 
 
-def maximal_repeats(groups: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def maximal_repeats(groups: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, length: int, seed: int = SEED) -> Iterator[tuple[int, int, np.ndarray]]:
     """(bytes left of the seed, bytes from it on, members) of every maximal repeat of at least ``length`` bytes.
 
     ``right`` holds what follows from the seed on, ``left`` what precedes it, nearest byte first.
@@ -139,7 +169,7 @@ def maximal_repeats(groups: np.ndarray, left: np.ndarray, n_left: np.ndarray, ri
     beside = _common(left[order], n_left[order]).tolist() if len(order) else []
     for depth, first, last in intervals(common.tolist()):
         least = length - depth
-        if depth < SEED or least > length - SEED:
+        if depth < seed:
             continue
         members = order[first : last + 1]
         if last - first == 1:
@@ -224,6 +254,7 @@ def _first_key(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 _STRETCHES = {"docs": "<i8", "starts": "<i4", "sizes": "<u2"}
 _PACKED = "part long, docs binary, starts binary, sizes binary"
+LARGEST = 1 << 15
 
 
 def _packed(found: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -237,6 +268,44 @@ def parts_for(docs: DataFrame, settings: Repeats) -> int:
     return max(settings.least_parts, -(-total // settings.part_bytes)) | 1
 
 
+def run_ranges(docs: DataFrame, length: int) -> DataFrame:
+    """(window, doc_id, first, stop): one row per run and rotation; the strings of ``length`` bytes with hash ``window`` that lie in it, as the range they cover."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
+                if len(text) < length:
+                    continue
+                for first, stop, period in runs(text, length):
+                    for start in range(first, min(first + period, stop - length + 1)):
+                        window = int.from_bytes(hashlib.blake2b(text[start : start + length], digest_size=8).digest(), "little", signed=True)
+                        found.append((window, doc, start, start + (stop - length - start) // period * period + length))
+            if found:
+                yield record_batch({n: pa.array(v, pa.int64()) for n, v in zip(("window", "doc_id", "first", "stop"), zip(*found))})
+
+    return docs.mapInArrow(ranges, "window long, doc_id long, first long, stop long")
+
+
+def covered_runs(docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """The ranges of runs that also lie in a smaller document, packed."""
+    held = durable(run_ranges(docs, length))
+    least = held.groupBy("window").agg(F.min("doc_id").alias("least"))
+    more = held.join(least, "window").filter("doc_id > least").select("doc_id", "first", "stop")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.column_stack([batch.column(n).to_numpy() for n in ("doc_id", "first", "stop")])
+            # A packed stretch has a size of two bytes; those that touch become one again.
+            n = np.maximum(-(-(rows[:, 2] - rows[:, 1]) // LARGEST), 1)
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            rows = np.repeat(rows, n, axis=0)
+            starts = rows[:, 1] + nth * LARGEST
+            yield _packed(np.column_stack([rows[:, 0], starts, np.minimum(rows[:, 2], starts + LARGEST)]), parts)
+
+    return more.mapInArrow(pack, _PACKED)
+
+
 def covered(docs: DataFrame, settings: Repeats, parts: int) -> DataFrame:
     """Stretches that also stand in a smaller document, packed by their document's remainder by ``parts``; they may overlap."""
     spark, length = docs.sparkSession, settings.length
@@ -293,6 +362,7 @@ def covered(docs: DataFrame, settings: Repeats, parts: int) -> DataFrame:
 
     differing = docs.mapInArrow(contexts, schema + ", context binary").repartition("part").sortWithinPartitions("part")
     found = met.filter("open IS NULL").drop("open").unionByName(differing.mapInArrow(repeats, _PACKED))
+    found = found.unionByName(covered_runs(docs, length, parts))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

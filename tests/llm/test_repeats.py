@@ -60,6 +60,33 @@ def test_hot_seeds_and_small_parts(docs):
         assert result(repeats.without_repeats(docs(rows), settings)) == brute(rows, settings.length)
 
 
+def periodic(seed=9):
+    r = random.Random(seed)
+    rows = []
+    for i in range(70):
+        text = ""
+        for _ in range(r.randrange(1, 5)):
+            unit = r.choice(["-", " ", "ab", "ab", "-=", "abc", "x" * 14 + "y", "0123456789abcdef", "z" * 7 + "q" * 6])
+            run = (unit * 200)[r.randrange(len(unit)) :][: r.choice([40, 49, 50, 51, 64, 65, 66, 80, 81, 97, 180])]
+            text += run + r.choice(["", "!", "end of a line\n", "-", "ab"])
+        rows.append((i, text))
+    r.shuffle(rows)
+    return rows
+
+
+def test_runs_of_a_short_period(docs):
+    for rows, settings in ((periodic(), Repeats()), (periodic(4), Repeats(hot=2)), (periodic(5), Repeats(length=30))):
+        assert result(repeats.without_repeats(docs(rows), settings)) == brute(rows, settings.length)
+
+
+def test_long_runs_are_few_records(docs):
+    blank = repeats.Sampled(b"x" + b" " * 100_000 + b"y", 50)
+    assert len(blank.places) < 200
+    rows = [(1, " " * 70_000), (2, "a" + " " * 150_000 + "b" * 60), (3, "b" * 49), (4, " " * 49 + "-" * 100)]
+    found = {r.doc_id: (r.n_removed, [(s.start, s.stop) for s in r.spans]) for r in repeats.without_repeats(docs(rows)).collect()}
+    assert found == {1: (0, []), 2: (150_000, [(1, 150_001)]), 3: (0, []), 4: (0, [])}
+
+
 def test_odd_texts(docs, odd):
     odd = [(i, t[:6000] if t else t) for i, t in odd]
     assert result(repeats.without_repeats(docs(odd))) == brute(odd)
