@@ -74,7 +74,7 @@ def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 class Sampled:
     """A text's seeds: places, hashes, and the running sums from which any substring's hash follows."""
 
-    def __init__(self, text: bytes, length: int, seed: int = SEED) -> None:
+    def __init__(self, text: bytes, length: int, seed: int = SEED, longest: int | None = None) -> None:
         self.n, self.length, self.seed = len(text), length, seed
         data = np.frombuffer(text, np.uint8)
         up, self.down = _powers(self.n)
@@ -86,7 +86,7 @@ class Sampled:
         # A place is marked where it is the smallest of some window that holds it.
         marked = np.flatnonzero(_slide(least, width, np.maximum) == short)
         own, inside = hashes[marked], np.zeros(len(marked), bool)
-        for period in range(1, periods(length) + 1):
+        for period in range(1, (longest or periods(length)) + 1):
             before, after = np.maximum(marked - period, 0), np.minimum(marked + period, len(hashes) - 1)
             inside |= (hashes[before] == own) & (hashes[after] == own) & (after - before == 2 * period)
         self.places = marked[~inside]
@@ -513,3 +513,162 @@ def without_repeats(docs: DataFrame, settings: Repeats = Repeats(), doc_id: str
 
     both = pieces.unionByName(whole).repartition("part").sortWithinPartitions("part", F.col("docs").isNull())
     return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
+
+
+_AROUND = {"seeds": "<u8", "docs": "<i8", "places": "<i8", "before": "<i8", "behind": "<i8", "context": "u1"}
+_OCCURRENCE = "group string, kind string, length long, doc_id long, start long, stop long"
+
+
+def _occurrences(kind: str, found: list[tuple[str, int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) if found else [()] * 5
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    group, *rest = (pa.array(c, t) for c, t in zip(columns, types))
+    return record_batch(dict(zip(("group", "kind", "length", "doc_id", "start", "stop"), (group, pa.array([kind] * len(found), pa.string()), *rest))))
+
+
+def _name(string: bytes) -> str:
+    return hashlib.blake2b(string, digest_size=16).hexdigest()
+
+
+def _has_period(string: bytes, longest: int) -> bool:
+    return any(string[period:] == string[:-period] for period in range(1, longest + 1))
+
+
+def _groups(held: dict[str, np.ndarray], length: int, seed: int, longest: int, hot: bytes | None) -> Iterator[list[tuple[str, int, int, int, int]]]:
+    """Occurrences of the maximal repeats of ``length`` to 2 * ``length`` - 1 bytes around the seeds of a part.
+
+    Strings all of whose own seeds are ``hot`` are left to the windows: only some of their places are known here.
+    """
+    reach, places, docs = 2 * length - seed, held["places"].astype(np.int64), held["docs"]
+    context = held["context"].reshape(-1, reach + 2 * length)
+    seeds = np.unique(held["seeds"], return_inverse=True)[1]
+    left, right = np.ascontiguousarray(context[:, reach - 1 :: -1]), np.ascontiguousarray(context[:, reach:])
+    before, behind = held["before"].astype(np.int64), held["behind"].astype(np.int64)
+    out: list[tuple[str, int, int, int, int]] = []
+    for a, f, members in maximal_repeats(seeds, left, before, right, behind, length, seed):
+        size = a + f
+        if size >= 2 * length:  # seen whole at the next level
+            continue
+        string = context[members[0], reach - a : reach + f].tobytes()
+        if _has_period(string, longest):  # has its ranges
+            continue
+        if hot and has_bit(hot, Sampled(string, length, seed, longest).seeds.view(np.int64), 1 << 24).all():
+            continue
+        name = _name(string)
+        out.extend((name, size, doc, start, start + size) for doc, start in zip(docs[members].tolist(), (places[members] - a).tolist()))
+        if len(out) >= 1 << 15:
+            yield out
+            out = []
+    yield out
+
+
+def _level(docs: DataFrame, settings: Repeats, length: int, parts: int) -> DataFrame | None:
+    """Occurrences of the maximal repeats of ``length`` to 2 * ``length`` - 1 bytes; None where no seed is there twice."""
+    spark, bits = docs.sparkSession, settings.bits
+    seed, reach = SEED * length // settings.length, 2 * length - SEED * length // settings.length
+    longest = periods(settings.length)
+    sampled = lambda batch: ((doc, text, Sampled(text, length, seed, longest)) for doc, text in _long(batch, length))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [s.seeds for _, _, s in sampled(batch)]
+            if own:
+                seeds, counts = np.unique(np.concatenate(own), return_counts=True)
+                yield _dealt(seeds % np.uint64(parts), seeds=seeds, counts=counts.astype("<u4"))
+
+    dealt = docs.mapInArrow(sample, "part long, seeds binary, counts binary")
+    shared = durable(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_twice, "seed long, n long"))
+    if shared.isEmpty():
+        return None
+    marks = spark.sparkContext.broadcast(bit_filter(shared, "seed", bits))
+    hot = shared.filter(F.col("n") > settings.hot)
+    any_hot = not hot.isEmpty()
+    hot_marks = spark.sparkContext.broadcast(bit_filter(hot, "seed", 1 << 24))
+
+    def split(s: Sampled) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(has_bit(marks.value, s.seeds.view(np.int64), bits))
+        often = has_bit(hot_marks.value, s.seeds[rows].view(np.int64), 1 << 24)
+        return rows[~often], rows[often]
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, s in sampled(batch):
+                rows = split(s)[0]
+                if not len(rows):
+                    continue
+                at = s.places[rows]
+                data = np.pad(np.frombuffer(text, np.uint8), (reach, 2 * length))
+                yield _dealt(
+                    s.seeds[rows] % np.uint64(parts), seeds=s.seeds[rows], docs=np.full(len(rows), doc, "<i8"), places=at.astype("<i8"),
+                    before=np.minimum(at, reach).astype("<i8"), behind=np.minimum(s.n - at, 2 * length).astype("<i8"),
+                    context=data[at[:, None] + np.arange(reach + 2 * length)[None, :]],
+                )
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, _AROUND):
+            for found in _groups(held, length, seed, longest, hot_marks.value if any_hot else None):
+                yield _occurrences("maximal", found)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, s in sampled(batch):
+                rows = split(s)[1]
+                starts = s.windows(rows)[0].tolist() if len(rows) else []
+                for i in range(0, len(starts), 1 << 13):
+                    yield _occurrences("window", [(_name(text[p : p + length]), length, doc, p, p + length) for p in starts[i : i + (1 << 13)]])
+
+    schema = "part long, " + ", ".join(f"{n} binary" for n in _AROUND)
+    met = docs.mapInArrow(contexts, schema).repartition(parts, "part").sortWithinPartitions("part")
+    found = met.mapInArrow(grouped, _OCCURRENCE)
+    return found.unionByName(docs.mapInArrow(windows, _OCCURRENCE)) if any_hot else found
+
+
+def _long(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, bytes]]:
+    for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
+        if len(text) >= length:
+            yield doc, text
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held in _gathered(batches, {"seeds": "<u8", "counts": "<u4"}):
+        seeds, where = np.unique(held["seeds"], return_inverse=True)
+        n = np.bincount(where, held["counts"])
+        yield _pairs({"seed": seeds[n > 1], "n": n[n > 1]})
+
+
+def repeat_groups(docs: DataFrame, settings: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(group, kind, length, doc_id, start, stop): one row per occurrence of each maximal repeat of ``length`` bytes or more.
+
+    A maximal repeat is a string that stands in two places or more, not all of them with the same byte before
+    it nor all with the same byte behind it (a text's border is like no other byte); within a document or across
+    documents, and with all its places, overlapping ones too.  ``group`` is a digest of the string, places count in
+    bytes.  Repeats are found level by level, of ``length`` to 2 * ``length`` - 1 bytes first, then twice as long ones
+    from seeds twice as long and half as many, until no seed is there twice; at each level the contexts show a byte
+    more than the repeats to be found, hence none is cut off.
+
+    Kinds: ``maximal``; ``run`` for strings within runs of a short period, whose group is a string of ``length``
+    bytes and whose rows are the ranges that its places cover; ``window`` for strings of a level's length around
+    seeds that stand in more than ``hot`` places, which are not extended, so that no task holds an unbounded group.
+    NULL counts as empty.  Rows with a NULL id take no part; rows with equal ids are one document, and equal places
+    count once.  No rows give none.  The output is as large as the repeats are: m copies of a line behind one
+    another have m * m / 2 places.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.filter("doc_id IS NOT NULL")
+    # A context is about eight times as long as the text between two seeds.
+    parts, length = 4 * parts_for(rows, settings) | 1, settings.length
+    run = run_ranges(rows, length).select(
+        F.concat(F.lit("run:"), F.hex("window")).alias("group"), F.lit("run").alias("kind"), F.lit(length).cast("long").alias("length"),
+        "doc_id", F.col("first").alias("start"), "stop",
+    )
+    levels = [durable(run)]
+    while (found := _level(rows, settings, length, parts)) is not None:
+        levels.append(durable(found))
+        length *= 2
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    every = durable(every.dropDuplicates(["group", "kind", "doc_id", "start"]))
+    place = F.struct("doc_id", "start")
+    several = every.groupBy("group", "kind").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.col("stop") - F.col("start") - F.col("length")).alias("more"))
+    return every.join(several.filter("a != b OR more > 0").select("group", "kind"), ["group", "kind"], "left_semi").select("group", "kind", "length", "doc_id", "start", "stop")

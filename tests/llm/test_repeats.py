@@ -75,7 +75,7 @@ def periodic(seed=9):
 
 
 def test_runs_of_a_short_period(docs):
-    for rows, settings in ((periodic(), Repeats()), (periodic(4), Repeats(hot=2)), (periodic(5), Repeats(length=30))):
+    for rows, settings in ((periodic(), Repeats()), (periodic(4), Repeats(hot=2)), (periodic(5), Repeats(length=30, least_parts=2))):
         assert result(repeats.without_repeats(docs(rows), settings)) == brute(rows, settings.length)
 
 
@@ -120,3 +120,69 @@ def test_repeats_are_maximal():
                     want.add((a, f, group))
         found = {(a, f, frozenset(m.tolist())) for a, f, m in repeats.maximal_repeats(np.zeros(n, int), left, sizes_l, right, sizes_r, length)}
         assert found == want
+
+
+def all_maximal(rows, length, periods=15):
+    """Every maximal repeat that has no short period, with all its places, by growing strings from single places."""
+    text = {i: (t or "").encode() for i, t in rows}
+    places = {}
+    for i, b in text.items():
+        for p in range(len(b) - length + 1):
+            places.setdefault(b[p : p + length], []).append((i, p))
+    left = lambda i, p: text[i][p - 1] if p else (i, "start")
+    right = lambda i, q: text[i][q] if q < len(text[i]) else (i, "end")
+    out, size = set(), length
+    while places:
+        longer = {}
+        for w, at in places.items():
+            if len(at) < 2:
+                continue
+            several = len({left(i, p) for i, p in at}) > 1 and len({right(i, p + size) for i, p in at}) > 1
+            if several and all(w[:-k] != w[k:] for k in range(1, periods + 1)):
+                out |= {(w, i, p) for i, p in at}
+            for i, p in at:
+                if p + size < len(text[i]):
+                    longer.setdefault(text[i][p : p + size + 1], []).append((i, p))
+        places, size = longer, size + 1
+    return out
+
+
+def test_repeat_groups_against_all_substrings(docs):
+    for rows, length in ((corpus(), 50), (corpus(8)[:30] + periodic()[:6], 50), (corpus(11)[:30], 30)):
+        rows = [(n, t) for n, (_, t) in enumerate(rows)]
+        text = {i: t.encode() for i, t in rows}
+        settings = Repeats(length=length, least_parts=3, bits=1 << 20)
+        found = repeats.repeat_groups(docs(rows), settings).collect()
+        maximal = [r for r in found if r.kind == "maximal"]
+        got = [(text[r.doc_id][r.start : r.stop], r.doc_id, r.start) for r in maximal]
+        assert len(set(got)) == len(got) and set(got) == all_maximal(rows, length, repeats.periods(length))
+        assert all(r.length == r.stop - r.start for r in maximal)
+        names = {(r.group, text[r.doc_id][r.start : r.stop]) for r in maximal}
+        assert len(names) == len({g for g, _ in names}) == len({w for _, w in names})
+        for r in found:
+            if r.kind == "run":
+                step = next(k for k in range(1, 16) if text[r.doc_id][r.start : r.stop - k] == text[r.doc_id][r.start + k : r.stop])
+                assert step <= repeats.periods(length)
+
+
+def test_repeat_groups_of_frequent_seeds_and_odd_rows(docs, odd):
+    passage = "a passage that very many of the documents have in common, word for word"
+    rows = [(i, f"{i * 7919} {passage} {i * 104729}") for i in range(12)]
+    found = repeats.repeat_groups(docs(rows), Repeats(hot=5, least_parts=2, bits=1 << 20)).collect()
+    text = {i: t.encode() for i, t in rows}
+    full = all_maximal(rows, 50)
+    assert {(text[r.doc_id][r.start : r.stop], r.doc_id, r.start) for r in found if r.kind == "maximal"} <= full
+    found = [r for r in found if r.kind == "window"]
+    assert {r.length for r in found} == {50} and len({(r.group, r.doc_id) for r in found}) == len(found)
+    covers = {i: set() for i, _ in rows}
+    for r in found:
+        covers[r.doc_id] |= set(range(r.start, r.stop))
+    for i, t in rows:
+        assert covers[i] >= set(range(t.index(passage), t.index(passage) + len(passage)))
+    twice = [(1, passage), (1, passage), (None, passage), (2, None), (3, "")]
+    few = Repeats(least_parts=2, bits=1 << 16)
+    assert repeats.repeat_groups(docs(twice), few).count() == 0
+    assert repeats.repeat_groups(docs([]), few).count() == 0
+    odd = [(i, t[:3000] if t else t) for i, t in odd]
+    odd = [(i, t) for i, t in odd if i is not None]
+    assert repeats.repeat_groups(docs(odd), few).columns == ["group", "kind", "length", "doc_id", "start", "stop"]
