@@ -86,9 +86,15 @@ class Sampled:
         # A place is marked where it is the smallest of some window that holds it.
         marked = np.flatnonzero(_slide(least, width, np.maximum) == short)
         own, inside = hashes[marked], np.zeros(len(marked), bool)
+        # Within a run, the mark before or behind has the same hash: only such marks are looked at.
+        alike = np.concatenate([[False], own[1:] == own[:-1], [False]])
+        near = np.flatnonzero(alike[1:] | alike[:-1])
+        at, same = marked[near], own[near]
         for period in range(1, (longest or periods(length)) + 1):
-            before, after = np.maximum(marked - period, 0), np.minimum(marked + period, len(hashes) - 1)
-            inside |= (hashes[before] == own) & (hashes[after] == own) & (after - before == 2 * period)
+            if not len(near):
+                break
+            before, after = np.maximum(at - period, 0), np.minimum(at + period, len(hashes) - 1)
+            inside[near] |= (hashes[before] == same) & (hashes[after] == same) & (after - before == 2 * period)
         self.places = marked[~inside]
         self.seeds = own[~inside]
 
