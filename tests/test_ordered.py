@@ -97,3 +97,16 @@ def test_declared_hot_keys_are_counted_once(spark, sample):
         columns, (table, n_rows) = ordered.hot_keys(frame(spark, sample), ["v", "k"])
         assert columns == ["k"] and [r["k"] for r in table.collect()] == ["a"] and n_rows == 120
     assert len(asked) == 1
+
+
+def test_a_low_limit_does_not_cut_a_segment_per_few_rows(spark):
+    """Segments are tasks: 50 000 hot rows under a limit of 4 were cut into 12 500 of them."""
+    many = spark.range(50_000).selectExpr("id % 100 AS k", "id DIV 100 AS t", "id")
+    with ordered.hot_rows(4):
+        parts = ordered._segments(many, 50_000, ["k"], ["t", "id"])
+        assert parts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = ordered.positions(many, ["k"], ["t", "id"])
+        assert placed.filter("pos <> t + 1").count() == 0 and placed.count() == 50_000
+        assert ordered._n_segments(many, 50_000_000) == 500
+    with ordered.hot_rows(1_000_000):
+        assert ordered._n_segments(many, 50_000_000) == 50
