@@ -68,3 +68,27 @@ def test_fewer_vectors_than_neighbours(spark):
     assert {r["score"] for r in nb.vote(found, labels).collect()} == {0.5}
     assert nb.nearest(few.limit(0), few).count() == 0
     assert nb.nearest(few, few, 5, nb.fit_index(few)).count() in (2, 4)
+
+
+def test_routed_queries_leave_in_bounded_pieces(spark, monkeypatch):
+    """A batch of queries times the cells each looks into was one piece, which grows with the number of cells."""
+    rng = np.random.default_rng(2)
+    queries = frame(spark, {i: list(rng.normal(0, 1, 4)) for i in range(300)}).coalesce(1)
+    centres, sizes = rng.normal(0, 1, (50, 4)), []
+    index = nb.Index(queries, centres, 40)
+    whole = sorted(tuple(r) for r in index.routed(queries).select("id", "cell").collect())
+    assert len(whole) == 300 * 40
+
+    class Rows:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, route, schema):
+            pdf = queries.toPandas()
+            sizes.extend(len(piece) for piece in route([pdf, pdf.iloc[:0]]))
+
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 1000)
+    index.routed(Rows())
+    assert sum(sizes) == 300 * 40 and max(sizes) <= 1000
