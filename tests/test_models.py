@@ -203,3 +203,14 @@ def test_conditions(cells):
     assert (count("No Process"), count("With Process"), count("With BoW")) == (32, 39, 40)
     assert {c: len(f) for c, f in mo.CONDITIONS.items()} == {"No Process": 32, "With Process": 39, "With BoW": 40}
     assert ft.check_matrix(cells, "left_shift") == []
+
+
+def test_perceptron_rows_lie_packed_by_part(spark):
+    """An epoch reads the parts where they are; every row was exchanged anew in each epoch."""
+    rows = spark.range(50).selectExpr("id AS hadm_id", "CAST(id % 2 AS INT) AS label", "array(CAST(id AS DOUBLE), 1.0D) AS x", "CAST(id % 3 AS INT) AS p")
+    packed = pc._packed(rows, 3)
+    found = packed.withColumn("at", F.spark_partition_id()).collect()
+    assert len({(r["p"], r["at"]) for r in found}) == 3 and sum(r["n"] for r in found) == 50
+    for r in found:
+        assert [int(v) for v in np.frombuffer(r["x"]).reshape(-1, 2)[:, 0]] == list(range(r["p"], 50, 3))
+    assert pc._means(packed, 2) == pytest.approx([24.5, 1.0])
