@@ -124,3 +124,12 @@ def test_one_pass_has_both_sides_of_the_point(spark, point):
     strict = en.ngrams(log, points)
     for setting, want in {"A": en.fit_vocabulary(en.ngrams(log, points, inclusive=True), None), "B": en.fit_vocabulary(strict, None), "C": en.fit_vocabulary(strict, train)}.items():
         assert rows(words.filter(setting), "ngram") == rows(want, "ngram")
+
+
+def test_trainer_inputs_join_written_parts(spark):
+    """The last stage joins finished parts; the windows over the events have ended before it."""
+    from __spark_entry__ import queries
+    from tests.conftest import DATA
+
+    plan = queries()["trainer_inputs"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Window" not in plan and "parquet" not in plan
