@@ -126,10 +126,19 @@ def test_one_pass_has_both_sides_of_the_point(spark, point):
         assert rows(words.filter(setting), "ngram") == rows(want, "ngram")
 
 
-def test_trainer_inputs_join_written_parts(spark):
+def test_trainer_inputs_join_written_parts(spark, tmp_path):
     """The last stage joins finished parts; the windows over the events have ended before it."""
     from __spark_entry__ import queries
-    from tests.conftest import DATA
 
-    plan = queries()["trainer_inputs"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("view", "purchase", "click", "signup")]), (F.xxhash64("id") % 4 + 5).cast("int") % 4 + 1)
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"), (F.lit(at(0)) + F.make_dt_interval((F.col("id") % 25).cast("int"), F.lit(0), (F.col("id") % 60).cast("int"))).alias("ts"),
+        (F.col("id") % 11).alias("user_id"), kinds.alias("event_type"), (F.col("id") % 37).cast("double").alias("value"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = queries()["trainer_inputs"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Window" not in plan and "parquet" not in plan
+    got = found.collect()
+    assert {r["cohort"] for r in got} == {"ICU", "SW"} and {r["part"] for r in got} == {"train", "val", "test"}
+    assert len({(r["cohort"], r["hadm_id"]) for r in got}) == len(got) and all(r["n_tabular"] == 7 for r in got)
