@@ -139,6 +139,24 @@ def test_charlson_and_chronic(spark):
     assert rows(one, "hadm_id", *chapters) == rows(ft.chapter_counts(odd), "hadm_id", *chapters)
 
 
+def test_code_features_keep_no_sets(spark):
+    """Conditions are bits: the aggregation on the case holds numbers, also beyond 63 conditions and with an unknown weight."""
+    mapping = spark.createDataFrame([(9, f"{i:03}", f"c{i}", i) for i in range(130)] + [(10, "Z", "open", None)], "icd_version INT, icd_code STRING, condition STRING, weight INT")
+    codes = [(1, 9, f"{i:03}") for i in (0, 5, 62, 63, 64, 126, 129, 5)] + [(2, 9, "0621"), (2, 9, "062"), (3, 10, "Z1"), (4, 10, "A")]
+    found = ft.diagnosis_features(spark.createDataFrame(codes, "hadm_id INT, icd_version INT, icd_code STRING"), mapping, mapping.filter("icd_code = '005'"))
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "hadm_id", "charlson_score", "chronic_disease_count") == [(1, 449, 2), (2, 62, 0), (3, None, 0), (4, 0, 0)]
+
+
+def test_thinned_keeps_every_row_of_the_ids(spark):
+    ids = spark.range(0, 60_000, 30).select((F.col("id") - 600).alias("hadm_id")).unionByName(spark.createDataFrame([(None,), (0,)], "hadm_id BIGINT"))
+    facts = spark.range(-600, 59_400).select(F.col("id").alias("hadm_id")).unionByName(spark.createDataFrame([(None,), (30,), (30,)], "hadm_id BIGINT"))
+    left = [r["hadm_id"] for r in ft.thinned(facts, ft.key_bits(ids)).collect()]
+    assert left.count(None) == 1 and left.count(30) == 3 and {*range(-600, 59_400, 30)} <= set(left)
+    assert len(left) < 2200
+    assert ft.thinned(facts, ft.key_bits(ids.filter("false"))).count() == 0
+
+
 def test_process_features_cap_at_the_point(spark, moves):
     table = moves([(1, "X", 0, 2), (1, "I", 2, 6), (1, "W", 5, 9), (1, "X", 6, 7), (1, "X", 1, None), (2, "I", 0, None)])
     points = ev.prediction_points(table, ("I",))

@@ -12,6 +12,7 @@ from caseflow.operators import models as mo
 from caseflow.operators import perceptron as pc
 from caseflow.operators import runs as rn
 from caseflow.operators import split as sp
+from tests.conftest import at
 
 
 @pytest.fixture(scope="module")
@@ -214,3 +215,30 @@ def test_perceptron_rows_lie_packed_by_part(spark):
     for r in found:
         assert [int(v) for v in np.frombuffer(r["x"]).reshape(-1, 2)[:, 0]] == list(range(r["p"], 50, 3))
     assert pc._means(packed, 2) == pytest.approx([24.5, 1.0])
+
+
+def test_study_makes_shared_tables_once(spark, tmp_path, monkeypatch):
+    """N-grams, split and matrix read one written copy of the return frames, and facts are thinned where they are read."""
+    from caseflow.operators import labels as lb
+    from caseflow.plans.study import Study
+
+    key, write = F.col("id"), lambda df, name: df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("view", "purchase", "click", "signup")]), (F.xxhash64("id") % 4 + 5).cast("int") % 4 + 1)
+    when = F.lit(at(0)) + F.make_dt_interval((key % 25).cast("int"), F.lit(0), (key % 60).cast("int"))
+    write(spark.range(900).select(key.alias("event_id"), when.alias("ts"), (key % 31).alias("user_id"), kinds.alias("event_type"), (key % 37).cast("double").alias("value")), "events")
+    write(spark.range(3000).select(key.alias("o_orderkey"), (key % 70).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), when.alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")), "orders")
+    line = {"l_orderkey": key % 3000, "l_partkey": key % 50, "l_suppkey": key % 9, "l_linenumber": (key % 7).cast("int"), "l_returnflag": F.lit("R"), "l_linestatus": F.lit("O")}
+    write(spark.range(9000).select(*[c.alias(n) for n, c in line.items()]), "lineitem")
+    write(spark.range(50).select(key.alias("p_partkey"), key.cast("string").alias("p_name")), "part")
+    write(spark.range(70).select(key.alias("c_custkey"), (key % 25).cast("int").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")), "customer")
+    write(spark.range(25).select(key.cast("int").alias("n_nationkey"), F.concat(F.lit("nation_"), key).alias("n_name")), "nation")
+    made, counted = [], []
+    returns, labs = lb.cohort_returns, ft.lab_counts
+    monkeypatch.setattr(lb, "cohort_returns", lambda *a, **k: made.append(1) or returns(*a, **k))
+    monkeypatch.setattr(ft, "lab_counts", lambda rows: counted.append(rows.count()) or labs(rows))
+    s = Study(spark, str(tmp_path))
+    assert s.run(("With Process",), ("LR",)) == 2 and len(made) == 1
+    cases = s.matrix.select("hadm_id").distinct()
+    assert cases.count() <= 31 * 6 and counted[0] < 1200
+    got = {r["hadm_id"]: r for r in s.matrix.collect()}
+    assert all(r["pct_abnormal_labs"] == 100 and 1 <= r["num_medications"] <= 3 and r["admission_type"] != "UNKNOWN" for r in got.values())
